@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 GROUP_BYTES = 6 << 20
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 NO_ID = np.iinfo(np.int64).max
 
 _SPACE = np.zeros(256, dtype=bool)

@@ -39,6 +39,7 @@ BUCKET_ENTRIES = 1 << 20
 SEPARATOR = 0xFF  # no byte of UTF-8 text
 
 _ROLL = c.Rolling(9)
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _minimizers(h: np.ndarray, span: int) -> np.ndarray:
@@ -83,7 +84,8 @@ class _Group:
             p = place[starts]
             head = np.flatnonzero(np.r_[True, (p[1:] != p[:-1]) | (starts[1:] != starts[:-1] + 1)])
             first, last = starts[head], starts[np.r_[head[1:] - 1, len(starts) - 1]]
-            parts.append((h[p[head]], p[head] + lo, first + lo, last + lo + 1))
+            # minima crowd at small digests; mixed anew they spread evenly over the buckets
+            parts.append((c.mix(h[p[head]] ^ _SPREAD), p[head] + lo, first + lo, last + lo + 1))
         cat = lambda k, t: np.concatenate([x[k] for x in parts]) if parts else np.zeros(0, t)
         self.digest, self.place, self.lo, self.hi = cat(0, np.uint64), cat(1, np.int64), cat(2, np.int64), cat(3, np.int64)
 
@@ -142,16 +144,23 @@ def _read(replies: pa.Table, column: str) -> np.ndarray:
     return np.concatenate(got) if got else np.zeros(0, bool)
 
 
+def _near(places: np.ndarray, most: int = 1 << 19):
+    """Ranges of (sorted) places that lie within `most` bytes of the first."""
+    x = 0
+    while x < len(places):
+        y = int(np.searchsorted(places, places[x] + most))
+        yield x, y
+        x = y
+
+
 def _stretches(group: _Group, picked: np.ndarray):
     """Anchors picked, their stretches of text, and which of the distinct stretches each is: (digest, first holder, which, count)."""
     lo, hi = group.lo[picked], group.hi[picked] + group.length - 1
     # the stretch's own digest tells equal stretches apart; the anchor's digest, first, orders them by bucket
     own = np.zeros(len(picked), np.uint64)
-    for k in range(0, len(picked), 4096):
-        a, b = lo[k : k + 4096], hi[k : k + 4096]
-        if len(a):
-            base = a.min()
-            own[k : k + 4096] = _ROLL.slices(_ROLL.sums(_ROLL.code[group.data[base : b.max()]]), a - base, b - base) + (b - a).astype(np.uint64)
+    for x, y in _near(lo):
+        a, b = lo[x:y] - lo[x], hi[x:y] - lo[x]
+        own[x:y] = _ROLL.slices(_ROLL.sums(_ROLL.code[group.data[lo[x] : lo[x] + b.max()]]), a, b) + (b - a).astype(np.uint64)
     order = np.lexsort((own, group.digest[picked]))
     d, o = group.digest[picked][order], own[order]
     head = np.flatnonzero(np.r_[True, (d[1:] != d[:-1]) | (o[1:] != o[:-1])]) if len(order) else np.zeros(0, np.int64)
@@ -166,10 +175,9 @@ def _windows(group: _Group, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     end = np.cumsum(size)
     starts = np.repeat(group.lo[hot] - (end - size), size) + np.arange(end[-1] if len(end) else 0)
     own = np.zeros(len(starts), np.uint64)
-    for k in range(0, len(starts), 1 << 16):
-        a = starts[k : k + (1 << 16)]
-        base = a[0]
-        own[k : k + (1 << 16)] = _ROLL.slices(_ROLL.sums(_ROLL.code[group.data[base : a[-1] + group.length]]), a - base, a - base + group.length)
+    for x, y in _near(starts):
+        a = starts[x:y] - starts[x]
+        own[x:y] = _ROLL.slices(_ROLL.sums(_ROLL.code[group.data[starts[x] : starts[y - 1] + group.length]]), a, a + group.length)
     return starts, own
 
 
