@@ -312,7 +312,7 @@ def simhash_components(docs: DataFrame, shingle: int = SHINGLE, radius: int = RA
     nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("id"))
     named = nodes.where("id is not null")
     found = components(links(named.select("id", F.array("fp").alias("fp")), keys(64, radius), radius))
-    nodes = nodes.join(found, "id", "left").select("fp", F.coalesce("component_id", "id").alias("component_id"))
+    nodes = c.kept(nodes.join(found, "id", "left").select("fp", F.coalesce("component_id", "id").alias("component_id")))
     # every distinct fingerprint is one row here, so a fingerprint shared by many documents is hot on the left side only
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return fps.join(nodes, "fp").select("doc_id", hexed.alias("fingerprint"), "component_id")
