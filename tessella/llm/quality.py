@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 from . import common as c
 
-SAMPLE = 6000
-TERMS = 2048
+SAMPLE = 4000
+TERMS = 1024
 DIM = 64
 NEIGHBOURS = 31
 POWER = 4
@@ -106,7 +106,7 @@ class Model:
         self.prior = float(labels.mean()) if len(labels) else 0.5
         self.idf = np.log((1 + len(counts)) / (1 + (counts > 0).sum(axis=0))).astype(np.float32) + 1
         x = self._weighted(counts)
-        _, axes = np.linalg.eigh((x.T @ x).astype(np.float64))  # right singular vectors
+        _, axes = np.linalg.eigh(x.T @ x)  # right singular vectors
         self.axes = np.ascontiguousarray(axes[:, ::-1][:, :dim]).astype(np.float32)
         self.vectors = self.project(counts)
 
@@ -150,13 +150,13 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     def f(batches):
         for batch in batches:
             for a, b, counts in _each(batch):
-                raw = [x.astype(np.float32).tobytes() for x in counts]
+                raw = [x.tobytes() for x in np.minimum(counts, 65535).astype(np.uint16)]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id")[a:b], batch.column("label")[a:b], pa.array(raw, pa.binary())], ["doc_id", "label", "counts"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
     got = rows.mapInArrow(f, "doc_id long, label double, counts binary").toArrow().sort_by("doc_id")
-    counts = np.frombuffer(b"".join(got.column("counts").to_pylist()), np.float32).reshape(-1, TERMS)
-    return Model(counts, got.column("label").to_numpy())
+    counts = np.frombuffer(b"".join(got.column("counts").to_pylist()), np.uint16).reshape(-1, TERMS)
+    return Model(counts.astype(np.float32), got.column("label").to_numpy())
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

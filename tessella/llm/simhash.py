@@ -195,32 +195,25 @@ def _pack_valid(flags: np.ndarray) -> np.ndarray:
 
 def links_within(group: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Pairs (i, j), i < j, of the same (sorted) group within the radius, and their distances."""
-    bits = 64 * fp.shape[1]
-    size = np.diff(np.r_[np.flatnonzero(np.r_[True, group[1:] != group[:-1]]), len(group)]) if len(group) else np.zeros(1, int)
-    planes, found = None, []
-    n = len(group)
-    most = int(size.max()) if n else 0
-    left = np.repeat(size, size) - np.concatenate([np.arange(k) for k in size]) if n else np.zeros(0, int)  # places to the group's end
-    at = np.arange(n)
-    for off in range(1, most):
-        at = at[left[at] > off]  # nodes that have a partner that far on
-        if off == 1 or len(at) < 0.5 * n:  # pack what is left densely
-            use, n = at, max(1, len(at))
-            lo, hi = fp[use], fp[use + off]
-            a, b = _planes(lo, bits), _planes(hi, bits)
-            hit = near(a, b, _pack_valid(np.ones(len(use), bool)), radius)
-            lanes = np.flatnonzero(np.unpackbits(hit.astype("<u8").view(np.uint8), bitorder="little"))
-            found.append((use[lanes], use[lanes] + off))
-            planes = None
-        else:
-            if planes is None:
-                planes = _planes(fp, bits)
-            ok = np.zeros(len(fp), bool)
-            ok[at] = True
-            a = planes[:, : planes.shape[1] - off // 64]
-            hit = near(a, _shifted(planes, off)[:, : a.shape[1]], _pack_valid(ok)[: a.shape[1]], radius)
-            lanes = np.flatnonzero(np.unpackbits(hit.astype("<u8").view(np.uint8), bitorder="little"))
-            found.append((lanes, lanes + off))
+    n, bits, found = len(group), 64 * fp.shape[1], []
+    head = np.flatnonzero(np.r_[True, group[1:] != group[:-1]]) if n else np.zeros(0, int)
+    each = np.diff(np.r_[head, n])
+    size = np.repeat(each, each)
+    left = np.repeat(head + each, each) - np.arange(n)  # nodes to the end of the group
+    here = np.arange(n)  # nodes whose planes are packed: whole groups, so partners stay as far apart
+    planes, off = None, 0
+    while True:
+        off += 1
+        going = size[here] > off
+        if not going.any():
+            break
+        if planes is None or 2 * np.count_nonzero(going) < len(here):
+            here = here[going]
+            planes = _planes(fp[here], bits)
+        a = planes[:, : planes.shape[1] - off // 64]
+        hit = near(a, _shifted(planes, off), _pack_valid(left[here] > off)[: a.shape[1]], radius)
+        lanes = np.flatnonzero(np.unpackbits(hit.astype("<u8").view(np.uint8), bitorder="little"))
+        found.append((here[lanes], here[lanes] + off))
     i = np.concatenate([x[0] for x in found]) if found else np.zeros(0, int)
     j = np.concatenate([x[1] for x in found]) if found else np.zeros(0, int)
     return i, j, np.bitwise_count(fp[i] ^ fp[j]).sum(axis=1, dtype=np.int64)
@@ -261,11 +254,11 @@ def links(nodes: DataFrame, masks: np.ndarray, radius: int, block: int = BLOCK)
     names = ["key", "id", *(f"f{w}" for w in range(wide))]
     schema = ", ".join(f"{x} long" for x in names)
     rows = nodes.select("id", "fp").mapInArrow(keyed, schema)
-    sizes = rows.groupBy("key").count().where("count > 1")
-    # bucket sizes ride along by a join on the key; only a bucket over the block size is dealt to pairs of blocks
-    rows = rows.join(sizes, "key").withColumn("blocks", F.ceil(F.col("count") / block).cast("int"))
-    mine = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    rows = rows.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    # buckets over the block size are few; they alone are dealt to pairs of blocks, each a task of its own
+    hot = c.kept(rows.groupBy("key").count().where(F.col("count") > block).select("key", F.ceil(F.col("count") / block).cast("int").alias("blocks")))
+    rows = rows.join(hot, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    rows = rows.withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.withColumn("x", F.least("mine", "other")).withColumn("y", F.greatest("mine", "other"))
     rows = rows.withColumn("task", F.when(F.col("blocks") == 1, F.col("key")).otherwise(F.xxhash64("key", "x", "y")))
 
@@ -273,16 +266,16 @@ def links(nodes: DataFrame, masks: np.ndarray, radius: int, block: int = BLOCK)
         table = pa.Table.from_batches(batches)
         get = lambda k: table.column(k).to_numpy()
         task, ids = get("task"), get("id")
-        order = np.lexsort((ids, get("y"), get("x"), get("key"), task))
-        task, ids, side, split = task[order], ids[order], get("mine")[order], (get("x") != get("y"))[order]
+        order = np.lexsort((ids, task))
+        task, ids, side = task[order], ids[order], get("side")[order]
         fp = np.stack([get(f"f{w}")[order].view(np.uint64) for w in range(wide)], axis=1)
         i, j, d = links_within(task, fp, radius)
-        cross = ~split[i] | (side[i] != side[j])
+        cross = (side[i] < 0) | (side[i] != side[j])  # two blocks: pairs across them only
         i, j, d = i[cross], j[cross], d[cross]
         pick = forest(i, j, d, len(ids))
         yield pa.RecordBatch.from_arrays([pa.array(ids[i[pick]]), pa.array(ids[j[pick]]), pa.array(d[pick])], ["a", "b", "distance"])
 
-    rows = rows.select("task", "key", "x", "y", "mine", *names[1:])
+    rows = rows.select("task", F.when(F.col("x") == F.col("y"), -1).otherwise(F.col("mine")).alias("side"), *names[1:])
     found = rows.repartition("task").mapInArrow(compare, "a long, b long, distance long")
     return found.groupBy("a", "b").agg(F.min("distance").alias("distance"))
 
