@@ -165,3 +165,29 @@ def spread(starts: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
     np.add.at(step, starts, 1)
     np.add.at(step, ends, -1)
     return np.cumsum(step[:-1]) > 0
+
+
+SIEVE_BITS = 1 << 22
+_SIEVE_PAGE = 1 << 15
+
+
+def sieved(df: DataFrame, id_col: str, ids: DataFrame, flag: str = "maybe") -> DataFrame:
+    """df with a boolean that is true for every id of `ids` (and, by chance, for a few others).
+
+    Ids are hashed into a bitmap of SIEVE_BITS bits, half a megabyte whatever their number, which is broadcast. What it
+    lets through is checked by an exact join of its own; the rest of df, texts and all, need not be shuffled.
+    """
+    place = lambda c: F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(SIEVE_BITS))
+    page, at = (lambda c: F.floor(place(c) / _SIEVE_PAGE)), (lambda c: place(c) % _SIEVE_PAGE)
+    pages = ids.select(page(ids.columns[0]).alias("_page"), at(ids.columns[0]).alias("_at")).groupBy("_page").agg(F.bitmap_construct_agg("_at").alias("_bits"))
+    out = df.withColumn("_page", page(id_col)).join(F.broadcast(pages), "_page", "left").withColumn("_at", at(id_col))
+    byte = F.conv(F.hex(F.expr("substring(_bits, cast(_at div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    hit = byte.bitwiseAND(F.expr("shiftleft(1, cast(_at % 8 as int))")) != 0
+    return out.withColumn(flag, F.coalesce(hit, F.lit(False))).select(*df.columns, flag)
+
+
+def without(df: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
+    """The rows of df whose id is not among `ids` (one column); only rows that the sieve holds back are shuffled."""
+    marked = sieved(df, id_col, ids)
+    checked = marked.where("maybe").join(ids.toDF(id_col), id_col, "left_anti")
+    return marked.where("not maybe").unionByName(checked).select(df.columns)

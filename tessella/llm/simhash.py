@@ -328,8 +328,8 @@ def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
 
 def similar(pairs: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """The pairs (a, b) whose sets of shingles have at least that Jaccard similarity."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = shingle_sets(docs.join(wanted, "doc_id", "left_semi"), shingle)
+    wanted = c.kept(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+    sets = shingle_sets(c.sieved(docs, "doc_id", wanted).where("maybe"), shingle)
     both = pairs.select("a", "b").join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a")
     both = both.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b")
 
@@ -354,12 +354,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     similarity with that recall, and every link is checked on the sets themselves.
     """
     named = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    same = named.select("doc_id", F.sha2("text", 256).alias("digest"))
-    same = c.kept(same.groupBy("digest").agg(F.min("doc_id").alias("first_id")).join(same, "digest").select("doc_id", "first_id").distinct())
-    first = named.join(same.where("doc_id = first_id").select("doc_id"), "doc_id", "left_semi")
-    nodes = c.kept(fingerprints(first, shingle, wide=True).select(F.col("doc_id").alias("id"), "fp"))
+    same = c.kept(named.select("doc_id", F.xxhash64("text").alias("half"), F.unhex(F.sha2("text", 256)).alias("digest")))
+    copies = c.kept(same.groupBy("half", "digest").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")).where("n > 1").drop("n"))
+    same = c.kept(same.join(copies, ["half", "digest"], "left").select("doc_id", F.coalesce("first_id", "doc_id").alias("first_id")))
+    nodes = fingerprints(named, shingle, wide=True).join(same.where("doc_id = first_id").select("doc_id").distinct(), "doc_id", "left_semi")
+    nodes = c.kept(nodes.select(F.col("doc_id").alias("id"), "fp"))
     angle = math.acos(2 * similarity / (1 + similarity)) / math.pi
     radius = math.ceil(128 * angle + 3.6 * math.sqrt(128 * angle * (1 - angle)))
     pairs = c.kept(links(nodes, sampled_keys(128, nodes.count(), angle, recall), radius))
-    found = components(similar(pairs, first, shingle, similarity))
+    found = components(similar(pairs, named, shingle, similarity))
     return same.join(found.withColumnRenamed("id", "first_id"), "first_id", "left").select("doc_id", F.coalesce("component_id", "first_id").alias("component_id")).where("doc_id <> component_id").dropDuplicates(["doc_id"])
