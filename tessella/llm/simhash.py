@@ -263,6 +263,8 @@ def links(nodes: DataFrame, masks: np.ndarray, radius: int, block: int = BLOCK)
     rows = rows.withColumn("task", F.when(F.col("blocks") == 1, F.col("key")).otherwise(F.xxhash64("key", "x", "y")))
 
     def compare(batches):
+        if not (batches := list(batches)):
+            return
         table = pa.Table.from_batches(batches)
         get = lambda k: table.column(k).to_numpy()
         task, ids = get("task"), get("id")
