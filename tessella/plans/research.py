@@ -49,11 +49,11 @@ def gate_verdict(v):
     return validation.verdict(validation.gate_rows(core, rules))
 
 
-@query("", "test", "p bonferroni holm bh", """SELECT test, p, least(1, p * n) AS bonferroni, least(1, max(p * (n - k + 1)) OVER (ORDER BY p, test)) AS holm, least(1, min(p * n / rk) OVER (ORDER BY p DESC, test DESC ROWS UNBOUNDED PRECEDING)) AS bh FROM (
-    SELECT *, count(*) OVER () AS n, row_number() OVER (ORDER BY p, test) AS k, count(*) OVER (ORDER BY p) AS rk FROM (SELECT o_custkey AS test, round((sum(o_totalprice) % 1000) / 1000, 6) AS p FROM orders WHERE o_custkey <= 300 GROUP BY 1))""")
+@query("family", "test", "p bonferroni holm bh", """SELECT family, test, p, least(1, p * n) AS bonferroni, least(1, max(p * (n - k + 1)) OVER (PARTITION BY family ORDER BY p, test)) AS holm, least(1, min(p * n / rk) OVER (PARTITION BY family ORDER BY p DESC, test DESC ROWS UNBOUNDED PRECEDING)) AS bh FROM (
+    SELECT *, count(*) OVER (PARTITION BY family) AS n, row_number() OVER (PARTITION BY family ORDER BY p, test) AS k, count(*) OVER (PARTITION BY family ORDER BY p) AS rk FROM (SELECT o_orderpriority AS family, o_custkey AS test, round((round(sum(o_totalprice), 2) % 1000) / 1000, 6) AS p FROM orders GROUP BY 1, 2))""")
 def p_adjust(v):
-    p = v.table("orders").where("o_custkey <= 300").groupBy(F.col("o_custkey").alias("test")).agg(F.round(F.sum("o_totalprice") % 1000 / 1000, 6).alias("p"))
-    return validation.p_adjust(p.withColumn("family", F.lit(1)))
+    p = v.table("orders").groupBy(F.col("o_orderpriority").alias("family"), F.col("o_custkey").alias("test")).agg(F.round(F.round(F.sum("o_totalprice"), 2) % 1000 / 1000, 6).alias("p"))
+    return validation.p_adjust(p)
 
 
 @query("", "n", "alpha beta r2 up_capture down_capture beta_up beta_down", """SELECT count(*) AS n, regr_intercept(a, n) AS alpha, regr_slope(a, n) AS beta, regr_r2(a, n) AS r2,

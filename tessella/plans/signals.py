@@ -27,9 +27,9 @@ def session_vwap(v):
     return panel.session_vwap(v.bars)
 
 
-@query("dt", "members", "", """SELECT dt, count(*) AS members FROM (SELECT DISTINCT dt FROM px WHERE month(dt) = 6) JOIN spans ON dt BETWEEN start_dt AND coalesce(end_dt, (SELECT max(dt) FROM px WHERE month(dt) = 6)) GROUP BY dt""", "px spans")
+@query("dt", "members", "", """SELECT dt, count(*) AS members FROM (SELECT DISTINCT dt FROM px) JOIN spans ON dt BETWEEN start_dt AND coalesce(end_dt, (SELECT max(dt) FROM px)) GROUP BY dt""", "px spans")
 def membership_counts(v):
-    days = v.px.where(F.month("dt") == 6).select("dt").distinct()
+    days = v.px.select("dt").distinct()
     return panel.members_on(v.spans, days, "start_dt", "end_dt").groupBy("dt").agg(F.count("*").alias("members"))
 
 
