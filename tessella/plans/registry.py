@@ -37,4 +37,4 @@ def query(keys: str = "", ints: str = "", doubles: str = "", sql: str | None = N
     return register
 
 
-from . import performance, research, rules, signals  # noqa: E402, F401  they register their queries
+from . import checks, performance, research, rules, signals  # noqa: E402, F401  they register their queries
