@@ -92,3 +92,95 @@ def reality_check(matrix: DataFrame, key: str, columns: str = "values", draws: i
         return pd.DataFrame({key: [pdf[key].iloc[0]], "statistic": [float(stat)], "p_value": [float((1 + (v >= stat).sum()) / (draws + 1))]})
 
     return matrix.groupBy(key).applyInPandas(one, f"{key} {matrix.schema[key].dataType.simpleString()}, statistic double, p_value double")
+
+
+def walk_forward(returns: DataFrame, combo: str, keys: list[str], folds: int = 5, purge: int = 0, rolling: bool = False) -> DataFrame:
+    """(keys, fold, combo, is_sharpe, oos_sharpe): the combination that is best in sample, on the fold after it.
+
+    A key's bars are cut into folds + 1 steps; fold k is step k, its sample all steps before it (rolling: the one before),
+    less `purge` bars at its end. Steps are summed once and folds are built from the sums where nothing is purged.
+    """
+    spark = returns.sparkSession
+    n = F.count("*").over(Window.partitionBy(*keys, combo))
+    i = F.row_number().over(Window.partitionBy(*keys, combo).orderBy("dt")) - 1
+    d = returns.withColumn("n", n).withColumn("i", i).withColumn("step", F.floor(F.col("n") / (folds + 1)))
+    d = d.where("step >= 10").withColumn("at", F.floor(F.col("i") / F.col("step")).cast("int")).where(F.col("at") <= folds)
+    late = (F.col("i") >= (F.col("at") + 1) * F.col("step") - purge) & (F.col("at") < folds)
+    g = d.withColumn("late", late).groupBy(*keys, combo, "at", "late").agg(F.count("*").alias("n"), F.sum("r").alias("s"), F.sum(F.col("r") ** 2).alias("q"))
+    use = [(k, a, x, a == k) for k in range(1, folds + 1) for a in range(k - 1 if rolling else 0, k + 1) for x in (False, True) if not (x and a == k - 1 and purge)]
+    g = g.join(F.broadcast(spark.createDataFrame(use, "fold int, at int, late boolean, test boolean")), ["at", "late"])
+    t = g.groupBy(*keys, combo, "fold", "test").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"))
+    var = (F.col("q") - F.col("s") ** 2 / F.col("n")) / (F.col("n") - 1)
+    sharpe = F.when(var > 1e-24, F.col("s") / F.col("n") / F.sqrt(var) * F.sqrt(F.lit(float(m.PPY)))).otherwise(0.0)
+    t = t.withColumn("sharpe", sharpe).groupBy(*keys, "fold", combo).agg(F.max(F.when(~F.col("test"), F.col("sharpe"))).alias("ins"), F.max(F.when(F.col("test"), F.col("sharpe"))).alias("out"))
+    best = t.groupBy(*keys, "fold").agg(F.max(F.struct("ins", (-F.col(combo)).alias("neg"), "out")).alias("b"))
+    return best.select(*keys, "fold", (-F.col("b.neg")).alias(combo), F.col("b.ins").alias("is_sharpe"), F.col("b.out").alias("oos_sharpe"))
+
+
+def walk_forward_summary(folds: DataFrame, combo: str, keys: list[str]) -> DataFrame:
+    """Per key: mean Sharpe in and out of sample, degradation, folds that stayed positive, and the share of the commonest winner."""
+    won = folds.groupBy(*keys, combo).count().groupBy(*keys).agg(F.max("count").alias("top"))
+    out = folds.groupBy(*keys).agg(F.count("*").alias("folds"), F.avg("is_sharpe").alias("is_mean"), F.avg("oos_sharpe").alias("oos_mean"), F.count_if(F.col("oos_sharpe") > 0).alias("positive"))
+    return out.join(won, keys).withColumn("degradation", F.col("is_mean") - F.col("oos_mean")).withColumn("stability", F.col("top") / F.col("folds")).drop("top")
+
+
+def best_by_regime(returns: DataFrame, combo: str, regime: str, share: float = 0.7) -> DataFrame:
+    """(regime, combo, is_sharpe, oos_sharpe): per regime the best combination on its first part, and its Sharpe on the rest."""
+    p = F.percent_rank().over(Window.partitionBy(regime, combo).orderBy("dt"))
+    d = returns.withColumn("p", p)
+    best = best_combo(d.where(F.col("p") < share), combo, [regime]).withColumnRenamed("sharpe", "is_sharpe")
+    out = d.where(F.col("p") >= share).groupBy(regime, combo).agg(m.sharpe("r").alias("oos_sharpe"))
+    return best.join(out, [regime, combo])
+
+
+def superior_ability(matrix: DataFrame, key: str, columns: str = "values", draws: int = 200, block: float = 10.0, seed: int = 42, alpha: float = 0.05) -> DataFrame:
+    """Per family: the studentised test of superior ability with its three recentrings, and how many candidates a step-down
+    test rejects. matrix: key, i, values array<double>, one excess return a candidate; families are parallel."""
+
+    def one(pdf):
+        import pandas as pd
+
+        x = np.stack(pdf.sort_values("i")[columns].to_numpy())
+        n, k = x.shape
+        mean, se = x.mean(axis=0), x.std(axis=0, ddof=1) / np.sqrt(n)
+        scale = np.where(se > 0, se, np.inf)
+        t = mean / scale
+        boot = np.stack([x[i].mean(axis=0) for i in stationary_indices(n, draws, block, seed)])
+        p = lambda centre: float((((boot - centre) / scale).max(axis=1) >= t.max()).mean())
+        near = np.where(t >= -np.sqrt(2 * np.log(np.log(max(n, 3)))), mean, 0.0)
+        z, left = (boot - mean) / scale, np.ones(k, bool)
+        while left.any():
+            new = left & (t > np.percentile(z[:, left].max(axis=1), 100 * (1 - alpha)))
+            if not new.any():
+                break
+            left &= ~new
+        return pd.DataFrame({key: [pdf[key].iloc[0]], "statistic": [float(t.max())], "p_lower": [p(mean)], "p_consistent": [p(near)], "p_upper": [p(0.0)], "rejected": [int((~left).sum())], "candidates": [k]})
+
+    return matrix.groupBy(key).applyInPandas(one, f"{key} {matrix.schema[key].dataType.simpleString()}, statistic double, p_lower double, p_consistent double, p_upper double, rejected int, candidates int")
+
+
+def posterior_sharpe(returns: DataFrame, key: str = "run_id", mu: float = 0.0, kappa: float = 1.0, alpha: float = 2.0, beta: float = 1e-4, draws: int = 10_000, seed: int = 42) -> DataFrame:
+    """Per run: the normal-inverse-gamma posterior of the yearly Sharpe: mean, 5 % and 95 % points, P(Sharpe > 1), and the decision.
+
+    Spark aggregates each run to four numbers; only those are sampled from.
+    """
+    d = returns.groupBy(key).agg(F.count("r").alias("n"), F.avg("r").alias("mean"), F.var_samp("r").alias("var"))
+
+    def f(frames):
+        for p in frames:
+            out = []
+            for n, mean, var in zip(p.n, p["mean"], p["var"]):
+                if n < 4:
+                    out.append((np.nan,) * 4)
+                    continue
+                rng = np.random.default_rng(seed)
+                b = beta + 0.5 * (n - 1) * var + kappa * n * (mean - mu) ** 2 / (2 * (kappa + n))
+                s2 = b / rng.gamma(alpha + n / 2, size=draws)
+                x = rng.normal((kappa * mu + n * mean) / (kappa + n), np.sqrt(s2 / (kappa + n))) / np.sqrt(s2) * np.sqrt(m.PPY)
+                out.append((x.mean(), *np.percentile(x, [5, 95]), (x > 1).mean()))
+            a = np.array(out).reshape(-1, 4)
+            yield p.assign(posterior=a[:, 0], low=a[:, 1], high=a[:, 2], p_above=a[:, 3])[[key, "n", "posterior", "low", "high", "p_above"]]
+
+    out = d.mapInPandas(f, f"{key} {returns.schema[key].dataType.simpleString()}, n long, posterior double, low double, high double, p_above double")
+    p = F.col("p_above")
+    return out.withColumn("decision", F.when(F.col("n") < 4, "INSUFFICIENT_DATA").when(p >= 0.8, "DEPLOY").when(p < 0.2, "REJECT").otherwise("WAIT"))

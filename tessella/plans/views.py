@@ -64,8 +64,11 @@ class Views:
 
     @cached_property
     def ticks(self) -> DataFrame:
+        return self.ticks_of(self.table("events"))
+
+    def ticks_of(self, events: DataFrame) -> DataFrame:
         side = F.when(F.col("user_id") % 2 == 0, "buy").otherwise("sell")
-        e = self.table("events").where("value is not null")
+        e = events.where("value is not null")
         return e.select(F.col("event_type").alias("symbol"), "ts", F.col("event_id").alias("tick_id"), F.col("value").alias("price"), F.lit(1.0).alias("qty"), side.alias("side"), F.to_date("ts").alias("session"))
 
     @cached_property
