@@ -10,14 +10,14 @@ from tessella.streaming import bars
 from .registry import query
 
 
-@query("run_id dt", "", "r", "SELECT * FROM rets", "rets")
+@query("run_id dt", "", "r", "SELECT * FROM rets", "rets", places=12)
 def csv_round_trip(v):
     path = files.new_path(v.spark, "returns")
     v.rets.write.option("header", True).csv(path)
     return files.read_csv(v.spark, path, "run_id string, dt date, r double")
 
 
-@query("run_id dt", "", "r", "SELECT * FROM rets WHERE dt BETWEEN DATE '1996-01-01' AND DATE '1998-12-31'", "rets")
+@query("run_id dt", "", "r", "SELECT * FROM rets WHERE dt BETWEEN DATE '1996-01-01' AND DATE '1998-12-31'", "rets", places=12)
 def as_of_scan(v):
     path = files.new_path(v.spark, "panel")
     v.rets.write.partitionBy("run_id").parquet(path)
@@ -37,16 +37,17 @@ def registry_latest(v):
     return registry.latest(registry.load(v.spark, path)).withColumn("score", F.col("metrics")["score"])
 
 
-@query("", "node root depth", "", """SELECT node, root, depth FROM (WITH RECURSIVE t(node, root, depth) AS (SELECT c_custkey, c_custkey, 0 FROM customer WHERE c_custkey % 7 = 1 OR c_custkey = 1 UNION ALL SELECT c_custkey, root, depth + 1 FROM customer JOIN t ON c_custkey = node + 1 WHERE c_custkey % 7 <> 1) SELECT * FROM t)""")
+@query("", "node root depth", "", """SELECT node, root, depth FROM (WITH RECURSIVE t(node, root, depth) AS (SELECT c_custkey, c_custkey, 0 FROM customer WHERE c_custkey % 7 = 0 UNION ALL SELECT c_custkey, root, depth + 1 FROM customer JOIN t ON c_custkey = node + 1 WHERE c_custkey % 7 <> 0) SELECT * FROM t)""")
 def lineage(v):
     key = F.col("c_custkey")
-    return registry.lineage(v.table("customer").select(key, F.when(key % 7 != 1, key - 1).alias("parent")), "c_custkey", "parent")
+    return registry.lineage(v.table("customer").select(key, F.when(key % 7 != 0, key - 1).alias("parent")), "c_custkey", "parent")
 
 
 @query("symbol bar", "trades", "open high low close volume", "SELECT symbol, date_trunc('hour', ts) AS bar, first(price ORDER BY ts, tick_id) AS open, max(price) AS high, min(price) AS low, last(price ORDER BY ts, tick_id) AS close, sum(qty) AS volume, count(*) AS trades FROM ticks GROUP BY 1, 2", "ticks")
 def streaming_bars(v):
     ticks = v.spark.readStream.schema(v.table("events").schema).option("pathGlobFilter", "events.parquet").parquet(v.sf_dir)
-    return bars.run_once(bars.streaming_bars(v.ticks_of(ticks)), v.spark)
+    out = bars.run_once(bars.streaming_bars(v.ticks_of(ticks.withColumn("ts", F.col("ts").cast("timestamp")))), v.spark)
+    return out.withColumn("bar", F.col("bar").cast(v.table("events").schema["ts"].dataType))
 
 
 @query("symbol dt", "", "price", None)
