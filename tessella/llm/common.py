@@ -180,14 +180,25 @@ def sieved(df: DataFrame, id_col: str, ids: DataFrame, flag: str = "maybe") -> D
     place = lambda c: F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(SIEVE_BITS))
     page, at = (lambda c: F.floor(place(c) / _SIEVE_PAGE)), (lambda c: place(c) % _SIEVE_PAGE)
     pages = ids.select(page(ids.columns[0]).alias("_page"), at(ids.columns[0]).alias("_at")).groupBy("_page").agg(F.bitmap_construct_agg("_at").alias("_bits"))
-    out = df.withColumn("_page", page(id_col)).join(F.broadcast(pages), "_page", "left").withColumn("_at", at(id_col))
+    # the row travels as one struct, so no column of df clashes with those added here
+    row = df.select(F.struct(*[df[x] for x in df.columns]).alias("_row"), page(id_col).alias("_page"), at(id_col).alias("_at"))
+    out = row.join(F.broadcast(pages), "_page", "left")
     byte = F.conv(F.hex(F.expr("substring(_bits, cast(_at div 8 as int) + 1, 1)")), 16, 10).cast("int")
     hit = byte.bitwiseAND(F.expr("shiftleft(1, cast(_at % 8 as int))")) != 0
-    return out.withColumn(flag, F.coalesce(hit, F.lit(False))).select(*df.columns, flag)
+    return out.select(*[F.col(f"_row.`{x}`").alias(x) for x in df.columns], F.coalesce(hit, F.lit(False)).alias(flag))
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """The name, with as many underscores before it as df's columns make necessary."""
+    taken = {x.lower() for x in df.columns}
+    while name in taken:
+        name = f"_{name}"
+    return name
 
 
 def without(df: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
     """The rows of df whose id is not among `ids` (one column); only rows that the sieve holds back are shuffled."""
-    marked = sieved(df, id_col, ids)
-    checked = marked.where("maybe").join(ids.toDF(id_col), id_col, "left_anti")
-    return marked.where("not maybe").unionByName(checked).select(df.columns)
+    flag = unused(df, "maybe")
+    marked = sieved(df, id_col, ids, flag)
+    checked = marked.where(F.col(flag)).join(ids.toDF(id_col), id_col, "left_anti")
+    return marked.where(~F.col(flag)).unionByName(checked).select(df.columns)

@@ -159,8 +159,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     return Model(counts.astype(np.float32), got.column("label").to_numpy())
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with a column `score` (double, 0 to 1) added last."""
+def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
+    """docs with a column of that name (double, 0 to 1) added last."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
     where = docs.columns.index("text")
 
@@ -170,8 +170,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             s = [sent.value.scores(counts) for _, _, counts in _each(one)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(s) if s else np.zeros(0))], names)
 
-    names = [*docs.columns, "score"]
-    return docs.mapInArrow(f, docs.select("*", F.lit(0.0).alias("score")).schema)
+    names = [*docs.columns, name]
+    return docs.mapInArrow(f, docs.select("*", F.lit(0.0).alias(name)).schema)
 
 
 def learnable(labels: DataFrame, label: str = "quality") -> DataFrame:

@@ -227,8 +227,8 @@ def _texts(group: _Group, removed: np.ndarray) -> pa.Table:
     return pa.table({"rest": group.rest, "text": pa.array(texts, pa.string()), "n_removed": pa.array(n_removed, pa.int64())})
 
 
-def substring_dedup(docs: DataFrame, window: int = WINDOW, shortest: int = SHORTEST) -> DataFrame:
-    """All columns of docs, the text without the words that an earlier document's windows cover, and n_removed (words)."""
+def substring_dedup(docs: DataFrame, window: int = WINDOW, shortest: int = SHORTEST, count: str = "n_removed") -> DataFrame:
+    """All columns of docs, the text without the words that an earlier document's windows cover, and their number as `count`."""
     rest = docs.drop("text").schema.simpleString()
     out = covered(docs, c.text_bytes(docs), window, _texts, f"rest {rest}, text string, n_removed long", shortest, rest=True)
-    return out.select(*[F.col("text") if x == "text" else F.col(f"rest.`{x}`") for x in docs.columns], "n_removed")
+    return out.select(*[F.col("text") if x == "text" else F.col(f"rest.`{x}`") for x in docs.columns], F.col("n_removed").alias(count))
