@@ -12,6 +12,9 @@
    Buckets of more than `BLOCK` nodes are cut into blocks and every pair of blocks is a task of its own, so that no
    bucket gathers in one task.
 5. `components` joins the forests by alternating large-star and small-star steps.
+6. Where links are checked on the sets themselves (`near_duplicates`), a forest is only a first guess: a node's nearest
+   fingerprint may fail the check while a farther one passes. `unjoined_links` therefore checks every pair within the
+   radius whose ends the forests' good links left apart.
 
 Edge cases: null and empty texts have fingerprint zero and link like any other; texts of fewer words than a shingle
 are one shingle; rows that repeat a doc_id are one node each text; null doc_ids come back as null rows that are
@@ -32,6 +35,8 @@ from pyspark.sql import functions as F
 from . import common as c
 
 BLOCK = 4096
+CHECK_BLOCK = 128  # nodes of a block that bring their sets of shingles with them
+PIECE = 32 * CHECK_BLOCK
 RADIUS = 2
 SHINGLE = 3
 
@@ -235,8 +240,8 @@ def forest(i: np.ndarray, j: np.ndarray, d: np.ndarray, n: int) -> np.ndarray:
     return np.array(keep, dtype=np.int64)
 
 
-def links(nodes: DataFrame, masks: np.ndarray, radius: int, block: int = BLOCK) -> DataFrame:
-    """(a, b, distance): for every bucket a minimum spanning forest of the links within the radius. nodes: (id, fp array)."""
+def _keyed(nodes: DataFrame, masks: np.ndarray) -> DataFrame:
+    """(key, id, f0, f1, ...): every node once for each mask. nodes: (id, fp array)."""
     many, wide = masks.shape
     key_seed = np.arange(1, many + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
@@ -252,8 +257,12 @@ def links(nodes: DataFrame, masks: np.ndarray, radius: int, block: int = BLOCK)
             yield pa.RecordBatch.from_arrays(cols, names)
 
     names = ["key", "id", *(f"f{w}" for w in range(wide))]
-    schema = ", ".join(f"{x} long" for x in names)
-    rows = nodes.select("id", "fp").mapInArrow(keyed, schema)
+    return nodes.select("id", "fp").mapInArrow(keyed, ", ".join(f"{x} long" for x in names))
+
+
+def _dealt(rows: DataFrame, block: int) -> DataFrame:
+    """Keyed rows with `task` and `side` in place of the key: tasks of one bucket (side -1), or of two blocks of a large one."""
+    names = rows.columns[1:]
     # buckets over the block size are few; they alone are dealt to pairs of blocks, each a task of its own
     hot = c.kept(rows.groupBy("key").count().where(F.col("count") > block).select("key", F.ceil(F.col("count") / block).cast("int").alias("blocks")))
     rows = rows.join(hot, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
@@ -261,6 +270,12 @@ def links(nodes: DataFrame, masks: np.ndarray, radius: int, block: int = BLOCK)
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.withColumn("x", F.least("mine", "other")).withColumn("y", F.greatest("mine", "other"))
     rows = rows.withColumn("task", F.when(F.col("blocks") == 1, F.col("key")).otherwise(F.xxhash64("key", "x", "y")))
+    return rows.select("task", F.when(F.col("x") == F.col("y"), -1).otherwise(F.col("mine")).alias("side"), *names)
+
+
+def links(nodes: DataFrame, masks: np.ndarray, radius: int, block: int = BLOCK) -> DataFrame:
+    """(a, b, distance): for every bucket a minimum spanning forest of the links within the radius. nodes: (id, fp array)."""
+    wide = masks.shape[1]
 
     def compare(batches):
         if not (batches := list(batches)):
@@ -277,8 +292,7 @@ def links(nodes: DataFrame, masks: np.ndarray, radius: int, block: int = BLOCK)
         pick = forest(i, j, d, len(ids))
         yield pa.RecordBatch.from_arrays([pa.array(ids[i[pick]]), pa.array(ids[j[pick]]), pa.array(d[pick])], ["a", "b", "distance"])
 
-    rows = rows.select("task", F.when(F.col("x") == F.col("y"), -1).otherwise(F.col("mine")).alias("side"), *names[1:])
-    found = rows.repartition("task").mapInArrow(compare, "a long, b long, distance long")
+    found = _dealt(_keyed(nodes, masks), block).repartition("task").mapInArrow(compare, "a long, b long, distance long")
     return found.groupBy("a", "b").agg(F.min("distance").alias("distance"))
 
 
@@ -348,12 +362,83 @@ def similar(pairs: DataFrame, docs: DataFrame, shingle: int, similarity: float)
     return both.mapInArrow(f, "a long, b long")
 
 
+def joining(i: np.ndarray, j: np.ndarray, d: np.ndarray, label: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Links among the pairs (i, j) of that Jaccard similarity that join all labels which any such pair joins.
+
+    Nodes take their turn by mean distance, so the middle of a star comes early; a pair whose ends are joined already, in
+    whatever way, is not checked, every other one is.
+    """
+    n = len(label)
+    size = np.array([len(x) for x in sets], dtype=np.int64)
+    first = np.r_[0, np.cumsum(size)]
+    values, flat = np.unique(np.concatenate(sets) if sets else np.zeros(0, np.uint64), return_inverse=True)
+    mark = np.zeros(len(values), bool)
+    # every pair from both ends, by the first
+    a, b, far = np.r_[i, j], np.r_[j, i], np.r_[d, d]
+    order = np.argsort(a, kind="stable")
+    a, b, far = a[order], b[order], far[order]
+    at = np.searchsorted(a, np.arange(n + 1))
+    many = np.diff(at)
+    mean = np.bincount(a, weights=far, minlength=n) / np.maximum(many, 1)
+    comp, out, done = np.unique(label, return_inverse=True)[1], [], np.zeros(n, bool)
+    for x in np.argsort(mean, kind="stable").tolist():
+        if not many[x]:
+            continue
+        done[x] = True
+        mine = flat[first[x] : first[x + 1]]
+        mark[mine] = True
+        mates = b[at[x] : at[x + 1]]
+        mates = mates[~done[mates]]
+        for lo in range(0, len(mates), 256):
+            y = mates[lo : lo + 256]
+            y = y[comp[y] != comp[x]]
+            if not len(y):
+                continue
+            to = np.r_[0, np.cumsum(size[y])]
+            hit = np.r_[0, np.cumsum(mark[flat[np.repeat(first[y] - to[:-1], size[y]) + np.arange(to[-1])]])]
+            common = hit[to[1:]] - hit[to[:-1]]
+            for z in y[(common > 0) & (common >= similarity * (size[x] + size[y] - common))].tolist():
+                if comp[z] != comp[x]:
+                    comp[comp == comp[z]] = comp[x]
+                    out.append((x, z))
+        mark[mine] = False
+    return out
+
+
+def unjoined_links(nodes: DataFrame, docs: DataFrame, masks: np.ndarray, radius: int, shingle: int, similarity: float, block: int = CHECK_BLOCK, piece: int = PIECE) -> DataFrame:
+    """(a, b): links of at least that Jaccard similarity which join all labels that any pair within the radius joins.
+
+    nodes: (id, fp, piece, label). A piece is a set of nodes connected within the radius. All pairs of a piece are
+    compared up to `piece` nodes, by pairs of blocks; in a larger one those that share a bucket are.
+    """
+    wide = masks.shape[1]
+    large = nodes.groupBy("piece").count().where(F.col("count") > piece).select("piece")
+    fps = [F.col("fp")[w].alias(f"f{w}") for w in range(wide)]
+    rows = nodes.join(large, "piece", "left_anti").select(F.xxhash64("piece").alias("key"), "id", *fps)
+    rows = _dealt(c.kept(rows.unionByName(_keyed(nodes.join(large, "piece", "left_semi"), masks))), block)
+    sets = shingle_sets(c.sieved(docs, "doc_id", nodes.select("id")).where("maybe"), shingle).withColumnRenamed("doc_id", "id")
+    rows = rows.join(nodes.select("id", "label").join(sets, "id"), "id")
+
+    def check(table: pa.Table) -> pa.Table:
+        get = lambda k: table.column(k).to_numpy()
+        ids, side, label = get("id"), get("side"), get("label")
+        fp = np.stack([get(f"f{w}").view(np.uint64) for w in range(wide)], axis=1)
+        i, j, d = links_within(np.zeros(len(ids), np.int64), fp, radius)
+        apart = (label[i] != label[j]) & ((side[i] < 0) | (side[i] != side[j]))
+        found = joining(i[apart], j[apart], d[apart], label, [np.frombuffer(x, np.uint64) for x in table.column("shingles").to_pylist()], similarity)
+        x, y = np.array(found, dtype=np.int64).reshape(-1, 2).T
+        return pa.table({"a": pa.array(ids[x], pa.int64()), "b": pa.array(ids[y], pa.int64())})
+
+    return rows.groupBy("task").applyInArrow(check, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, recall: float = 0.97) -> DataFrame:
     """(doc_id, component_id) of the rows to drop so that one document of every group of near copies stays, the one of the smallest id.
 
     Near copies share a set of `shingle`-word shingles to at least `similarity` (Jaccard). Exact copies collapse first;
     128-bit fingerprints of the others are compared in buckets of sampled bits, as many as find a pair at just that
-    similarity with that recall, and every link is checked on the sets themselves.
+    similarity with that recall, and every link is checked on the sets themselves: the buckets' forests first, then all
+    pairs within the radius whose ends these left apart.
     """
     named = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     same = c.kept(named.select("doc_id", F.xxhash64("text").alias("half"), F.unhex(F.sha2("text", 256)).alias("digest")))
@@ -363,6 +448,18 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     nodes = c.kept(nodes.select(F.col("doc_id").alias("id"), "fp"))
     angle = math.acos(2 * similarity / (1 + similarity)) / math.pi
     radius = math.ceil(128 * angle + 3.6 * math.sqrt(128 * angle * (1 - angle)))
-    pairs = c.kept(links(nodes, sampled_keys(128, nodes.count(), angle, recall), radius))
-    found = components(similar(pairs, named, shingle, similarity))
+    masks = sampled_keys(128, nodes.count(), angle, recall)
+    pairs = c.kept(links(nodes, masks, radius))
+    good = c.kept(similar(pairs, named, shingle, similarity))
+    found = c.kept(components(good))
+    of = lambda x: found.select(F.col("id").alias(x), F.col("component_id").alias(f"{x}_label"))
+    apart = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where("coalesce(a_label, a) <> coalesce(b_label, b)")
+    apart = c.kept(apart.select(F.col("a").alias("id")).distinct())
+    if apart.limit(1).count():
+        pieces = components(pairs).withColumnRenamed("component_id", "piece")
+        pieces = c.kept(pieces.unionByName(pieces.select(F.col("piece").alias("id"), "piece")).distinct())  # components leaves the smallest id itself out
+        pieces = pieces.join(pieces.join(apart, "id", "left_semi").select("piece").distinct(), "piece", "left_semi")
+        left = nodes.join(pieces, "id").join(found, "id", "left").select("id", "fp", "piece", F.coalesce("component_id", "id").alias("label"))
+        more = unjoined_links(c.kept(left), named, masks, radius, shingle, similarity)
+        found = components(good.unionByName(c.kept(more)))
     return same.join(found.withColumnRenamed("id", "first_id"), "first_id", "left").select("doc_id", F.coalesce("component_id", "first_id").alias("component_id")).where("doc_id <> component_id").dropDuplicates(["doc_id"])
