@@ -2,8 +2,8 @@
 
 1. A bounded sample of rows (`PIVOTS`, by a hash of vec_id) serves as pivots. Every row goes to its nearest pivot's cell.
 2. Summaries, one row per cell: rows, radius (largest distance from the pivot), queries, and the queries' radius. For
-   every query group G, the (k + 1) largest lower bounds p_G.c - u_G |c| over all rows c, merged from partial tops,
-   give a score that k other rows surely reach for every query of G.
+   every query group G, the (k + 1) largest lower bounds p_G.c - u_G |c| over all vec_ids (the best row c of each), merged
+   from partial tops, give a score that rows of k other vec_ids surely reach for every query of G.
 3. A cell can hold a better row for G only if p_G.p_j + |p_G| r_j + u_G (|p_j| + r_j) reaches that score. Query groups
    are replicated to the surviving cells only. Cells are cut into chunks of about `CHUNK` rows by a hash of vec_id, so a
    cell that holds a third of all rows is many tasks.
@@ -83,20 +83,32 @@ def knn_join(rows: DataFrame, is_query, k: int = 5, pivots: int = PIVOTS, chunk:
     groups = np.flatnonzero(reach >= 0)
 
     def lower(batches):
-        top = np.full((len(groups), k + 1), -np.inf)
+        ids, top = np.zeros((len(groups), 0), np.int64), np.zeros((len(groups), 0))
         for b in batches:
             m = _matrix(b.column("v"), dim).astype(np.float64)
             lb = centre[groups] @ m.T - reach[groups][:, None] * np.linalg.norm(m, axis=1)[None, :]
-            top = -np.sort(-np.concatenate([top, lb], axis=1), axis=1)[:, : k + 1]
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(groups, k + 1), pa.int32()), pa.array(top.ravel())], ["cell", "lb"])
-
-    tops = dealt.select("v").mapInArrow(lower, "cell int, lb double").groupBy("cell").agg(F.element_at(F.sort_array(F.collect_list("lb"), False), k + 1).alias("t")).collect()
+            new, of = np.unique(b.column("vec_id").to_numpy(), return_inverse=True)  # rows of one vec_id count once
+            if len(new) < len(of):
+                order = np.argsort(of, kind="stable")
+                lb = np.maximum.reduceat(lb[:, order], np.searchsorted(of[order], np.arange(len(new))), axis=1)
+            ids, top = np.concatenate([ids, np.broadcast_to(new, lb.shape)], axis=1), np.concatenate([top, lb], axis=1)
+            order = np.lexsort((-top, ids), axis=1)
+            ids, top = np.take_along_axis(ids, order, axis=1), np.take_along_axis(top, order, axis=1)
+            top[:, 1:][ids[:, 1:] == ids[:, :-1]] = -np.inf
+            order = np.argsort(-top, axis=1, kind="stable")[:, : k + 1]
+            ids, top = np.take_along_axis(ids, order, axis=1), np.take_along_axis(top, order, axis=1)
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(groups, ids.shape[1]), pa.int32()), pa.array(ids.ravel()), pa.array(top.ravel())], ["cell", "vec_id", "lb"])
+
+    tops = dealt.select("vec_id", "v").mapInArrow(lower, "cell int, vec_id long, lb double").groupBy("cell", "vec_id").agg(F.max("lb").alias("lb"))
+    tops = tops.groupBy("cell").agg(F.get(F.sort_array(F.collect_list("lb"), False), k).alias("t")).where("t is not null").collect()
     sure = np.full(n_cells, -np.inf)
     for r in tops:
         sure[r["cell"]] = r["t"]
     above = centre @ centre.T + centre_norm[:, None] * radius[None, :] + np.maximum(reach, 0)[:, None] * (centre_norm + radius)[None, :]
+    # rounding errors grow with the lengths of the vectors, not with the bounds, which may be negative or cancel
+    slack = 1e-9 * (centre_norm + np.maximum(reach, 0)) * (centre_norm + radius).max() + 1e-6
     parts = np.maximum(1, -(-size // chunk))
-    visit = [(int(g), int(j), int(parts[j])) for g in groups for j in np.flatnonzero(size) if above[g, j] * (1 + 1e-9) + 1e-6 >= sure[g]]
+    visit = [(int(g), int(j), int(parts[j])) for g in groups for j in np.flatnonzero(size) if above[g, j] + slack[g] >= sure[g]]
     # at most PIVOTS * PIVOTS rows, whatever the input
     visits = spark.createDataFrame(visit, "cell int, to int, parts int")
     part_of = spark.createDataFrame([(int(j), int(parts[j])) for j in np.flatnonzero(size)], "cell int, parts int")

@@ -312,3 +312,23 @@ def test_joining_checks_every_pair_left_apart():
     for x, y in got:
         comp[comp == comp[y]] = comp[x]
     assert all(comp[x] == comp[y] for x, y in zip(i, j) if good(x, y))
+
+
+@pytest.mark.parametrize("case", ["negative", "copies", "both", "few"])
+def test_voronoi_knn_keeps_cells_at_the_bound(spark, case):
+    rng = np.random.default_rng(3)
+    base = [[0.0, -4.0]] + [[0.0, 3.0 + i] for i in range(6)]
+    rows = {
+        "negative": [(i * 50, v) for i, v in enumerate(base)],  # all scores of row 0 are under -1000
+        "copies": [(0, [2.0, 0.0])] * 6 + [(i, [1.0 / i, 0.0]) for i in range(1, 7)],
+        "both": [(int(i), v.tolist()) for i, v in zip(rng.integers(0, 120, 400), rng.normal(-2, 3, (400, 3)))] + [(100, [9.0, 9.0, 9.0])] * 8,
+        "few": [(0, [1.0, 0.0])] * 7 + [(1, [-30.0, 0.0])],
+    }[case]
+    df = voronoi_knn.integer_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    v = [(i, np.floor(256 * np.array(x)).astype(np.int64)) for i, x in rows]
+    want = []
+    for q in sorted({i for i, _ in v if i % 50 == 0}):
+        copies = [x for i, x in v if i == q]
+        best = sorted((-int(x @ y), i) for x in copies for i, y in v if i != q)[:5]
+        want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(best)]
+    assert sorted(map(tuple, voronoi_knn.knn_join(df, F.col("vec_id") % 50 == 0).collect())) == want
