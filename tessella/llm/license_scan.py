@@ -1,9 +1,13 @@
 """Operator 1: licence scan by canonical digest lookup.
 
-A text is brought to a canonical form (lower case; copyright lines gone; equivalent spellings made one; punctuation and
+A text is brought to a canonical form (lower case; copyright notices and licence titles gone; equivalent spellings made one; punctuation and
 white space runs a single blank), and the SHA-256 of the whole form is hash-joined to the digests of known licences.
 Only DataFrame functions are used.
 
+A line is a notice if its copyright mark is followed by a year or (c) and a name, or if it is "all rights reserved" alone.
+Above the body, "copyright" and a name are a notice too. Other lines that begin with "copyright" are running text: where
+a line breaks does not matter there. A placeholder such as "copyright (c) <year>" is no notice.
+
 Edge cases: null texts count as empty; a text without a letter or digit has the digest of the empty form and never
 matches; several known names with one canonical text give the smallest name; repeated rows and null doc_ids are kept;
 an empty table gives an empty result; an empty table of known licences gives nulls.
@@ -31,6 +35,14 @@ EQUIVALENT = [
     ("http://", "https://"),
 ]
 
+_MARKS = r"[ \t/*#;:.-]*+"
+_NOTICE = r"(copyright[ \t:,]*(\(c\)[ \t:,]*)?(1[89]|20)\d\d\b|copyright[ \t:,]*\(c\)[ \t:,]*[^\s<\[{]|\(c\)[ \t:,]*(copyright\b|(1[89]|20)\d\d\b))[^\n]*"
+_RIGHTS = r"all rights reserved[ \t.*/#;-]*(?=\n|$)"
+_TITLE = r"(the )?(mit|expat|isc|zlib|0bsd|(zero|two|three|[023])[- ]clause bsd|bsd|unlicense|simplified bsd|new bsd|apache)\b( [\w\"'().,-]+){0,5}(?<=license|licence|unlicense|0bsd|bsd|[)])[ \t.:*/#;-]*(?=\n|$)"
+_NAME = r"(copyright\b(?![ \t]*[<\[{])|\(c\)(?= *[^\s<\[{]))[^\n]*"
+NOTICE_LINE = rf"(^|\n){_MARKS}({_NOTICE}|{_RIGHTS})"
+HEAD = rf"\G\s*+{_MARKS}({_NOTICE}|{_RIGHTS}|{_TITLE}|{_NAME})(?=\n|$)"
+#: What the SQL beside the query takes for a copyright line: any line that begins like one, running text or not.
 COPYRIGHT_LINE = r"(^|\n)[ \t/*#;:.-]*(copyright|\(c\)|all rights reserved)[^\n]*"
 BROADCAST_ROWS = 50_000
 
@@ -38,7 +50,9 @@ BROADCAST_ROWS = 50_000
 def canonical(text: Column) -> Column:
     t = F.lower(F.coalesce(text, F.lit("")))
     t = F.replace(t, F.lit("©"), F.lit("(c)"))
-    t = F.regexp_replace(t, COPYRIGHT_LINE, "\n")
+    t = F.regexp_replace(t, "\r\n?", "\n")
+    t = F.regexp_replace(t, HEAD, "\n")
+    t = F.regexp_replace(t, NOTICE_LINE, "\n")
     for a, b in EQUIVALENT:
         t = F.replace(t, F.lit(a), F.lit(b))
     return F.trim(F.regexp_replace(t, "[^a-z0-9]+", " "))

@@ -332,3 +332,23 @@ def test_voronoi_knn_keeps_cells_at_the_bound(spark, case):
         best = sorted((-int(x @ y), i) for x in copies for i, y in v if i != q)[:5]
         want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(best)]
     assert sorted(map(tuple, voronoi_knn.knn_join(df, F.col("vec_id") % 50 == 0).collect())) == want
+
+
+def test_license_scan_takes_every_wrap(spark):
+    import textwrap
+
+    rows, want = [], []
+    for name, text in sorted(KNOWN.items()):
+        parts = [" ".join(p.split()) for p in text.split("\n\n")]
+        bodies = [" ".join(parts)] + ["\n\n".join(textwrap.fill(p, w, break_long_words=False, break_on_hyphens=False) for p in parts) for w in (1, 25, 40, 60, 72, 79, 100)]
+        heads = ["", "Copyright (c) 2020 Jane Doe\n\n", "Copyright Jane Doe\nAll rights reserved.\n\n", "© 2019-2021 Doe Ltd.\n", f"{name.split('-')[0]} License\n\nCopyright (c) Jane Doe\n"]
+        for body in bodies:
+            for head in heads:
+                rows.append((len(rows), head + body))
+                want.append(name)
+    rows += [(len(rows), "The MIT License (MIT)\r\n\r\n" + KNOWN["MIT"].replace("\n", "\r\n")), (len(rows) + 1, "Some words\ncopyright holders say"), (len(rows) + 2, "Some words copyright\nholders say"), (len(rows) + 3, "Some words")]
+    got = {r.doc_id: r for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string"), license_scan.known_licenses(spark)).collect()}
+    n = len(want)
+    assert [(i, want[i], got[i].license_id) for i in range(n) if got[i].license_id != want[i]] == []
+    assert got[n].license_id == "MIT"
+    assert got[n + 1].canonical_sha256 == got[n + 2].canonical_sha256 != got[n + 3].canonical_sha256
