@@ -1,7 +1,8 @@
 """Operator 4 [native]: chat formatting with tool-call linking.
 
 Only DataFrame functions. Messages are rows (conv_id, turn, role, text). A text that is a JSON object with
-``tool_calls: [{id, name, arguments, depends_on}]`` holds calls; one with ``tool_call_id`` is a result; any other text is
+``tool_calls: [{id, name, arguments, depends_on}]`` holds calls (name and arguments may lie in a ``function`` object), and
+its ``content``, if any, is a plain message of its own before them (pos -1); one with ``tool_call_id`` is a result; any other text is
 a plain message. The output has one row per item (plain message, call, result); a conversation is never gathered:
 
 * results are hash-joined to calls on (conv_id, call id), so a huge conversation spreads by its identifiers;
@@ -9,7 +10,8 @@ a plain message. The output has one row per item (plain message, call, result);
   ``depth`` is the longest chain of dependencies before an item (calls even, results odd) and ``order_turn`` the turn it
   sorts at; ORDER BY order_turn, depth, turn, pos is a topological order that keeps turns otherwise;
 * arguments are validated against the tool's schema (JSON Schema: properties with types, required,
-  additionalProperties); ``errors`` lists what fails;
+  additionalProperties); ``errors`` lists what fails. Schemas come from a table of tools and from the conversation's own
+  system messages that are JSON objects with ``tools: [{name, parameters}]`` or ``tools: [{function: {...}}]``, which go first;
 * ``canonical`` is the item as JSON with keys sorted at every depth and no white space.
 
 ``status``: ok; unanswered (a call without a result); orphan (a result without a call); duplicate (a later call or result
@@ -29,7 +31,8 @@ from pyspark.sql import functions as F
 
 from . import common as c
 
-CALLS = "array<struct<id: string, name: string, arguments: variant, depends_on: array<string>>>"
+CALLS = "array<struct<id: string, name: string, arguments: variant, depends_on: array<string>, function: struct<name: string, arguments: variant>>>"
+OFFERED = "array<struct<name: string, parameters: variant, function: struct<name: string, parameters: variant>>>"
 NO_TOOLS = "name string, schema string"
 
 
@@ -48,19 +51,37 @@ def items(messages: DataFrame) -> DataFrame:
     is_call = F.size(F.coalesce("calls", F.expr(f"cast(array() as {CALLS})"))) > 0
     base = ["conv_id", "turn", "role"]
     calls = m.where(is_call).select(*base, F.posexplode("calls").alias("pos", "call"))
+    calls = calls.withColumn("given", F.coalesce("call.arguments", "call.function.arguments"))
     calls = calls.select(
-        *base, F.col("pos").cast("long").alias("pos"), F.lit("call").alias("kind"), F.col("call.id").alias("call_id"), F.col("call.name").alias("name"),
-        F.coalesce(F.expr("case when schema_of_variant(call.arguments) = 'STRING' then try_parse_json(cast(call.arguments as string)) end"), F.col("call.arguments")).alias("args"),
-        F.coalesce("call.depends_on", F.array().cast("array<string>")).alias("deps"), F.lit(None).cast("string").alias("content"),
+        *base, F.col("pos").cast("long").alias("pos"), F.lit("call").alias("kind"), F.col("call.id").alias("call_id"), F.coalesce("call.name", "call.function.name").alias("name"),
+        F.coalesce(F.expr("case when schema_of_variant(given) = 'STRING' then try_parse_json(cast(given as string)) end"), F.col("given")).alias("args"),
+        F.coalesce("call.depends_on", F.array().cast("array<string>")).alias("deps"), F.lit(None).cast("string").alias("content"), F.lit(None).cast("string").alias("beside"),
     )
-    rest = m.where(~is_call)
     result = F.col("result_id").isNotNull()
+    # what is said beside calls is a message of its own
+    said = F.expr("try_variant_get(v, '$.content', 'variant')")
+    beside = m.where(is_call & ~result).withColumn("beside", F.to_json(said)).where("beside is not null and beside not in ('null', '\"\"', '[]')")
+    beside = beside.select(
+        *base, F.lit(-1).cast("long").alias("pos"), F.lit("message").alias("kind"), F.lit(None).cast("string").alias("call_id"), F.lit(None).cast("string").alias("name"),
+        F.lit(None).cast("variant").alias("args"), F.array().cast("array<string>").alias("deps"), F.lit(None).cast("string").alias("content"), "beside",
+    )
+    rest = m.where(~is_call | result)
     rest = rest.select(
         *base, F.lit(0).cast("long").alias("pos"), F.when(result, "result").otherwise("message").alias("kind"), F.col("result_id").alias("call_id"),
         F.lit(None).cast("string").alias("name"), F.lit(None).cast("variant").alias("args"), F.array().cast("array<string>").alias("deps"),
-        F.when(result, F.to_json(F.expr("try_variant_get(v, '$.content', 'variant')"))).otherwise(F.col("text")).alias("content"),
+        F.when(result, F.to_json(F.expr("try_variant_get(v, '$.content', 'variant')"))).otherwise(F.col("text")).alias("content"), F.lit(None).cast("string").alias("beside"),
     )
-    return calls.unionByName(rest)
+    return calls.unionByName(beside).unionByName(rest)
+
+
+def offered_tools(messages: DataFrame) -> DataFrame:
+    """(conv_id, name, own_schema): the tools that a conversation's system messages describe; the smallest text of a repeated name."""
+    may = F.lower("role").isin("system", "developer") & F.col("text").rlike(r'^\s*\{') & F.contains("text", F.lit('"tools"'))
+    m = messages.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text")).where(may)
+    m = m.where("conv_id is not null").select("conv_id", F.explode(F.expr(f"try_variant_get(try_parse_json(text), '$.tools', '{OFFERED}')")).alias("t"))
+    m = m.select("conv_id", F.coalesce("t.name", "t.function.name").alias("name"), F.to_json(F.coalesce("t.parameters", "t.function.parameters")).alias("s"))
+    m = m.where("name is not null and s is not null").groupBy("conv_id", "name").agg(F.min("s").alias("s"))
+    return m.select("conv_id", "name", F.try_parse_json("s").alias("own_schema"))
 
 
 def _depths(calls: DataFrame) -> DataFrame:
@@ -132,7 +153,8 @@ def link_tool_calls(messages: DataFrame, tools: DataFrame | None = None) -> Data
     others = linked.where("not first").withColumn("order_turn", F.col("turn")).withColumn("depth", F.lit(0).cast("long")).withColumn("status", F.lit("duplicate"))
     plain = plain.withColumn("order_turn", F.col("turn")).withColumn("depth", F.lit(0).cast("long")).withColumn("status", F.lit("ok"))
     rows = calls.select(out).unionByName(results.select(out)).unionByName(others.select(out))
-    rows = rows.join(tools, "name", "left").withColumn("errors", _errors()).withColumn("known_tool", F.when(F.col("kind") == "call", F.col("schema").isNotNull()))
+    rows = rows.join(tools, "name", "left").join(offered_tools(messages), ["conv_id", "name"], "left")
+    rows = rows.withColumn("schema", F.coalesce("own_schema", "schema")).withColumn("errors", _errors()).withColumn("known_tool", F.when(F.col("kind") == "call", F.col("schema").isNotNull()))
     body = F.when(
         F.col("kind") == "call",
         F.concat(
@@ -142,7 +164,8 @@ def link_tool_calls(messages: DataFrame, tools: DataFrame | None = None) -> Data
     ).otherwise(F.concat(F.lit('{"content":'), F.coalesce("content", F.lit("null")), F.lit(',"role":'), _quoted("role"), F.lit(',"tool_call_id":'), _quoted("call_id"), F.lit("}")))
     final = ["conv_id", "turn", "pos", "role", "kind", "call_id", "order_turn", "depth", "status", "known_tool", "errors", "canonical"]
     rows = rows.withColumn("canonical", body).select(final)
-    plain = plain.withColumn("canonical", F.to_json(F.struct("content", "role"), {"ignoreNullFields": "false"}))
+    spoken = F.to_json(F.struct("content", "role"), {"ignoreNullFields": "false"})
+    plain = plain.withColumn("canonical", F.when(F.col("beside").isNull(), spoken).otherwise(F.concat(F.lit('{"content":'), "beside", F.lit(',"role":'), _quoted("role"), F.lit("}"))))
     plain = plain.withColumn("known_tool", F.lit(None).cast("boolean")).withColumn("errors", F.array().cast("array<string>")).select(final)
     return plain.unionByName(rows)
 

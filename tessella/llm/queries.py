@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from . import chat_tools, decontaminate, license_scan, packing, quality, simhash, substring_dedup, suffix_dedup, voronoi_knn, warc
@@ -22,7 +23,11 @@ def op3_substring_dedup(spark, sf_dir):
 
 
 def op4_chat_tools(spark, sf_dir):
-    out = chat_tools.link_tool_calls(table(spark, sf_dir, "conversations"))
+    try:  # a table (name, schema) of tools, where there is one
+        tools = table(spark, sf_dir, "tools").select("name", "schema")
+    except AnalysisException:
+        tools = None
+    out = chat_tools.link_tool_calls(table(spark, sf_dir, "conversations"), tools)
     return out.withColumn("errors", F.array_join("errors", "; "))
 
 

@@ -352,3 +352,24 @@ def test_license_scan_takes_every_wrap(spark):
     assert [(i, want[i], got[i].license_id) for i in range(n) if got[i].license_id != want[i]] == []
     assert got[n].license_id == "MIT"
     assert got[n + 1].canonical_sha256 == got[n + 2].canonical_sha256 != got[n + 3].canonical_sha256
+
+
+def test_chat_tools_keeps_text_beside_calls_and_reads_nested_functions(spark):
+    schema = {"type": "object", "properties": {"q": {"type": "string"}}, "required": ["q"]}
+    call = lambda i, a: {"id": i, "type": "function", "function": {"name": "find", "arguments": a}}
+    rows = [
+        (1, 0, "system", json.dumps({"tools": [{"type": "function", "function": {"name": "find", "parameters": schema}}]})),
+        (1, 1, "assistant", json.dumps({"content": "Let me \"look\"", "tool_calls": [call("a", '{"q":"x"}'), call("b", {"q": 1})]})),
+        (1, 2, "tool", json.dumps({"tool_call_id": "a", "content": "found"})),
+        (2, 0, "assistant", json.dumps({"content": None, "tool_calls": [call("a", "{}")]})),
+        (3, 0, "assistant", json.dumps({"content": [{"text": "parts", "type": "text"}], "tool_calls": [{"id": "a", "name": "find", "arguments": {}}]})),
+    ]
+    out = chat_tools.link_tool_calls(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    got = {(r.conv_id, r.turn, r.pos, r.kind): r for r in out.collect()}
+    assert len(got) == out.count() == 8
+    assert json.loads(got[1, 1, -1, "message"].canonical) == {"content": 'Let me "look"', "role": "assistant"}
+    assert json.loads(got[3, 0, -1, "message"].canonical)["content"] == [{"text": "parts", "type": "text"}]
+    a, b, other = got[1, 1, 0, "call"], got[1, 1, 1, "call"], got[2, 0, 0, "call"]
+    assert json.loads(a.canonical)["name"] == "find" and json.loads(a.canonical)["arguments"] == {"q": "x"}
+    assert a.known_tool and a.errors == [] and a.status == "ok" and b.known_tool and b.errors == ["q: wrong type"]
+    assert not other.known_tool and json.loads(other.canonical)["arguments"] == {}
