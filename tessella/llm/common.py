@@ -8,6 +8,8 @@ per group and never gathers in one task.
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 import uuid
 
@@ -16,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-GROUP_BYTES = 6 << 20
+GROUP_BYTES = 4 << 20
 CHUNK_BYTES = 1 << 19
 NO_ID = np.iinfo(np.int64).max
 
@@ -29,10 +31,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir; on a local master, where that is unset, a temporary one."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         set_already = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if not set_already.isDefined() and not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = set_already.get() if set_already.isDefined() else f"file://{tempfile.mkdtemp(prefix='tessella-')}"
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(path)
@@ -46,6 +50,26 @@ def kept(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@functools.cache
+def _trim():
+    """glibc's malloc_trim, where there is one."""
+    return getattr(ctypes.CDLL(None), "malloc_trim", lambda _: 0)
+
+
+def released(f):
+    """f for one group; what its arrays took goes back to the system before the next group, or the next stage, comes."""
+
+    def run(*args):
+        try:
+            return f(*args)
+        finally:
+            pa.default_memory_pool().release_unused()
+            _trim()(0)
+
+    # Spark tells the kinds of grouped functions apart by how many arguments they name
+    return {1: lambda x: run(x), 2: lambda key, x: run(key, x), 3: lambda key, x, y: run(key, x, y)}[f.__code__.co_argcount]
+
+
 def text_bytes(docs: DataFrame, text: str = "text") -> int:
     return docs.agg(F.sum(F.octet_length(text))).head()[0] or 0
 
@@ -151,6 +175,21 @@ def bucket_of(h: np.ndarray, n: int) -> np.ndarray:
     return ((h >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int32)
 
 
+def distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct digests in order, an order that sorts all, and where each distinct one begins in it."""
+    order = np.argsort(h).astype(np.int32)
+    s = h[order]
+    head = np.flatnonzero(np.r_[True, s[1:] != s[:-1]]) if len(s) else np.zeros(0, np.int64)
+    return s[head], order, head
+
+
+def dealt_back(values: np.ndarray, order: np.ndarray, head: np.ndarray) -> np.ndarray:
+    """A value per distinct digest, given to each of the digests that `distinct` sorted."""
+    out = np.empty(len(order), values.dtype)
+    out[order] = np.repeat(values, np.diff(np.r_[head, len(order)]))
+    return out
+
+
 def bits(flags: np.ndarray) -> bytes:
     return np.packbits(flags).tobytes()
 
