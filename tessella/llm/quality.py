@@ -10,9 +10,10 @@
    by exact blocked cosine products; the `NEIGHBOURS` most similar vote with weight max(cosine, 0) ** POWER.
 
 Edge cases: null texts are empty; an empty text has no terms and the score of the labelled rows' mean label, as has any
-text without a similar neighbour; a doc_id labelled more than once counts with its mean label; null labels are ignored;
-repeated and null doc_ids are scored like any row; with no labelled rows every score is 0.5; ties among neighbours go to
-the sample's order; empty tables give empty results.
+text without a similar neighbour; a doc_id labelled more than once counts with its mean label, one of several texts with the
+smallest; null labels are ignored;
+repeated and null doc_ids are scored like any row; with no labelled rows every score is 0.5; neighbours as similar as the
+last (to five decimals) all vote; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -125,11 +126,14 @@ class Model:
         v, k = self.project(counts), min(k, len(self.labels))
         for a in range(0, len(v), BLOCK):
             cosine = v[a : a + BLOCK] @ self.vectors.T
-            near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
-            w = np.maximum(np.take_along_axis(cosine, near, axis=1), 0).astype(np.float64) ** power
-            total = w.sum(axis=1)
+            np.round(cosine, 5, out=cosine)  # so that how rows fall into batches never breaks a tie
+            least = np.partition(cosine, cosine.shape[1] - k, axis=1)[:, -k]
+            row, near = np.nonzero((cosine >= least[:, None]) & (cosine > 0))
+            w = cosine[row, near].astype(np.float64) ** power
+            total = np.bincount(row, weights=w, minlength=len(cosine))
+            good = np.bincount(row, weights=w * self.labels[near], minlength=len(cosine))
             some = (total > 1e-9) & (counts[a : a + BLOCK].sum(axis=1) > 0)
-            out[a : a + BLOCK][some] = np.clip((w * self.labels[near]).sum(axis=1)[some] / total[some], 0, 1)
+            out[a : a + BLOCK][some] = np.clip(good[some] / total[some], 0, 1)
         return out
 
 
@@ -150,13 +154,17 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     def f(batches):
         for batch in batches:
             for a, b, counts in _each(batch):
-                raw = [x.tobytes() for x in np.minimum(counts, 65535).astype(np.uint16)]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[a:b], batch.column("label")[a:b], pa.array(raw, pa.binary())], ["doc_id", "label", "counts"])
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
-    got = rows.mapInArrow(f, "doc_id long, label double, counts binary").toArrow().sort_by("doc_id")
-    counts = np.frombuffer(b"".join(got.column("counts").to_pylist()), np.uint16).reshape(-1, TERMS)
-    return Model(counts.astype(np.float32), got.column("label").to_numpy())
+                terms = [np.flatnonzero(x) for x in counts]
+                raw = [[t.astype(np.uint16).tobytes() for t in terms], [x[t].tobytes() for x, t in zip(counts, terms)]]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[a:b], batch.column("label")[a:b], *(pa.array(x, pa.binary()) for x in raw)], ["doc_id", "label", "terms", "counts"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    rows = rows.groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+    got = rows.mapInArrow(f, "doc_id long, label double, terms binary, counts binary").toArrow().sort_by("doc_id")
+    counts = np.zeros((len(got), TERMS), np.float32)
+    for k, (t, x) in enumerate(zip(got.column("terms").to_pylist(), got.column("counts").to_pylist())):
+        counts[k, np.frombuffer(t, np.uint16)] = np.frombuffer(x, np.float32)
+    return Model(counts, got.column("label").to_numpy())
 
 
 def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:

@@ -1,7 +1,7 @@
 """Operator 8: SimHash near-dedup with bit-sliced comparison.
 
-1. Every text gives a fingerprint of 64 or 128 bits (`fingerprints`). Equal fingerprints collapse to one node, the
-   smallest doc_id, before anything is compared.
+1. Every text gives a fingerprint of 64 or 128 bits (`fingerprints`). Equal fingerprints collapse to one node, named by
+   the fingerprint itself (or, where links are checked, by the smallest doc_id), before anything is compared.
 2. Nodes meet in buckets of equal bits (`keys`). For a radius r the bits are cut into r + 3 blocks and every choice of
    three blocks is a key, so any two fingerprints within the radius share at least one: no link is lost. For a wide
    radius (`sampled_keys`) the keys are seeded random subsets of the bits, as many as the wanted recall needs.
@@ -17,8 +17,8 @@
    radius whose ends the forests' good links left apart.
 
 Edge cases: null and empty texts have fingerprint zero and link like any other; texts of fewer words than a shingle
-are one shingle; rows that repeat a doc_id are one node each text; null doc_ids come back as null rows that are
-components of their own (component null) when their fingerprint is unique; empty tables give empty results.
+are one shingle; rows that repeat a doc_id are one node each text; rows of a null doc_id link and bridge like any other, and
+only a component of nothing but null doc_ids has a null component_id; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 from . import common as c
 
 BLOCK = 4096
+ROWS_AT_ONCE = 1 << 16
 CHECK_BLOCK = 128  # nodes of a block that bring their sets of shingles with them
 PIECE = 32 * CHECK_BLOCK
 RADIUS = 2
@@ -278,29 +279,39 @@ def links(nodes: DataFrame, masks: np.ndarray, radius: int, block: int = BLOCK)
     wide = masks.shape[1]
 
     def compare(batches):
-        if not (batches := list(batches)):
-            return
-        table = pa.Table.from_batches(batches)
-        get = lambda k: table.column(k).to_numpy()
-        task, ids = get("task"), get("id")
-        order = np.lexsort((ids, task))
-        task, ids, side = task[order], ids[order], get("side")[order]
-        fp = np.stack([get(f"f{w}")[order].view(np.uint64) for w in range(wide)], axis=1)
+        """Rows come sorted by task, so whole tasks are compared as they pass, never a whole partition at once."""
+        held: list[pa.RecordBatch] = []
+        for batch in itertools.chain(batches, [None]):
+            if batch is not None and len(batch):
+                held.append(batch)
+            if not held or (batch is not None and sum(map(len, held)) < ROWS_AT_ONCE):
+                continue
+            rows = pa.Table.from_batches(held).combine_chunks()
+            task = rows.column("task").to_numpy()
+            cut = len(task) if batch is None else int(np.searchsorted(task, task[-1]))  # the last task may go on
+            if cut:
+                yield compared(rows.slice(0, cut))
+            held = rows.slice(cut).to_batches()
+
+    def compared(rows: pa.Table) -> pa.RecordBatch:
+        get = lambda k: rows.column(k).to_numpy()
+        task, ids, side = get("task"), get("id"), get("side")
+        fp = np.stack([get(f"f{w}").view(np.uint64) for w in range(wide)], axis=1)
         i, j, d = links_within(task, fp, radius)
         cross = (side[i] < 0) | (side[i] != side[j])  # two blocks: pairs across them only
         i, j, d = i[cross], j[cross], d[cross]
         pick = forest(i, j, d, len(ids))
-        yield pa.RecordBatch.from_arrays([pa.array(ids[i[pick]]), pa.array(ids[j[pick]]), pa.array(d[pick])], ["a", "b", "distance"])
+        return pa.RecordBatch.from_arrays([pa.array(ids[i[pick]]), pa.array(ids[j[pick]]), pa.array(d[pick])], ["a", "b", "distance"])
 
-    found = _dealt(_keyed(nodes, masks), block).repartition("task").mapInArrow(compare, "a long, b long, distance long")
+    found = _dealt(_keyed(nodes, masks), block).repartition("task").sortWithinPartitions("task", "id").mapInArrow(compare, "a long, b long, distance long")
     return found.groupBy("a", "b").agg(F.min("distance").alias("distance"))
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(id, component_id) of all nodes that have an edge (a, b): the smallest id reachable."""
     e = c.kept(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     before = None
-    for _ in range(most_rounds):
+    while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -308,20 +319,20 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         small = large.groupBy("u").agg(F.min("v").alias("m"))
         e = large.join(small, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.u", "x.v").where("u <> v").distinct()
         e = c.kept(e)
-        now = tuple(e.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long"))).head())
+        now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).head())
         if now == before:
             return e.groupBy("u").agg(F.min("v").alias("component_id")).withColumnRenamed("u", "id")
         before = now
-    raise RuntimeError("components did not settle")
 
 
 def simhash_components(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """(doc_id, fingerprint, component_id) of every row, by 64-bit fingerprints that differ in at most `radius` bits."""
     fps = c.kept(fingerprints(docs, shingle))
-    nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("id"))
-    named = nodes.where("id is not null")
-    found = components(links(named.select("id", F.array("fp").alias("fp")), keys(64, radius), radius))
-    nodes = c.kept(nodes.join(found, "id", "left").select("fp", F.coalesce("component_id", "id").alias("component_id")))
+    nodes = c.kept(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
+    found = components(links(nodes.select(F.col("fp").alias("id"), F.array("fp").alias("fp")), keys(64, radius), radius))
+    nodes = nodes.join(found.withColumnRenamed("id", "fp"), "fp", "left").withColumn("label", F.coalesce("component_id", "fp"))
+    least = nodes.groupBy("label").agg(F.min("first_id").alias("component_id"))  # null ids alone have none
+    nodes = c.kept(nodes.select("fp", "label").join(least, "label").select("fp", "component_id"))
     # every distinct fingerprint is one row here, so a fingerprint shared by many documents is hot on the left side only
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return fps.join(nodes, "fp").select("doc_id", hexed.alias("fingerprint"), "component_id")
@@ -333,11 +344,10 @@ def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
     def f(batches):
         for batch in batches:
             data, offs = c.utf8(batch.column("text"))
-            out = []
             for a, b in c.chunks(offs):
                 h, first = _distinct_shingles(data[offs[a] : offs[b]], offs[a : b + 1] - offs[a], shingle)
-                out += [h[x:y].tobytes() for x, y in zip(first[:-1], first[1:])]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.binary())], ["doc_id", "shingles"])
+                sets = pa.array([h[x:y].tobytes() for x, y in zip(first[:-1], first[1:])], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[a:b], sets], ["doc_id", "shingles"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(f, "doc_id long, shingles binary")
 
@@ -429,7 +439,7 @@ def unjoined_links(nodes: DataFrame, docs: DataFrame, masks: np.ndarray, radius:
         x, y = np.array(found, dtype=np.int64).reshape(-1, 2).T
         return pa.table({"a": pa.array(ids[x], pa.int64()), "b": pa.array(ids[y], pa.int64())})
 
-    return rows.groupBy("task").applyInArrow(check, "a long, b long")
+    return rows.groupBy("task").applyInArrow(c.released(check), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, recall: float = 0.97) -> DataFrame:

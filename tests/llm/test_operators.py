@@ -107,14 +107,62 @@ def test_chat_tools(spark):
 
 def test_decontaminate(spark, docs, empty):
     item = "The quick brown fox jumps over the lazy dog while seven wizards pack my box with five dozen liquor jugs."
-    bench = spark.createDataFrame([(7, item), (8, None), (9, "too short")], "item_id long, text string")
+    bench = spark.createDataFrame([(7, item), (8, None), (9, "too short"), (10, "tiny"), (11, "  ")], "item_id long, text string")
     edited = item.replace("quick", "quikc").replace("seven", "six")
-    more = docs.unionByName(spark.createDataFrame([(300, "é " + item.upper() + " end", 0), (301, LOREM + edited + LOREM, 0), (302, item[:60], 0)], docs.schema))
-    got = {r.doc_id: r for r in decontaminate.contaminated_spans(more, bench).collect()}
-    assert set(got) == {300, 301} and got[300].distance == 0 and 0 < got[301].distance <= 10
-    assert ("é " + item + " end").encode()[got[300].start : got[300].start + got[300].length].decode() == item
-    assert decontaminate.contaminated_spans(empty, bench).count() == 0
-    assert decontaminate.clean_documents(more, bench).count() == more.count() - 2 and decontaminate.clean_documents(docs, bench.where("false")).count() == docs.count()
+    rows = [(300, "é " + item.upper() + " end"), (301, LOREM + edited + LOREM), (302, item[:60]), (303, "It was Too  Short."), (304, "it was too shortened"), (305, " tiny\n"), (306, "tiny thing")]
+    more = docs.unionByName(spark.createDataFrame([(*r, 0) for r in rows], docs.schema))
+    for slice_bytes in (1 << 20, 50):
+        got = {r.doc_id: r for r in decontaminate.contaminated_spans(more, bench, slice_bytes=slice_bytes).collect()}
+        assert {k: r.item_id for k, r in got.items()} == {300: 7, 301: 7, 303: 9, 305: 10} and got[300].distance == 0 and 0 < got[301].distance <= 10
+        assert ("é " + item + " end").encode()[got[300].start : got[300].start + got[300].length].decode() == item
+        assert (got[305].start, got[305].length) == (1, 4)
+        assert decontaminate.clean_documents(more, bench, slice_bytes=slice_bytes).count() == more.count() - 4
+    assert decontaminate.contaminated_spans(empty, bench).count() == 0 and decontaminate.clean_documents(docs, bench.where("false")).count() == docs.count()
+
+
+def _edits(x, y):
+    """The edits that turn x into some part of y, and into y."""
+    part, whole = list(range(1)) * (len(y) + 1), list(range(len(y) + 1))
+    for i, a in enumerate(x, 1):
+        now, all_ = [i], [i]
+        for j, b in enumerate(y, 1):
+            now.append(min(part[j] + 1, now[-1] + 1, part[j - 1] + (a != b)))
+            all_.append(min(whole[j] + 1, all_[-1] + 1, whole[j - 1] + (a != b)))
+        part, whole = now, all_
+    return min(part), whole[-1]
+
+
+def test_decontaminate_against_edit_distance(spark):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 8)))
+    items = [" ".join(word() for _ in range(n)) for n in (8, 9, 12, 20, 30, 60, 60)]
+    items.append(items[3])
+    texts = []
+    for t in items:
+        for edits in (0, 1, len(t) // 10 - 1, len(t) // 10, len(t) // 10 + 1, len(t) // 6):
+            x = list(t)
+            for _ in range(edits):
+                p, how = rng.randrange(len(x)), rng.randrange(3)
+                x[p : p + 1] = [[], [rng.choice("xyz")], [x[p], rng.choice("xyz")]][how]
+            for before, after in (("", ""), (word() + " ", " " + word()), (" ".join(word() for _ in range(20)) + " ", " ".join(word() for _ in range(20)))):
+                texts.append(before + "".join(x) + after)
+    texts += [" ".join(word() for _ in range(50)) for _ in range(20)] + [items[4][20:], items[4][: len(items[4]) - 12], items[5] + " " + items[6]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {}
+    for r in decontaminate.contaminated_spans(docs, bench).collect():
+        got[r.doc_id, r.item_id] = min(got.get((r.doc_id, r.item_id), 99), r.distance)
+        assert _edits(items[r.item_id], texts[r.doc_id][r.start : r.start + r.length])[1] == r.distance
+    want = {(d, i): k for d, t in enumerate(texts) for i, x in enumerate(items) if (k := _edits(x, t)[0]) <= min(len(x) // 10, (len(x) - 8) // 8)}
+    assert got == want and len(want) > 60
+
+
+def test_decontaminate_long_items(spark):
+    rng = random.Random(7)
+    item = " ".join("".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(3500))
+    docs = spark.createDataFrame([(i, ("x " * i) + item[:9000] + item[9000 + i :]) for i in range(30)], "doc_id long, text string")
+    got = {r.doc_id: r.distance for r in decontaminate.contaminated_spans(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()}
+    assert got == {i: i + (i % 6 == 5) for i in range(30)}  # a cut that leaves two blanks costs one more
 
 
 def test_quality(spark):
@@ -129,6 +177,33 @@ def test_quality(spark):
     assert quality.score(some.limit(5), none).where("score <> 0.5").count() == 0
 
 
+def test_quality_votes_as_brute_force(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    docs = docs.select("doc_id", "text")
+    extra = spark.createDataFrame([(None, None), (-1, ""), (3, "another text of three"), (3, None), (-2, "word " * 90000), (-3, "word " * 90000)], "doc_id long, text string")
+    docs = docs.unionByName(extra).repartition(5)
+    learn = quality.learnable(labels).unionByName(spark.createDataFrame([(-2, 1.0), (3, None), (None, 1.0)], "doc_id long, label double"))
+    model = quality.fit(docs, learn)
+    again = quality.fit(docs.repartition(3), learn)
+    assert np.array_equal(model.vectors, again.vectors) and np.array_equal(model.labels, again.labels)
+    got = quality.score(docs.withColumn("score", F.lit("mine")), model, "vote").collect()
+    assert {r.score for r in got} == {"mine"} and len(got) == 1006
+    for r in got:
+        raw = (r.text or "").encode()
+        counts = quality.term_counts(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+        want = model.prior
+        if raw:
+            x = np.log1p(counts[0]) * model.idf
+            v = (x / np.linalg.norm(x)) @ model.axes
+            cosine = np.round(model.vectors @ (v / np.linalg.norm(v)), 5)
+            best = np.flatnonzero(cosine >= np.sort(cosine)[-quality.NEIGHBOURS] - 2e-5)
+            w = np.maximum(cosine[best], 0) ** quality.POWER
+            want = float((w * model.labels[best]).sum() / w.sum())
+            if r.doc_id == -2:  # a learned row is its own nearest neighbour, whatever its counts
+                assert cosine.max() > 0.9999
+        assert abs(r.vote - want) < 2e-2
+
+
 def test_packing(docs, empty):
     import public_tokenizers
     from tokenizers import Tokenizer
@@ -168,20 +243,26 @@ def test_first_fit_decreasing():
     assert packing.first_fit_decreasing(sizes, 100) == want
 
 
-def test_simhash(docs, empty):
+@pytest.mark.parametrize("nulls", [False, True])
+def test_simhash(spark, docs, empty, nulls):
+    if nulls:  # null doc_ids link, bridge and take the smallest id reachable
+        words = [f"w{i}" for i in range(400)]
+        more = [(None, LOREM), (None, "q r s t"), (2000, "q r s t"), (None, "alone for itself"), (None, TEXTS[13] + "s")] + [(None if k % 2 else 1000 + k, " ".join(words[: 390 + k])) for k in range(8)]
+        docs = docs.unionByName(spark.createDataFrame([(i, t, 0) for i, t in more], docs.schema))
     rows, fps = rows_of(docs), []
     for _, t in rows:
         w = bytes(b + 32 if 65 <= b <= 90 else b for b in t).split()
         h = [xxhash.xxh64_intdigest(b" ".join(w[j : j + 3]), 42) for j in range(max(1, len(w) - 2))] if w else []
         fps.append(sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h)))
-    up = list(range(len(rows)))
+    up, last = list(range(len(rows))), lambda i: (i is None, i or 0)
     for _ in rows:
         for i, a in enumerate(fps):
             for j, b in enumerate(fps):
                 if (a ^ b).bit_count() <= 2:
-                    up[i] = min(up[i], up[j], key=lambda k: (rows[k][0], k))
-    want = sorted((i, f"{f:016x}", rows[up[k]][0]) for k, ((i, _), f) in enumerate(zip(rows, fps)))
-    assert sorted(map(tuple, simhash.simhash_components(docs).collect())) == want
+                    up[i] = min(up[i], up[j], key=lambda k: (last(rows[k][0]), k))
+    order = lambda r: (last(r[0]), r[1], last(r[2]))
+    want = sorted(((i, f"{f:016x}", rows[up[k]][0]) for k, ((i, _), f) in enumerate(zip(rows, fps))), key=order)
+    assert sorted(map(tuple, simhash.simhash_components(docs).collect()), key=order) == want
     assert simhash.simhash_components(empty).count() == 0
 
 
