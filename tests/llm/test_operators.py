@@ -191,17 +191,18 @@ def test_quality_votes_as_brute_force(spark):
     for r in got:
         raw = (r.text or "").encode()
         counts = quality.term_counts(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
-        want = model.prior
+        want = [model.prior]
         if raw:
             x = np.log1p(counts[0]) * model.idf
             v = (x / np.linalg.norm(x)) @ model.axes
-            cosine = np.round(model.vectors @ (v / np.linalg.norm(v)), 5)
-            best = np.flatnonzero(cosine >= np.sort(cosine)[-quality.NEIGHBOURS] - 2e-5)
-            w = np.maximum(cosine[best], 0) ** quality.POWER
-            want = float((w * model.labels[best]).sum() / w.sum())
+            cosine = model.vectors @ (v / np.linalg.norm(v))
+            want = []
+            for margin in (-2e-5, 0, 2e-5):  # rows as similar as the last, but for rounding, may vote or not
+                w = np.maximum(cosine, 0) ** quality.POWER * (cosine >= np.sort(cosine)[-quality.NEIGHBOURS] + margin)
+                want.append(float((w * model.labels).sum() / w.sum()) if w.any() else model.prior)
             if r.doc_id == -2:  # a learned row is its own nearest neighbour, whatever its counts
                 assert cosine.max() > 0.9999
-        assert abs(r.vote - want) < 2e-2
+        assert min(want) - 1e-3 <= r.vote <= max(want) + 1e-3
 
 
 def test_packing(docs, empty):
