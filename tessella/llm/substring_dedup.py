@@ -55,28 +55,30 @@ class _Group:
         self.ids_null = ids.is_null().to_numpy(zero_copy_only=False)
         self.ids = ids.fill_null(c.NO_ID).to_numpy()
         self.data, self.offs = c.utf8(docs.column("text"))
-        parts = []
+        parts, self.first, n = [], np.zeros(len(self.offs), np.int64), 0
         for a, b in c.chunks(self.offs):
             lo = self.offs[a]
             s, e, first = c.words(data := self.data[lo : self.offs[b]], self.offs[a : b + 1] - lo)
-            parts.append((s + lo, e + lo, first, c.word_hashes(data, s, e, _WORD)))
+            parts.append(((s + lo).astype(np.int32), (e + lo).astype(np.int32), c.word_hashes(data, s, e, _WORD)))
+            self.first[a : b + 1] = first + n
+            n += len(s)
         cat = lambda k, t: np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, t)
-        self.starts, self.ends, hashes = cat(0, np.int64), cat(1, np.int64), cat(3, np.uint64)
-        self.first = np.zeros(len(self.offs), np.int64)
-        at, row = 0, 0
-        for _, _, first, h in parts:
-            self.first[row : row + len(first)] = first + at
-            row, at = row + len(first) - 1, at + len(h)
-        self.row = np.repeat(np.arange(len(self.ids)), np.diff(self.first))
+        self.starts, self.ends = cat(0, np.int32), cat(1, np.int32)
+        self.row = np.repeat(np.arange(len(self.ids), dtype=np.int32), np.diff(self.first))
+        hashes = cat(2, np.uint64)
+        del parts
         self.sums = _SEQ.sums(hashes)
 
     def fits(self, length: int) -> np.ndarray:
         """Whether a window of that many words starts at each word."""
-        return self.first[1:][self.row] - np.arange(len(self.row)) >= length
+        out = np.zeros(len(self.row), bool)
+        for a, b in zip(self.first[:-1].tolist(), self.first[1:].tolist()):
+            out[a : max(a, b - length + 1)] = True
+        return out
 
-    def digests(self, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-        """The distinct digests of the windows at these starts, and each start's place among them."""
-        return np.unique(_SEQ.slices(self.sums, at, at + length), return_inverse=True)
+    def digests(self, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """`common.distinct` of the windows at these starts."""
+        return c.distinct(_SEQ.slices(self.sums, at, at + length))
 
 
 def _blocks(g: int, at: np.ndarray, n_words: int, uniq: np.ndarray, own: np.ndarray, n: int, full: bool) -> pa.Table:
@@ -125,22 +127,21 @@ def _answers(full: bool):
             "flags": pa.array([c.bits(flags[cut[k] : cut[k + 1]]) for k in range(len(ns))], pa.binary()),
         })
 
-    return f
+    return c.released(f)
 
 
 def _repeated(group: _Group, replies: pa.Table, length: int):
-    """The candidate starts of the level that was answered, and for each the answer, its digest and all digests."""
+    """The candidate starts of the level that was answered, the answer for each, and what `distinct` says of their digests."""
     replies = replies.sort_by("bucket")
     got = [c.unbits(x, k) for x, k in zip(replies.column("flags").to_pylist(), replies.column("n").to_pylist())]
     at = np.flatnonzero(got[0])
-    uniq, which = group.digests(at, length)
-    return at, (np.concatenate(got[1:])[which] if len(got) > 1 else np.zeros(0, bool)), which, uniq
+    _, order, head = group.digests(at, length)
+    return at, (c.dealt_back(np.concatenate(got[1:]), order, head) if len(got) > 1 else np.zeros(0, bool)), order, head
 
 
-def _least(uniq: np.ndarray, which: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    out = np.full(len(uniq), c.NO_ID)
-    np.minimum.at(out, which, ids)
-    return out
+def _least(ids: np.ndarray, order: np.ndarray, head: np.ndarray) -> np.ndarray:
+    """The smallest id of every distinct digest."""
+    return np.minimum.reduceat(ids[order], head) if len(head) else ids[:0]
 
 
 def _send(lengths: list[int], level: int, n_buckets: int):
@@ -157,14 +158,14 @@ def _send(lengths: list[int], level: int, n_buckets: int):
             room[: n - shift] &= before[: n - shift] & before[shift:]
             room[n - shift :] = False
         at = np.flatnonzero(room)
-        uniq, which = group.digests(at, lengths[level])
+        uniq, order, head = group.digests(at, lengths[level])
         ids = group.ids[group.row[at]]
-        own = _least(uniq, which, ids)
+        own = _least(ids, order, head)
         if not last:  # occurs in two documents of the group
-            own = -_least(uniq, which, -ids) != own
+            own = -_least(-ids, order, head) != own
         return _blocks(key[0].as_py(), at, len(room), uniq, own, n_buckets, last)
 
-    return f if level else lambda key, docs: f(key, docs)
+    return c.released(f) if level else c.released(lambda key, docs: f(key, docs))
 
 
 def covered(docs: DataFrame, total_bytes: int, window: int, finish, schema: str, shortest: int = SHORTEST, rest: bool = False) -> DataFrame:
@@ -183,12 +184,13 @@ def covered(docs: DataFrame, total_bytes: int, window: int, finish, schema: str,
 
     def last(key, docs, replies):
         group = _Group(docs)
-        at, elsewhere, which, uniq = _repeated(group, replies, window)
+        at, elsewhere, order, head = _repeated(group, replies, window)
         ids = group.ids[group.row[at]]
-        hit = at[elsewhere | (_least(uniq, which, ids)[which] < ids)]
+        hit = at[elsewhere | (c.dealt_back(_least(ids, order, head), order, head) < ids)]
+        group.sums = None  # only words and bytes are needed from here
         return finish(group, c.spread(hit, hit + window, len(group.row)))
 
-    return grouped.groupBy("g").cogroup(replies.groupBy("g")).applyInArrow(last, schema)
+    return grouped.groupBy("g").cogroup(replies.groupBy("g")).applyInArrow(c.released(last), schema)
 
 
 def _digests(group: _Group, removed: np.ndarray) -> pa.Table:
@@ -200,7 +202,7 @@ def _digests(group: _Group, removed: np.ndarray) -> pa.Table:
     first = np.searchsorted(row, np.arange(len(n) + 1))
     sha = []
     for a, b in zip(first[:-1], first[1:]):  # each kept word and a space, copied by one gather
-        size = e[a:b] - s[a:b] + 1
+        size = e[a:b].astype(np.int64) - s[a:b] + 1
         to = np.cumsum(size)
         at = np.repeat(s[a:b] - (to - size), size) + np.arange(to[-1] if b > a else 0)
         out = group.data[np.minimum(at, len(group.data) - 1)]

@@ -202,7 +202,7 @@ def test_quality_votes_as_brute_force(spark):
                 want.append(float((w * model.labels).sum() / w.sum()) if w.any() else model.prior)
             if r.doc_id == -2:  # a learned row is its own nearest neighbour, whatever its counts
                 assert cosine.max() > 0.9999
-        assert min(want) - 1e-3 <= r.vote <= max(want) + 1e-3
+        assert min(want) - 1e-2 <= r.vote <= max(want) + 1e-2
 
 
 def test_packing(docs, empty):
