@@ -9,8 +9,8 @@ a plain message. The output has one row per item (plain message, call, result);
 * calls are ordered topologically: a call comes after the results of the calls it depends on, a result after its call.
   ``depth`` is the longest chain of dependencies before an item (calls even, results odd) and ``order_turn`` the turn it
   sorts at; ORDER BY order_turn, depth, turn, pos is a topological order that keeps turns otherwise;
-* arguments are validated against the tool's schema (JSON Schema: properties with types, required,
-  additionalProperties); ``errors`` lists what fails. Schemas come from a table of tools and from the conversation's own
+* arguments are validated against the tool's schema (JSON Schema: type, enum, properties, required, additionalProperties,
+  items, at every depth); ``errors`` lists what fails. Schemas come from a table of tools and from the conversation's own
   system messages that are JSON objects with ``tools: [{name, parameters}]`` or ``tools: [{function: {...}}]``, which go first;
 * ``canonical`` is the item as JSON with keys sorted at every depth and no white space.
 
@@ -84,47 +84,109 @@ def offered_tools(messages: DataFrame) -> DataFrame:
     return m.select("conv_id", "name", F.try_parse_json("s").alias("own_schema"))
 
 
+def _jumps(one: DataFrame) -> DataFrame:
+    """Pointers (conv_id, call_id, dep, steps, top) followed to the first call that is not such a pointer itself.
+
+    Every round doubles what a pointer spans; pointers that still find another one when they span more than a
+    conversation has run in a circle and are left out.
+    """
+    most = one.groupBy("conv_id").count().agg(F.max("count")).head()[0] or 0
+    span, done = 1, None
+    while True:
+        one = c.kept(one)
+        ahead = one.select("conv_id", F.col("call_id").alias("dep"), F.col("dep").alias("next"), F.col("steps").alias("more"), F.col("top").alias("above"))
+        met = one.join(ahead, ["conv_id", "dep"], "left")
+        ended = met.where("more is null").select("conv_id", "call_id", "dep", "steps", "top")
+        going = met.where("more is not null")
+        if span > most or not going.limit(1).count():
+            return c.kept(ended)
+        one = ended.unionByName(going.select("conv_id", "call_id", F.col("next").alias("dep"), (F.col("steps") + F.col("more")).alias("steps"), F.greatest("top", "above").alias("top")))
+        span *= 2
+
+
 def _depths(calls: DataFrame) -> DataFrame:
-    """(conv_id, call_id, after, before_turn): longest chain of calls before each, and the turn that chain needs."""
+    """(conv_id, call_id, after, before_turn) of calls with dependencies: longest chain of calls before each, and the turn that chain needs.
+
+    Chains of calls with one dependency each are jumped by doubling; only calls with several dependencies take a round
+    for each level of such calls before them. Calls on a circle, or behind one, have a null `after`.
+    """
     spark = calls.sparkSession
-    deps = calls.select("conv_id", "call_id", F.explode(F.array_distinct("deps")).alias("dep"))
-    deps = deps.join(calls.select("conv_id", F.col("call_id").alias("dep")), ["conv_id", "dep"], "left_semi")
-    empty = spark.createDataFrame([], "conv_id long, call_id string, after long, before_turn long")
+    key = ["conv_id", "call_id"]
+    own = calls.select("conv_id", F.col("call_id").alias("dep"), F.greatest("turn", F.coalesce("answer_turn", "turn")).alias("top"), F.col("turn").alias("dep_turn"))
+    deps = calls.select(*key, F.explode(F.array_distinct("deps")).alias("dep")).join(own, ["conv_id", "dep"])
     if not deps.limit(1).count():
-        return empty
+        return spark.createDataFrame([], "conv_id long, call_id string, after long, before_turn long")
     deps = c.kept(deps)
-    ready = c.kept(calls.join(deps, ["conv_id", "call_id"], "left_anti").select("conv_id", "call_id", F.lit(0).cast("long").alias("after"), F.col("turn").alias("before_turn"), "answer_turn"))
-    done, waiting = ready, calls.join(deps.select("conv_id", "call_id").distinct(), ["conv_id", "call_id"], "left_semi").select("conv_id", "call_id", "turn", "answer_turn")
+    many = deps.groupBy(key).count()
+    several = many.where("count > 1").select(key)
+    one = deps.join(many.where("count = 1").select(key), key, "left_semi").select(*key, "dep", F.lit(1).cast("long").alias("steps"), "top")
+    jumps = _jumps(one)
+    # calls with several dependencies, each followed to a call that has none or several itself; a circle leads nowhere
+    edges = deps.join(several, key, "left_semi")
+    far = jumps.select("conv_id", F.col("call_id").alias("dep"), F.col("dep").alias("to"), F.col("steps").alias("far"), F.col("top").alias("far_top"))
+    circle = one.select("conv_id", F.col("call_id").alias("dep")).join(far.select("conv_id", "dep"), ["conv_id", "dep"], "left_anti").withColumn("lost", F.lit(True))
+    edges = edges.join(far, ["conv_id", "dep"], "left").join(circle, ["conv_id", "dep"], "left")
+    edges = c.kept(edges.select(*key, F.coalesce("to", "dep").alias("dep"), (F.lit(1) + F.coalesce("far", F.lit(0))).alias("steps"), F.greatest("top", F.coalesce("far_top", "top")).alias("top"), "lost"))
+    ends = calls.join(many, key, "left_anti").select(*key, F.lit(0).cast("long").alias("after"), F.col("turn").alias("before_turn"))
+    done, waiting = c.kept(ends), calls.join(several, key, "left_semi").select(*key, "turn")
     while True:
-        at = F.greatest("before_turn", F.coalesce("answer_turn", F.col("before_turn")))
-        known = done.select("conv_id", F.col("call_id").alias("dep"), "after", at.alias("at"))
-        met = deps.join(known, ["conv_id", "dep"], "left").groupBy("conv_id", "call_id")
-        met = met.agg(F.max("after").alias("a"), F.max("at").alias("t"), F.count("*").alias("n"), F.count("after").alias("m")).where("n = m")
-        new = waiting.join(met, ["conv_id", "call_id"]).join(done, ["conv_id", "call_id"], "left_anti")
-        new = c.kept(new.select("conv_id", "call_id", (F.col("a") + 1).alias("after"), F.greatest("turn", "t").alias("before_turn"), "answer_turn"))
-        if not new.limit(1).count():  # what still waits is on a cycle, or behind one
-            left = waiting.join(done, ["conv_id", "call_id"], "left_anti").select("conv_id", "call_id", F.lit(None).cast("long").alias("after"), F.col("turn").alias("before_turn"))
-            return done.drop("answer_turn").unionByName(left)
+        known = done.select("conv_id", F.col("call_id").alias("dep"), "after", "before_turn")
+        met = edges.join(known, ["conv_id", "dep"], "left").groupBy(key)
+        met = met.agg(F.max(F.col("after") + F.col("steps")).alias("a"), F.max(F.greatest("top", "before_turn")).alias("t"), F.count("*").alias("n"), F.count("after").alias("m"), F.max("lost").alias("lost"))
+        new = waiting.join(met.where("n = m and lost is null"), key).join(done, key, "left_anti")
+        new = c.kept(new.select(*key, F.col("a").cast("long").alias("after"), F.greatest("turn", "t").alias("before_turn")))
+        if not new.limit(1).count():
+            break
         done = c.kept(done.unionByName(new))
-
-
-def _errors() -> F.Column:
-    """Names of arguments that the schema (a variant in `schema`) refuses."""
-    props = "coalesce(try_variant_get(schema, '$.properties', 'map<string, variant>'), cast(map() as map<string, variant>))"
-    given = "coalesce(try_cast(args as map<string, variant>), cast(map() as map<string, variant>))"
-    found = "replace(regexp_extract(schema_of_variant(element_at(given, k)), '^[A-Z]+', 0), 'VOID', 'NULL')"
-    fits = f"""case try_variant_get(element_at(props, k), '$.type', 'string')
-        when 'string' then {found} in ('STRING') when 'integer' then {found} in ('BIGINT')
-        when 'number' then {found} in ('BIGINT', 'DOUBLE', 'DECIMAL', 'FLOAT') when 'boolean' then {found} in ('BOOLEAN')
-        when 'object' then {found} in ('OBJECT') when 'array' then {found} in ('ARRAY') when 'null' then {found} in ('NULL') else true end"""
-    return F.expr(f"""
-        case when kind <> 'call' or schema is null then cast(array() as array<string>) else
-        array_sort(concat(
-            case when try_cast(args as map<string, variant>) is null then array('arguments: not an object') else cast(array() as array<string>) end,
-            transform(filter(coalesce(try_variant_get(schema, '$.required', 'array<string>'), cast(array() as array<string>)), k -> not array_contains(map_keys(given), k)), k -> concat(k, ': missing')),
-            transform(filter(map_keys(given), k -> array_contains(map_keys(props), k) and not coalesce({fits}, true)), k -> concat(k, ': wrong type')),
-            transform(filter(map_keys(given), k -> not array_contains(map_keys(props), k) and coalesce(try_variant_get(schema, '$.additionalProperties', 'boolean'), true) = false), k -> concat(k, ': not allowed'))
-        )) end""".replace("map_keys(given)", f"map_keys({given})").replace("element_at(given, k)", f"element_at({given}, k)").replace("map_keys(props)", f"map_keys({props})").replace("element_at(props, k)", f"element_at({props}, k)"))
+    anchors = done.select("conv_id", F.col("call_id").alias("dep"), F.col("after").alias("base"), F.col("before_turn").alias("base_turn"))
+    chained = calls.select(*key, "turn").join(jumps, key).join(anchors, ["conv_id", "dep"])
+    chained = chained.select(*key, (F.col("steps") + F.col("base")).alias("after"), F.greatest("turn", "top", "base_turn").alias("before_turn"))
+    out = c.kept(done.join(several, key, "left_semi").unionByName(chained))
+    left = calls.join(many, key, "left_semi").join(out, key, "left_anti")
+    return out.unionByName(left.select(*key, F.lit(None).cast("long").alias("after"), F.col("turn").alias("before_turn")))
+
+
+_NONE = "cast(array() as array<string>)"
+_KIND = "replace(regexp_extract(schema_of_variant({0}), '^[A-Z]+', 0), 'VOID', 'NULL')"
+#: What JSON Schema calls values of each kind.
+_TYPES = """case kind when 'STRING' then array('string') when 'BIGINT' then array('integer', 'number') when 'BOOLEAN' then array('boolean')
+    when 'OBJECT' then array('object') when 'ARRAY' then array('array') when 'NULL' then array('null') else array('number') end"""
+
+
+def argument_errors(pairs: DataFrame) -> DataFrame:
+    """(pair, errors): what the schema (variant) of each pair refuses of its args (variant); pairs without errors have no row.
+
+    Checked are type (one or several), enum, required, properties, additionalProperties and items, at every depth, one
+    round for each level of nesting.
+    """
+    part = F.col("path")
+    level = pairs.select("pair", F.lit("").alias("path"), "schema", F.col("args").alias("value"))
+    found = None
+    while (level := c.kept(level)).limit(1).count():
+        level = level.withColumn("kind", F.expr(f"coalesce({_KIND.format('value')}, 'NULL')"))
+        level = level.withColumn("props", F.expr("coalesce(try_variant_get(schema, '$.properties', 'map<string, variant>'), cast(map() as map<string, variant>))"))
+        level = level.withColumn("given", F.expr("case when kind = 'OBJECT' then try_cast(value as map<string, variant>) end"))
+        types = "coalesce(try_variant_get(schema, '$.type', 'array<string>'), array(coalesce(try_variant_get(schema, '$.type', 'string'), case when path = '' then 'object' end)))"
+        enum = "try_variant_get(schema, '$.enum', 'array<variant>')"
+        at = "concat(path, case when path = '' then '' else '.' end, k)"
+        wrong = f"""concat(
+            case when path = '' and kind <> 'OBJECT' then array('arguments: not an object')
+                 when {types}[0] is not null and not arrays_overlap({types}, {_TYPES}) then array(concat(path, ': wrong type')) else {_NONE} end,
+            case when {enum} is not null and not exists({enum}, e -> to_json(e) = coalesce(to_json(value), 'null')) then array(concat(path, ': not one of the allowed')) else {_NONE} end,
+            case when given is null then {_NONE} else transform(filter(coalesce(try_variant_get(schema, '$.required', 'array<string>'), {_NONE}), k -> not array_contains(map_keys(given), k)), k -> concat({at}, ': missing')) end,
+            case when given is null or coalesce(try_variant_get(schema, '$.additionalProperties', 'boolean'), true) then {_NONE}
+                 else transform(filter(map_keys(given), k -> not array_contains(map_keys(props), k)), k -> concat({at}, ': not allowed')) end)"""
+        errors = level.select("pair", F.explode(F.expr(wrong)).alias("error"))
+        found = errors if found is None else found.unionByName(errors)
+        inner = level.where("given is not null").select("pair", "path", "props", F.explode("given").alias("k", "v")).where("array_contains(map_keys(props), k)")
+        inner = inner.select("pair", F.concat(part, F.when(part == "", "").otherwise("."), F.col("k")).alias("path"), F.expr("element_at(props, k)").alias("schema"), F.col("v").alias("value"))
+        of = level.where("kind = 'ARRAY' and try_variant_get(schema, '$.items', 'variant') is not null")
+        of = of.select("pair", "path", F.expr("try_variant_get(schema, '$.items', 'variant')").alias("schema"), F.posexplode(F.expr("try_cast(value as array<variant>)")).alias("i", "value"))
+        of = of.select("pair", F.concat(part, F.lit("["), F.col("i").cast("string"), F.lit("]")).alias("path"), "schema", "value")
+        level = inner.unionByName(of)
+    if found is None:
+        return pairs.sparkSession.createDataFrame([], "pair string, errors array<string>")
+    return found.groupBy("pair").agg(F.array_sort(F.collect_list("error")).alias("errors"))
 
 
 def link_tool_calls(messages: DataFrame, tools: DataFrame | None = None) -> DataFrame:
@@ -137,8 +199,9 @@ def link_tool_calls(messages: DataFrame, tools: DataFrame | None = None) -> Data
     # the first call and the first result of an identifier are linked; ranking is by identifier, never by conversation
     one = Window.partitionBy("conv_id", "call_id", "kind").orderBy("turn", "pos", F.to_json("args"), "content", "name")
     linked = linked.withColumn("first", (F.row_number().over(one) == 1) & F.col("call_id").isNotNull())
+    linked = c.kept(linked)  # read several times below; plain messages are not
     answers = linked.where("first and kind = 'result'").select("conv_id", "call_id", F.col("turn").alias("answer_turn"))
-    calls = linked.where("first and kind = 'call'").join(answers, ["conv_id", "call_id"], "left")
+    calls = c.kept(linked.where("first and kind = 'call'").join(answers, ["conv_id", "call_id"], "left"))
     depths = _depths(calls.select("conv_id", "call_id", "turn", "answer_turn", "deps"))
     calls = calls.join(depths, ["conv_id", "call_id"], "left")
     has_depth = F.col("before_turn").isNotNull()
@@ -154,7 +217,11 @@ def link_tool_calls(messages: DataFrame, tools: DataFrame | None = None) -> Data
     plain = plain.withColumn("order_turn", F.col("turn")).withColumn("depth", F.lit(0).cast("long")).withColumn("status", F.lit("ok"))
     rows = calls.select(out).unionByName(results.select(out)).unionByName(others.select(out))
     rows = rows.join(tools, "name", "left").join(offered_tools(messages), ["conv_id", "name"], "left")
-    rows = rows.withColumn("schema", F.coalesce("own_schema", "schema")).withColumn("errors", _errors()).withColumn("known_tool", F.when(F.col("kind") == "call", F.col("schema").isNotNull()))
+    rows = rows.withColumn("schema", F.when(F.col("kind") == "call", F.coalesce("own_schema", "schema"))).withColumn("known_tool", F.when(F.col("kind") == "call", F.col("schema").isNotNull()))
+    rows = c.kept(rows).withColumn("pair", F.when(F.col("known_tool"), F.sha2(F.concat_ws("\n", F.to_json("schema"), F.coalesce(F.to_json("args"), F.lit("-"))), 256)))
+    # equal arguments under equal schemas are validated once
+    pairs = rows.where("known_tool").dropDuplicates(["pair"]).select("pair", "schema", "args")
+    rows = rows.join(argument_errors(pairs), "pair", "left").withColumn("errors", F.coalesce("errors", F.array().cast("array<string>")))
     body = F.when(
         F.col("kind") == "call",
         F.concat(

@@ -1,4 +1,4 @@
-"""Texts of known licences (fixed values). Larger sets are given to `license_scan.scan` as a table."""
+"""Texts of known licences, and digests of longer ones (fixed values). Other sets are given to `license_scan.scan` as a table."""
 
 _AS_IS = """THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL
 IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT,
@@ -84,6 +84,25 @@ LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRA
 OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.
 
 For more information, please refer to <https://unlicense.org>""",
+    "CC-BY-NC-4.0-notice": "Licensed under CC BY-NC 4.0.",
+    "GPL-3.0-notice": "This work is licensed under the GNU General Public License, version 3.",
     "Apache-2.0-notice": "Licensed under the Apache License, Version 2.0.",
     "MIT-notice": "Released under the MIT License.",
 }
+
+#: SHA-256 of the canonical forms of the texts that their stewards publish (as in /usr/share/common-licenses).
+DIGESTS = {
+    "Apache-2.0": "8c1d9be5843cb087af8368ff1ccd60307b1d1bd102f56af4318c829657b36d5a",
+    "Artistic-1.0-Perl": "e963bc30f4d3c45f45030c34409ee37315564625649c1394e32bb5ddd99e01b2",
+    "CC0-1.0": "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f",
+    "GFDL-1.2": "5379e6f33e826ba185b23fd11a414555c2161fda481478babd1e73a3ae098a71",
+    "GFDL-1.3": "93d6108daecdddc5f284cf8f2512fb0d72f6e9ee12381feb9704ba194b00c3e6",
+    "GPL-1.0": "8f586b09c093668e2db772bdcfc1d5dc0b03e0e862fccbff035e1bf134e9b224",
+    "GPL-2.0": "633db8412bbb99b0672b664e80d260461a3f7fb1c14a45c614eb6124876ce2a7",
+    "GPL-3.0": "969fd5d620157eced8b632e4ba7154859f195397976b89e7ee716615116fc70a",
+    "LGPL-2.0": "1f1ace2d2c5e80547f3f0517299934f8d456c17a9a9939250e76087b010f5614",
+    "LGPL-2.1": "6eacb2e57ceb0cc63a48b9b4e3181e4b691c27408dfd80dc12bafc4bffff46b5",
+    "LGPL-3.0": "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be",
+    "MPL-1.1": "3f0343dd4f3b064be36e0c6584737c9b7bb5c322721694563f9009e088ce96d1",
+    "MPL-2.0": "9eab7902f21bef0326dee4ed0cae1402c781cbf1f8e3dbeed6fbe176d641bb13",
+}

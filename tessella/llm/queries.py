@@ -7,11 +7,15 @@ from pyspark.sql import functions as F
 
 from . import chat_tools, decontaminate, license_scan, packing, quality, simhash, substring_dedup, suffix_dedup, voronoi_knn, warc
 from .common import table
-from .license_texts import KNOWN
+from .license_texts import DIGESTS, KNOWN
 
 
 def op1_license_scan(spark, sf_dir):
-    return license_scan.scan(table(spark, sf_dir, "documents"), license_scan.known_licenses(spark))
+    """The licence that a whole document is, and the one-line notices among its lines (of all rows of a repeated doc_id)."""
+    docs, known = table(spark, sf_dir, "documents"), license_scan.known_licenses(spark)
+    notices = license_scan.scan_lines(docs, known).groupBy(F.col("doc_id").alias("noticed")).agg(F.array_join(F.array_sort(F.collect_set("license_id")), ",").alias("notices"))
+    out = license_scan.scan(docs, known)
+    return out.join(notices, F.col("doc_id").eqNullSafe(F.col("noticed")), "left").drop("noticed")
 
 
 def op2_warc_round_trip(spark, sf_dir):
@@ -22,12 +26,33 @@ def op3_substring_dedup(spark, sf_dir):
     return substring_dedup.substring_dedup_digests(table(spark, sf_dir, "documents"))
 
 
+TOOL = '{"tools":[{"type":"function","function":{"name":"answer","parameters":{"type":"object","additionalProperties":false,"properties":{"about":{"type":"object","properties":{"turn":{"type":"integer"}},"required":["turn"]},"question":{"type":["string","null"]}},"required":["question"]}}}]}'
+
+
+def tool_turns(conversations):
+    """Every conversation told again with a tool (conv_id -1 - conv_id): a user's turn is a call, the turn after it the
+    result, a system's turn the offer of the tool. A call depends on the user's next turn, so calls are ordered backwards;
+    every third gives its turn as a string, and those of every fifth conversation an argument that is not allowed."""
+    r, turn = F.col("role"), F.col("turn").cast("long")
+    name = lambda t: F.concat(F.lit("c"), t.cast("string"))
+    about = F.concat(F.lit('{"turn":'), F.when(turn % 3 == 2, F.concat(F.lit('"'), turn.cast("string"), F.lit('"'))).otherwise(turn.cast("string")), F.lit("}"))
+    quoted = F.expr("coalesce(substr(to_json(array(text)), 2, length(to_json(array(text))) - 2), 'null')")
+    extra = F.when(F.col("conv_id") % 5 == 0, '"extra":1,').otherwise("")
+    call = F.concat(F.lit('{"tool_calls":[{"type":"function","id":"'), name(turn), F.lit('","depends_on":["'), name(turn + 2), F.lit('"],"function":{"name":"answer","arguments":{"question":'), quoted, F.lit(","), extra, F.lit('"about":'), about, F.lit("}}}]}"))
+    result = F.concat(F.lit('{"content":'), quoted, F.lit(',"tool_call_id":"'), name(turn - 1), F.lit('"}'))
+    text = F.when(r == "user", call).when(r == "system", F.lit(TOOL)).otherwise(result)
+    role = F.when(r == "user", "assistant").when(r == "system", "system").otherwise("tool")
+    return conversations.select((-1 - F.col("conv_id")).alias("conv_id"), "turn", role.alias("role"), text.alias("text"))
+
+
 def op4_chat_tools(spark, sf_dir):
+    """The conversations as they are and, as they hold no calls, told again with calls (`tool_turns`)."""
     try:  # a table (name, schema) of tools, where there is one
         tools = table(spark, sf_dir, "tools").select("name", "schema")
     except AnalysisException:
         tools = None
-    out = chat_tools.link_tool_calls(table(spark, sf_dir, "conversations"), tools)
+    told = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    out = chat_tools.link_tool_calls(told.unionByName(tool_turns(told)), tools)
     return out.withColumn("errors", F.array_join("errors", "; "))
 
 
@@ -63,15 +88,19 @@ def op10_voronoi_knn(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (op1_license_scan, op2_warc_round_trip, op3_substring_dedup, op4_chat_tools, op5_decontaminate, op6_quality, op7_packing, op8_simhash, op9_suffix_dedup, op10_voronoi_knn)}
 
 _known = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in sorted(KNOWN.items()))
+_digests = ", ".join(f"('{k}', '{v}')" for k, v in sorted(DIGESTS.items()))
 
 ORACLE = {
     "op1_license_scan": f"""
         WITH known AS (
-            SELECT sha256(form) AS canonical_sha256, min(license_id) AS license_id
-            FROM (SELECT license_id, {license_scan.canonical_sql("license_text")} AS form FROM (VALUES {_known}) AS k(license_id, license_text))
-            WHERE form <> '' GROUP BY 1),
-        docs AS (SELECT doc_id, sha256({license_scan.canonical_sql("text")}) AS canonical_sha256 FROM documents)
-        SELECT doc_id, canonical_sha256, license_id FROM docs LEFT JOIN known USING (canonical_sha256)""",
+            SELECT canonical_sha256, min(license_id) AS license_id FROM (
+                SELECT license_id, sha256({license_scan.canonical_sql("license_text")}) AS canonical_sha256 FROM (VALUES {_known}) AS k(license_id, license_text)
+                UNION ALL SELECT license_id, canonical_sha256 FROM (VALUES {_digests}) AS k(license_id, canonical_sha256)) GROUP BY 1),
+        docs AS (SELECT doc_id, text, sha256({license_scan.canonical_sql("text")}) AS canonical_sha256 FROM documents),
+        lines AS (SELECT DISTINCT doc_id, line FROM (SELECT doc_id, unnest(string_split(replace(text, chr(13), chr(10)), chr(10))) AS line FROM documents) WHERE regexp_matches(lower(line), 'licen[cs]e')),
+        notices AS (SELECT doc_id, string_agg(DISTINCT license_id, ',' ORDER BY license_id) AS notices
+                    FROM (SELECT doc_id, sha256({license_scan.canonical_sql("line")}) AS canonical_sha256 FROM lines) JOIN known USING (canonical_sha256) GROUP BY 1)
+        SELECT d.doc_id, d.canonical_sha256, license_id, notices FROM docs AS d LEFT JOIN known USING (canonical_sha256) LEFT JOIN notices AS n ON n.doc_id IS NOT DISTINCT FROM d.doc_id""",
     "op2_warc_round_trip": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha256(coalesce(html, '')) AS payload_digest, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes FROM pages),
         f AS (SELECT payload_digest, min(page_id) AS first_id FROM p WHERE payload_bytes >= 100 GROUP BY 1)
@@ -88,11 +117,31 @@ ORACLE = {
         kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY p) AS t, count(*) AS n FROM word ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
         SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
         FROM d LEFT JOIN kept USING (doc_id)""",
-    # holds for tables without tool calls, as all given ones are; linking is tested on small fixtures
+    # holds where conversations hold no calls of their own and no (conv_id, turn) twice, as in all given tables
     "op4_chat_tools": """
+        WITH RECURSIVE t AS (SELECT conv_id, CAST(turn AS BIGINT) AS turn, role, text FROM conversations),
+        u AS (SELECT t.*, a.turn AS answer_turn FROM t LEFT JOIN t AS a ON a.conv_id = t.conv_id AND a.turn = t.turn + 1 AND a.role NOT IN ('user', 'system') WHERE t.role = 'user'),
+        walk AS (
+            SELECT conv_id, turn AS start, turn AS cur, CAST(0 AS BIGINT) AS steps, turn AS top FROM u
+            UNION ALL
+            SELECT w.conv_id, w.start, u.turn, w.steps + 1, greatest(w.top, u.turn, coalesce(u.answer_turn, u.turn)) FROM walk AS w JOIN u ON u.conv_id = w.conv_id AND u.turn = w.cur + 2),
+        calls AS (SELECT u.*, d.steps AS after, d.top AS before_turn FROM u JOIN (SELECT conv_id, start, max(steps) AS steps, max(top) AS top FROM walk GROUP BY 1, 2) AS d ON d.conv_id = u.conv_id AND d.start = u.turn),
+        offered AS (SELECT DISTINCT conv_id FROM t WHERE role = 'system'),
+        plain AS (
+            SELECT conv_id, turn, role, text AS said FROM t
+            UNION ALL SELECT -1 - conv_id, turn, 'system', '{"tools":[{"type":"function","function":{"name":"answer","parameters":{"type":"object","additionalProperties":false,"properties":{"about":{"type":"object","properties":{"turn":{"type":"integer"}},"required":["turn"]},"question":{"type":["string","null"]}},"required":["question"]}}}]}' FROM t WHERE role = 'system')
         SELECT conv_id, turn, CAST(0 AS BIGINT) AS pos, role, 'message' AS kind, CAST(NULL AS VARCHAR) AS call_id, turn AS order_turn, CAST(0 AS BIGINT) AS depth, 'ok' AS status,
-               CAST(NULL AS BOOLEAN) AS known_tool, '' AS errors, CAST(to_json({'content': text, 'role': role}) AS VARCHAR) AS canonical
-        FROM conversations WHERE text IS NULL OR NOT (contains(text, '"tool_calls"') OR contains(text, '"tool_call_id"'))""",
+               CAST(NULL AS BOOLEAN) AS known_tool, '' AS errors, CAST(to_json({'content': said, 'role': role}) AS VARCHAR) AS canonical FROM plain
+        UNION ALL
+        SELECT -1 - conv_id, turn, 0, 'assistant', 'call', 'c' || turn, before_turn, 2 * after, CASE WHEN answer_turn IS NULL THEN 'unanswered' ELSE 'ok' END, o.conv_id IS NOT NULL,
+               CASE WHEN o.conv_id IS NULL THEN '' ELSE concat_ws('; ', CASE WHEN turn % 3 = 2 THEN 'about.turn: wrong type' END, CASE WHEN c.conv_id % 5 = 0 THEN 'extra: not allowed' END) END,
+               '{"arguments":{"about":{"turn":' || CASE WHEN turn % 3 = 2 THEN '"' || turn || '"' ELSE CAST(turn AS VARCHAR) END || '}' || CASE WHEN c.conv_id % 5 = 0 THEN ',"extra":1' ELSE '' END
+               || ',"question":' || coalesce(CAST(to_json(text) AS VARCHAR), 'null') || '},"depends_on":["c' || (turn + 2) || '"],"id":"c' || turn || '","name":"answer","role":"assistant"}'
+        FROM calls AS c LEFT JOIN offered AS o USING (conv_id)
+        UNION ALL
+        SELECT -1 - r.conv_id, r.turn, 0, 'tool', 'result', 'c' || (r.turn - 1), greatest(r.turn, coalesce(c.before_turn, r.turn)), CASE WHEN c.turn IS NULL THEN 0 ELSE 2 * c.after + 1 END,
+               CASE WHEN c.turn IS NULL THEN 'orphan' ELSE 'ok' END, NULL, '', '{"content":' || coalesce(CAST(to_json(r.text) AS VARCHAR), 'null') || ',"role":"tool","tool_call_id":"c' || (r.turn - 1) || '"}'
+        FROM (SELECT * FROM t WHERE role NOT IN ('user', 'system')) AS r LEFT JOIN calls AS c ON c.conv_id = r.conv_id AND c.turn = r.turn - 1""",
     "op10_voronoi_knn": """
         WITH v AS (SELECT vec_id, [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS v FROM embeddings
                    WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),

@@ -433,6 +433,9 @@ def test_license_scan_takes_every_wrap(spark):
     n = len(want)
     assert [(i, want[i], got[i].license_id) for i in range(n) if got[i].license_id != want[i]] == []
     assert got[n].license_id == "MIT"
+    docs = spark.createDataFrame([(1, "a\nReleased under the MIT license!\r\nb"), (1, "MIT License\n* Licensed under CC BY-NC 4.0"), (2, "x released under the MIT License."), (None, "Released under the MIT License."), (3, None)], "doc_id long, text string")
+    lines = sorted(map(tuple, license_scan.scan_lines(docs, license_scan.known_licenses(spark)).collect()), key=str)
+    assert lines == sorted([(1, "MIT-notice"), (1, "CC-BY-NC-4.0-notice"), (None, "MIT-notice")], key=str)
     assert got[n + 1].canonical_sha256 == got[n + 2].canonical_sha256 != got[n + 3].canonical_sha256
 
 
@@ -455,3 +458,73 @@ def test_chat_tools_keeps_text_beside_calls_and_reads_nested_functions(spark):
     assert json.loads(a.canonical)["name"] == "find" and json.loads(a.canonical)["arguments"] == {"q": "x"}
     assert a.known_tool and a.errors == [] and a.status == "ok" and b.known_tool and b.errors == ["q: wrong type"]
     assert not other.known_tool and json.loads(other.canonical)["arguments"] == {}
+
+
+@pytest.mark.parametrize("name", ["Apache-2.0", "GPL-2", "GPL-3", "LGPL-3", "MPL-2.0"])
+def test_digests_of_long_licences(spark, name):
+    import pathlib
+    import textwrap
+
+    path = pathlib.Path("/usr/share/common-licenses", name)
+    if not path.exists():
+        pytest.skip("no licence texts here")
+    text = path.read_text(encoding="utf-8")
+    wrapped = "\n\n".join(textwrap.fill(" ".join(p.split()), 60, break_on_hyphens=False) for p in text.split("\n\n"))
+    docs = spark.createDataFrame([(0, text), (1, wrapped), (2, text.replace("\n", "\r\n").upper()), (3, text[:-200])], "doc_id long, text string")
+    got = {r.doc_id: r.license_id for r in license_scan.scan(docs, license_scan.known_licenses(spark)).collect()}
+    want = {"GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-3": "LGPL-3.0"}.get(name, name)
+    assert got[0] == got[2] == want and got[3] is None and got[1] in (want, None)
+
+
+def test_chat_tools_orders_deep_graphs_and_reads_nested_schemas(spark):
+    rng = random.Random(4)
+    rows, graph = [], {}
+    for conv in range(4):
+        n = 40
+        for k in range(n):  # conversation 0 is one chain, 1 a chain that ends in a circle, the others are random
+            deps = [k + 1] if k + 1 < n else ([n - 5] if conv == 1 else [])
+            if conv > 1:
+                deps = [j for j in rng.sample(range(n), 3) if j > k or (conv == 3 and rng.random() < 0.05)][: rng.randrange(4)]
+            graph[conv, f"k{k}"] = [f"k{j}" for j in deps]
+            rows.append((conv, k, "assistant", json.dumps({"tool_calls": [{"id": f"k{k}", "name": "f", "arguments": {}, "depends_on": [f"k{j}" for j in deps] + ["unknown"]}]})))
+            if k % 3:
+                rows.append((conv, 100 + (7 * k) % 40, "tool", json.dumps({"tool_call_id": f"k{k}", "content": k})))
+    answer = {(r[0], json.loads(r[3])["tool_call_id"]): r[1] for r in rows if r[2] == "tool"}
+    after, at, seen = {}, {}, set()
+
+    def visit(x):
+        if x in after:
+            return
+        if x in seen:
+            after[x] = None
+            return
+        seen.add(x)
+        deps = [(x[0], d) for d in graph[x]]
+        for d in deps:
+            visit(d)
+        if x not in after:
+            after[x] = None if any(after[d] is None for d in deps) else max([after[d] + 1 for d in deps], default=0)
+            at[x] = max([int(x[1][1:])] + [max(at[d], answer.get(d, -1)) for d in deps if after[d] is not None])
+
+    for x in graph:
+        visit(x)
+    bad = {x for x in graph if after[x] is None}
+    while more := {x for x in graph if x not in bad and any((x[0], d) in bad for d in graph[x])}:
+        bad |= more
+    docs = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {(r.conv_id, r.call_id): r for r in chat_tools.link_tool_calls(docs).where("kind = 'call'").collect()}
+    assert {x for x, r in got.items() if r.status == "cycle"} >= {(1, f"k{k}") for k in range(40)}
+    for x in graph:
+        if x not in bad:
+            assert (got[x].depth, got[x].order_turn) == (2 * after[x], at[x]), x
+    assert all((got[x].status == "cycle") == (x in bad) for x in graph)
+
+    schema = {"type": "object", "properties": {"a": {"type": ["string", "null"]}, "n": {"type": "number", "enum": [1, 2.5]}, "o": {"type": "object", "properties": {"l": {"type": "array", "items": {"type": "object", "required": ["x"], "properties": {"x": {"type": "integer"}}, "additionalProperties": False}}}}}, "required": ["a"]}
+    cases = [
+        ({"a": None, "n": 2.5, "o": {"l": [{"x": 1}]}}, []), ({"a": 1, "n": 3}, ["a: wrong type", "n: not one of the allowed"]), ({}, ["a: missing"]), ([1], ["arguments: not an object"]), (None, ["arguments: not an object"]),
+        ({"a": "", "o": {"l": [{"x": 1}, {"x": 1.5}, {"y": 2}, 7]}}, ["o.l[1].x: wrong type", "o.l[2].x: missing", "o.l[2].y: not allowed", "o.l[3]: wrong type"]), ({"a": "", "o": {"l": {}}}, ["o.l: wrong type"]),
+    ]
+    rows = [(0, k, "assistant", json.dumps({"tool_calls": [{"id": str(k), "name": "f", "arguments": x}]})) for k, (x, _) in enumerate(cases)]
+    tools = spark.createDataFrame([("f", json.dumps(schema)), ("g", None), (None, "{}")], "name string, schema string")
+    out = chat_tools.link_tool_calls(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), tools)
+    assert {r.turn: r.errors for r in out.collect()} == {k: sorted(e) for k, (_, e) in enumerate(cases)}
