@@ -54,6 +54,19 @@ def drawdown_episodes(returns: DataFrame, key: str) -> DataFrame:
     return out.withColumn("episode", F.row_number().over(Window.partitionBy(key).orderBy("start"))).drop("island")
 
 
+def top_drawdowns(returns: DataFrame, n: int, key: str = "run_id") -> DataFrame:
+    """The n deepest episodes of every key: start, trough, first day back at the peak (null while it lasts), bars in all and to the trough."""
+    w = along(key)
+    e = equity(returns, key).withColumn("under", F.col("drawdown") < -1e-10)
+    e = e.withColumn("next_dt", F.lead("dt").over(w)).withColumn("i", F.row_number().over(w))
+    d = islands(e, key, "under").where("under").groupBy(key, "island").agg(
+        F.min("dt").alias("start_dt"), F.max_by("next_dt", "dt").alias("recovery_dt"), F.min_by("dt", F.struct("drawdown", "dt")).alias("trough_dt"),
+        F.count("*").alias("bars"), (F.min_by("i", F.struct("drawdown", "dt")) - F.min("i")).alias("to_trough"), F.min("drawdown").alias("depth"),
+    )
+    rank = F.row_number().over(Window.partitionBy(key).orderBy("depth", "start_dt"))
+    return d.withColumn("rank", rank).where(F.col("rank") <= n).drop("island")
+
+
 def position_ledger(weights: DataFrame, key: Sequence[str] = ("run_id", "symbol")) -> DataFrame:
     """One row per spell of a held position of one sign: entry, exit, bars, mean and extreme weight, contribution.
 

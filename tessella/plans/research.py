@@ -29,26 +29,12 @@ def cpcv_pbo(v):
     return search.cpcv_pbo(search.grid_returns(v.px, _FAST), "fast", ["symbol"])
 
 
-@query("run_id", "n", "sr psr dsr expected_max", None)
-def overfit_stats(v):
-    return validation.overfit_stats(v.rets, 25)
-
-
 @query("run_id", "", "statistic p_value", None)
 def reality_check(v):
     x = v.rets.withColumn("i", F.row_number().over(panel.along("run_id")))
     return search.reality_check(x.withColumn("values", F.array("r")), "run_id")
 
 
-@query("run_id verdict", "", "score", """SELECT run_id, score, CASE WHEN crit THEN 'REJECT' WHEN score >= 70 THEN 'PROMOTE' WHEN score >= 50 THEN 'CONDITIONAL' ELSE 'REJECT' END AS verdict FROM (
-    SELECT run_id, (9 * CAST(sharpe > 0.5 AS INT) + 9 * CAST(mdd > -0.4 AS INT) + 8 * CAST(sortino > 0.5 AS INT) + 6 * CAST(n > 252 AS INT)) / 32.0 * 100 AS score, mdd <= -0.4 AS crit FROM (
-      SELECT run_id, count(*) AS n, avg(r) / stddev_samp(r) * sqrt(252) AS sharpe, min(drawdown) AS mdd, avg(r) / sqrt(avg(pow(least(r, 0), 2))) * sqrt(252) AS sortino FROM dd GROUP BY 1))""", "rets dd")
-def gate_verdict(v):
-    core = simulate.core_metrics(v.rets)
-    rules = {"sharpe": F.col("sharpe") > 0.5, "max_drawdown": F.col("max_drawdown") > -0.4, "sortino": F.col("sortino") > 0.5, "n_obs": F.col("n") > 252}
-    return validation.verdict(validation.gate_rows(core, rules))
-
-
 @query("family", "test", "p bonferroni holm bh", """SELECT family, test, p, least(1, p * n) AS bonferroni, least(1, max(p * (n - k + 1)) OVER (PARTITION BY family ORDER BY p, test)) AS holm, least(1, min(p * n / rk) OVER (PARTITION BY family ORDER BY p DESC, test DESC ROWS UNBOUNDED PRECEDING)) AS bh FROM (
     SELECT *, count(*) OVER (PARTITION BY family) AS n, row_number() OVER (PARTITION BY family ORDER BY p, test) AS k, count(*) OVER (PARTITION BY family ORDER BY p) AS rk FROM (SELECT o_orderpriority AS family, o_custkey AS test, round((round(sum(o_totalprice), 2) % 1000) / 1000, 6) AS p FROM orders GROUP BY 1, 2))""")
 def p_adjust(v):
