@@ -91,14 +91,15 @@ def calm_and_stress_correlation(wide: DataFrame, y: str, x: str, quantile: float
     return wide.crossJoin(F.broadcast(q)).agg(F.count_if(stress).alias("n_stress"), part(stress).alias("stress"), part(~stress).alias("calm")).withColumn("change", F.col("stress") - F.col("calm"))
 
 
-def lifecycle(returns: DataFrame, key: str = "run_id", recent: int = 504) -> DataFrame:
-    """Sharpe of the first third and of the last `recent` rows, and the phase."""
-    n, i = F.count("*").over(Window.partitionBy(key)), F.row_number().over(along(key)) - 1
-    d = returns.withColumn("n", n).withColumn("i", i)
-    pick = lambda on: m.sharpe(F.when(on, F.col("r")))
-    d = d.groupBy(key).agg(pick(F.col("i") < F.floor(F.col("n") / 3)).alias("early"), pick(F.col("i") >= F.col("n") - recent).alias("late"))
-    ratio = F.try_divide("late", "early")
-    return d.withColumn("phase", F.when(F.col("late") <= 0, "dead").when(F.col("early") <= 0, "emerging").when(ratio >= 0.8, "healthy").when(ratio >= 0.4, "mature").otherwise("decaying"))
+def lifecycle(returns: DataFrame, key: str = "run_id", ppy: int = m.PPY) -> DataFrame:
+    """Sharpe of all rows, of the first third (a year at least) and of the last two years, and the phase that they show."""
+    n, i = F.count("r").over(Window.partitionBy(key)), F.row_number().over(along(key)) - 1
+    d = returns.where("r is not null").withColumn("n", n).withColumn("i", i)
+    ratio = lambda on: F.try_divide(F.avg(F.when(on, F.col("r"))), F.stddev_samp(F.when(on, F.col("r")))) * F.sqrt(F.lit(float(ppy)))
+    d = d.groupBy(key, "n").agg(ratio(F.lit(True)).alias("whole"), ratio(F.col("i") < F.greatest(F.lit(ppy), F.floor(F.col("n") / 3))).alias("early"), ratio(F.col("i") >= F.col("n") - 2 * ppy).alias("late"))
+    rising, falling = F.coalesce(F.col("late") > F.col("early") + 0.2, F.lit(False)), F.coalesce(F.col("late") < F.col("early") - 0.2, F.lit(False))
+    phase = F.when(F.col("n") < ppy, "INSUFFICIENT_DATA").when((F.col("n") < 4 * ppy) & ~falling, "EMERGENCE").when(rising, "EXPLOITATION").when(falling, "DECLINE").otherwise("MATURITY")
+    return d.withColumn("phase", phase).withColumn("late_share", F.try_divide("late", "whole"))
 
 
 def meta_labels(signals: DataFrame, signal: str, horizon: int = 1) -> DataFrame:
@@ -177,12 +178,12 @@ def kelly(returns: DataFrame, key: str = "run_id") -> DataFrame:
 
 
 def spread_bps(adv: Column, price: Column) -> Column:
-    return F.least(F.greatest(50 - 5 * F.log10(adv * price), F.lit(1.0)), F.lit(500.0))
+    return F.when(adv <= 0, 50.0).otherwise(F.least(F.greatest(50 - 5 * F.log10(F.greatest(adv * price, F.lit(1.0))), F.lit(1.0)), F.lit(500.0)))
 
 
 def impact_bps(size: Column, adv: Column, vol: float = 0.02) -> Column:
     """Square-root impact, at most 500."""
-    return F.least(vol * F.sqrt(size / adv) * 1e4, F.lit(500.0))
+    return F.when((adv <= 0) | (size <= 0), 0.0).otherwise(F.least(vol * F.sqrt(size / adv) * 1e4, F.lit(500.0)))
 
 
 def cost_levels(returns: DataFrame, turnover: float, levels: tuple[float, ...] = (0, 1, 2, 5, 10, 20, 50, 100), key: str = "run_id", ppy: float = m.PPY) -> DataFrame:
@@ -190,3 +191,61 @@ def cost_levels(returns: DataFrame, turnover: float, levels: tuple[float, ...] =
     d = returns.groupBy(key).agg(F.avg("r").alias("mu"), F.stddev_samp("r").alias("sd"))
     d = d.withColumn("bps", F.explode(F.array(*[F.lit(float(x)) for x in levels])))
     return d.select(key, "bps", F.try_divide(F.col("mu") * ppy - turnover * F.col("bps") / 1e4, F.col("sd") * F.sqrt(F.lit(float(ppy)))).alias("net_sharpe"))
+
+
+#: Annual rates of margin and, by tier, of borrowing, and the daily hazard of a recall.
+MARGIN_RATE = 0.0533
+BORROW_RATES = {"easy": 0.005, "general": 0.015, "hard": 0.075, "specials": 0.20}
+RECALL_HAZARDS = {"easy": 0.001, "general": 0.003, "hard": 0.015, "specials": 0.05}
+
+
+def by_tier(tier: Column, values: dict[str, float]) -> Column:
+    """The tier's value; an unknown tier counts as general."""
+    return F.coalesce(F.create_map(*[F.lit(x) for kv in values.items() for x in kv])[tier], F.lit(values["general"]))
+
+
+def one_way_bps(size: Column, adv: Column, price: Column, commission: float = 1.0) -> Column:
+    """Half the spread, the impact and the commission."""
+    return spread_bps(adv, price) / 2 + impact_bps(size, adv) + commission
+
+
+def financing_drag(short: Column, borrow_bps: Column, leverage: Column) -> Column:
+    """Annual drag of borrowing what is short and of margin on what exceeds the capital."""
+    return short * borrow_bps / 1e4 + F.greatest(leverage - 1, F.lit(0.0)) * MARGIN_RATE
+
+
+def recall_risk(days: Column, tier: Column) -> Column:
+    """Chance that a short of so many days is recalled."""
+    return 1 - F.exp(-by_tier(tier, RECALL_HAZARDS) * F.greatest(days, F.lit(0)))
+
+
+def most_positions(trade: Column, adv: Column, participation: float = 0.01, most_bps: float = 20.0) -> Column:
+    """Positions of that size which the participation and impact bounds allow, one at least; none for empty trades."""
+    n = F.greatest(F.floor(adv * participation / trade), F.lit(1))
+    impact = impact_bps(adv * participation, adv)
+    return F.when(trade <= 0, 0).when(impact > most_bps, F.greatest(F.floor(n * F.pow(most_bps / impact, F.lit(2))), F.lit(1))).otherwise(n)
+
+
+def capital_scaling(returns: DataFrame, levels: list[float], adv: float = 1e7, key: str = "run_id", ppy: int = m.PPY) -> DataFrame:
+    """(key, capital, impact_bps, sharpe): what temporary and permanent impact leave of the Sharpe at every level of capital."""
+    d = returns.groupBy(key).agg(m.sharpe("r", ppy).alias("base"), F.stddev_samp("r").alias("sd")).withColumn("capital", F.explode(F.array(*[F.lit(float(x)) for x in levels])))
+    part = F.least(F.col("capital") / adv, F.lit(1.0))
+    d = d.withColumn("impact_bps", F.col("sd") * 0.314 * F.sqrt(part) * 1e4 + 0.1 * part * 1e4)
+    return d.withColumn("sharpe", F.greatest(F.col("base") - F.col("impact_bps") / 1e4 * ppy / F.greatest(F.col("sd") * F.sqrt(F.lit(float(ppy))), F.lit(0.01)), F.lit(0.0)))
+
+
+def periods_per_year(dates: DataFrame, key: str) -> DataFrame:
+    """(key, gap, ppy) from the median days between dates: 252 up to two days, 52 up to nine, 12 up to forty-five, else 1."""
+    gap = F.date_diff("dt", F.lag("dt").over(along(key)))
+    d = dates.withColumn("g", gap).groupBy(key).agg(F.count("*").alias("n"), F.median("g").alias("gap"))
+    g = F.col("gap")
+    return d.withColumn("ppy", F.when((F.col("n") < 3) | (g <= 2), 252).when(g <= 9, 52).when(g <= 45, 12).otherwise(1))
+
+
+def sign_permutation(returns: DataFrame, draws: int = 200, key: str = "run_id") -> DataFrame:
+    """(key, p_value): how often random signs, digests of (draw, row), give at least the mean seen. Null under 20 rows."""
+    d = returns.where("r is not null").select(key, "r", F.row_number().over(along(key)).alias("i"))
+    seen = d.groupBy(key).agg(F.avg("r").alias("seen"), F.count("*").alias("n"))
+    flip = F.when(F.substring(F.md5(F.concat_ws("-", "draw", "i")), 1, 1) < "8", F.col("r")).otherwise(-F.col("r"))
+    d = d.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))).groupBy(key, "draw").agg(F.avg(flip).alias("mean")).join(seen, key)
+    return d.groupBy(key, "n").agg((F.count_if(F.col("mean") >= F.col("seen")) + 1).alias("hits")).select(key, F.when(F.col("n") >= 20, F.col("hits") / (draws + 1)).alias("p_value"))

@@ -185,3 +185,30 @@ def bootstrap_sharpe(returns: DataFrame, draws: int = 200, block: int = 10, key:
     """(key, ci_lower, ci_upper): the 95 % interval of the Sharpe ratio over `hashed_bootstrap`."""
     s = hashed_bootstrap(returns, draws, block, key).withColumn("s", F.coalesce(F.try_divide("mean", "sd"), F.lit(0.0)) * F.sqrt(F.lit(float(ppy))))
     return s.groupBy(key).agg(F.percentile("s", F.lit(0.025)).alias("ci_lower"), F.percentile("s", F.lit(0.975)).alias("ci_upper"))
+
+
+def ruin(returns: DataFrame, drawdown: float, horizon: int, draws: int, key: str = "run_id") -> DataFrame:
+    """(key, ruin): the share of resampled paths of `horizon` returns whose drawdown reaches the level."""
+    rows = returns.where("r is not null").select(key, "r", (F.row_number().over(along(key)) - 1).alias("i"))
+    picks = rows.groupBy(key).agg(F.count("*").alias("n")).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("pos", F.explode(F.sequence(F.lit(0), F.lit(horizon - 1))))
+    picks = picks.withColumn("i", F.conv(F.substring(F.md5(F.concat_ws(":", "draw", "pos")), 1, 8), 16, 10).cast("long") % F.col("n"))
+    w = along([key, "draw"], "pos").rowsBetween(Window.unboundedPreceding, 0)
+    d = picks.join(rows, [key, "i"]).withColumn("e", F.sum(F.log1p("r")).over(w)).withColumn("p", F.max("e").over(w))
+    return d.groupBy(key, "draw").agg(F.min(F.expm1(F.col("e") - F.col("p"))).alias("worst")).groupBy(key).agg(F.avg((F.col("worst") <= drawdown).cast("double")).alias("ruin"))
+
+
+def risk_by_regime(returns: DataFrame, level: float = 0.05, key: str = "run_id", ppy: int = m.PPY) -> DataFrame:
+    """(key, regime, n, var, cvar, mean_return, vol, sharpe); regimes of under five rows are left out."""
+    q = returns.groupBy(key, "regime").agg(F.percentile("r", F.lit(level)).alias("var"))
+    d = returns.join(q, [key, "regime"]).groupBy(key, "regime", "var")
+    d = d.agg(F.count("r").alias("n"), F.avg(F.when(F.col("r") <= F.col("var"), F.col("r"))).alias("cvar"), F.avg("r").alias("mean_return"), F.stddev_samp("r").alias("vol"), m.sharpe("r", ppy).alias("sharpe"))
+    return d.where("n >= 5")
+
+
+def book_attribution(book: DataFrame, key: str = "run_id", ppy: int = m.PPY) -> DataFrame:
+    """Return and risk contributions of (key, dt, r, w): one pass, as a name's share of risk is its covariance with the book."""
+    d = book.withColumn("total", F.sum(F.col("w") * F.col("r")).over(Window.partitionBy("dt")))
+    d = d.groupBy(key).agg(F.first("w").alias("weight"), F.avg("r").alias("mu"), F.covar_samp("r", "total").alias("c"), m.sharpe("r", ppy).alias("sharpe"))
+    all_ = Window.partitionBy(F.lit(1))  # one row a name
+    gain, risk = F.col("weight") * F.col("mu"), F.col("weight") * F.col("c")
+    return d.select(key, "weight", (gain * ppy).alias("ret_contrib"), (gain / F.sum(gain).over(all_)).alias("ret_share"), (risk / F.sum(risk).over(all_)).alias("risk_share"), "sharpe")

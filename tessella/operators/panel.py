@@ -103,6 +103,29 @@ def adjust_prices(bars: DataFrame, dividends: DataFrame, splits: DataFrame) -> D
     return b.withColumn("factor", factor).withColumn("adj_close", F.col("close") * F.col("factor")).drop("_f", "prev", "dividend", "ratio")
 
 
+def parse_splits(events: DataFrame) -> DataFrame:
+    """(symbol, dt, ratio) of split texts such as 2/1; texts that are no such ratio, or of zero, are left out."""
+    part = lambda i: F.try_element_at(F.split("split", "/"), F.lit(i)).try_cast("double")
+    d = events.select("symbol", "dt", F.try_divide(part(1), part(2)).alias("ratio"), F.size(F.split("split", "/")).alias("_n"))
+    return d.where("_n = 2 and ratio > 0").drop("_n")
+
+
+def membership_intervals(events: DataFrame) -> DataFrame:
+    """(member, start_dt, end_dt) of a log (member, dt, action): from an addition while out to the removal after it, open at the end.
+
+    Additions while in and removals while out change nothing.
+    """
+    w = along("member")
+    turns = events.where("action in ('added', 'removed')").withColumn("before", F.lag("action").over(w))
+    turns = turns.where("not (action <=> before) and not (before is null and action = 'removed')")
+    return turns.withColumn("end_dt", F.lead("dt").over(w)).where("action = 'added'").select("member", F.col("dt").alias("start_dt"), "end_dt")
+
+
+def positive_prices(bars: DataFrame, columns: Sequence[str] = ("open", "high", "low", "close")) -> DataFrame:
+    """bars with prices of zero or less as nulls."""
+    return bars.withColumns({x: F.when(F.col(x) > 0, F.col(x)) for x in columns if x in bars.columns})
+
+
 def contract_violations(bars: DataFrame) -> DataFrame:
     """(symbol, dt, rule) of every breach: order and repetition of dates, positive prices, high/low bounds, volume."""
     w = Window.partitionBy("symbol", "dt")

@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 
 from tessella.functions import metrics as m
 
+from tessella.functions import stats
+
 from .panel import along
-from .simulate import simulate_weights
+from .simulate import core_metrics, simulate_weights
+from .validation import sharpe_se
 
 
 def grid_returns(prices: DataFrame, fast: list[int], cost_bps: float = 10.0) -> DataFrame:
@@ -34,35 +37,67 @@ def best_combo(returns: DataFrame, combo: str, keys: list[str]) -> DataFrame:
     return s.groupBy(*keys).agg(best).select(*keys, (-F.col("b.neg")).alias(combo), F.col("b.sharpe").alias("sharpe"))
 
 
-def holdout(returns: DataFrame, combo: str, keys: list[str], share: float = 0.3) -> DataFrame:
-    """Best combination on the first part, and its Sharpe on the held-out rest."""
-    r = returns.withColumn("p", F.percent_rank().over(Window.partitionBy(*keys, combo).orderBy("dt")))
-    train, test = r.where(F.col("p") < 1 - share), r.where(F.col("p") >= 1 - share)
-    best = best_combo(train, combo, keys)
-    out = test.groupBy(*keys, combo).agg(m.sharpe("r").alias("test_sharpe"))
-    return best.join(out, [*keys, combo])
+def robust_choice(returns: DataFrame, combo: str, key: str, sharpe: float = 0.3, psr: float = 0.6, cagr: float = -0.05, max_dd: float = -0.999, ppy: int = m.PPY) -> DataFrame:
+    """(key, combo, priority, candidates, ...): of the combinations over all floors, the one of most growth for its activity.
+
+    Growth below zero counts as none and is weighed by log(1 + active bars); ties go to the higher Sharpe, then growth, then
+    the smaller combination. A key with no candidate keeps one row, REJECTED, of null combination.
+    """
+    d = core_metrics(returns, (key, combo), ppy)
+    active = returns.groupBy(key, combo).agg(F.count_if(F.col("r") != 0).alias("active"))
+    per = F.col("sharpe") / F.sqrt(F.lit(float(ppy)))
+    se = sharpe_se(per, F.col("n"), F.col("skewness"), F.col("kurtosis"))
+    d = d.join(active, [key, combo]).withColumn("psr", F.when(se > 0, stats.norm_cdf(per / se)).otherwise(0.5))
+    good = (F.col("sharpe") >= sharpe) & (F.col("psr") >= psr) & (F.col("cagr") > cagr) & (F.col("max_drawdown") > max_dd)
+    rank = F.struct((F.greatest("cagr", F.lit(0.0)) * F.log1p("active")).alias("a"), F.col("sharpe").alias("b"), F.col("cagr").alias("c"), (-F.col(combo)).alias("d"))
+    d = d.withColumn("good", good).groupBy(key).agg(F.max(F.when(F.col("good"), F.struct(rank.alias("rank"), F.col(combo), "sharpe", "cagr", "psr"))).alias("best"), F.count_if("good").alias("candidates"))
+    return d.select(key, "candidates", F.when(F.col("candidates") > 0, "ROBUST_PERF").otherwise("REJECTED").alias("priority"), *[F.col(f"best.{x}").alias(x) for x in (combo, "sharpe", "cagr", "psr")])
+
+
+def holdout(returns: DataFrame, key: str = "run_id", ends: tuple[float, float] = (0.6, 0.8), ppy: int = m.PPY) -> DataFrame:
+    """Sharpe before, between and after the two cuts; degraded where the last is negative or under 0.3 of a positive middle.
+
+    Keys of 50 rows or fewer are left out.
+    """
+    n, i = F.count("*").over(Window.partitionBy(key)), F.row_number().over(along(key)) - 1
+    d = returns.where("r is not null").withColumn("n", n).withColumn("i", i).where("n > 50")
+    first, second = (F.floor(F.col("n") * x) for x in ends)
+    part = F.when(F.col("i") < first, 0).when(F.col("i") < second, 1).otherwise(2)
+    d = d.withColumn("part", part).groupBy(key).agg(*[m.sharpe(F.when(F.col("part") == k, F.col("r")), ppy).alias(x) for k, x in enumerate(("is_sharpe", "oos_sharpe", "hold_sharpe"))], *[F.count_if(F.col("part") == k).alias(x) for k, x in enumerate(("is_n", "oos_n", "hold_n"))])
+    return d.withColumn("degraded", (F.col("hold_sharpe") < 0) | ((F.col("oos_sharpe") > 0) & (F.col("hold_sharpe") < 0.3 * F.col("oos_sharpe"))))
 
 
-def cpcv_pbo(returns: DataFrame, combo: str, keys: list[str], groups: int = 6, test_groups: int = 2) -> DataFrame:
-    """Probability of backtest overfitting over all choices of test groups (no purge).
+def cpcv_pbo(returns: DataFrame, combo: str, keys: list[str], groups: int = 10, test_groups: int = 2, purge: int = 0, embargo: int = 0, ppy: int = m.PPY) -> DataFrame:
+    """Probability of backtest overfitting over all choices of test groups, with what the in-sample winners earn out of sample.
 
-    Sums per (combination, group) are enough: each split adds its groups' sums, and no split scans a bar again. The
-    in-sample winner's out-of-sample rank counts ties as wins.
+    Sums per (combination, group) are enough: each split adds its groups' sums, and no split scans a bar again. The bars
+    that purging takes lie at a group's ends, so their sums are kept too; the longer of purge and embargo must fit a group
+    (`purge` bars before a test group are left out of training, and the more of both after it). A winner's rank counts ties
+    as wins and lies half a step lower, so that it never reaches one; ties in sample go to the smaller combination.
     """
     spark = returns.sparkSession
-    n = F.count("*").over(Window.partitionBy(*keys, combo))
-    rn = F.row_number().over(Window.partitionBy(*keys, combo).orderBy("dt")) - 1
-    g = returns.withColumn("grp", F.floor(rn * groups / n).cast("int")).groupBy(*keys, combo, "grp").agg(F.count("*").alias("n"), F.sum("r").alias("s"), F.sum(F.col("r") ** 2).alias("q"))
-    splits = spark.createDataFrame([(i, k, k in test) for i, test in enumerate(itertools.combinations(range(groups), test_groups)) for k in range(groups)], "split int, grp int, test boolean")
-    t = g.join(F.broadcast(splits), "grp").groupBy(*keys, combo, "split", "test").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"))
+    after = max(purge, embargo)
+    bars = returns.select(*keys, "dt").distinct()  # every combination has the same bars
+    n, rn = F.count("*").over(Window.partitionBy(*keys)), F.row_number().over(along(keys))
+    bars = bars.withColumn("n", n).withColumn("rn", rn).withColumn("grp", (F.ceil(F.col("rn") * groups / F.col("n")) - 1).cast("int"))
+    low, high = (F.floor((F.col("grp") + k) * F.col("n") / groups) for k in (0, 1))
+    bars = bars.select(*keys, "dt", "grp", (F.col("rn") - 1 < low + after).alias("head"), (F.col("rn") > high - purge).alias("tail"))
+    sums = lambda on, x: [F.sum(F.when(on, v)).alias(f"{x}{k}") for k, v in (("n", F.lit(1)), ("s", F.col("r")), ("q", F.col("r") ** 2))]
+    g = returns.join(bars, [*keys, "dt"]).groupBy(*keys, combo, "grp").agg(*sums(F.lit(True), "all_"), *sums(F.col("head"), "head_"), *sums(F.col("tail"), "tail_"))
+    rows = [(i, k, k in test, k not in test and k - 1 in test, k not in test and k + 1 in test) for i, test in enumerate(itertools.combinations(range(groups), test_groups)) for k in range(groups)]
+    splits = spark.createDataFrame(rows, "split int, grp int, test boolean, cut_head boolean, cut_tail boolean")
+    left = lambda k: F.sum(F.col(f"all_{k}") - F.when(F.col("cut_head"), F.coalesce(f"head_{k}", F.lit(0))).otherwise(0) - F.when(F.col("cut_tail"), F.coalesce(f"tail_{k}", F.lit(0))).otherwise(0)).alias(k)
+    t = g.join(F.broadcast(splits), "grp").groupBy(*keys, combo, "split", "test").agg(left("n"), left("s"), left("q"))
     var = (F.col("q") - F.col("s") ** 2 / F.col("n")) / (F.col("n") - 1)
-    t = t.withColumn("sharpe", F.when(var > 1e-24, F.col("s") / F.col("n") / F.sqrt(var)).otherwise(0.0))
+    t = t.withColumn("sharpe", F.when(var > 1e-24, F.col("s") / F.col("n") / F.sqrt(var) * F.sqrt(F.lit(float(ppy)))).otherwise(0.0))
     t = t.groupBy(*keys, "split", combo).agg(F.max(F.when(~F.col("test"), F.col("sharpe"))).alias("ins"), F.max(F.when(F.col("test"), F.col("sharpe"))).alias("out"))
     w = Window.partitionBy(*keys, "split")
     t = t.withColumn("best", F.max(F.struct("ins", (-F.col(combo)).alias("c"), "out")).over(w)).withColumn("m", F.count("*").over(w))
-    s = t.groupBy(*keys, "split").agg((F.sum((F.col("out") <= F.col("best.out")).cast("double")) / F.first("m")).alias("rank"))
-    x = F.least(F.greatest(F.col("rank"), F.lit(1e-6)), F.lit(1 - 1e-6))
-    return s.withColumn("logit", F.ln(x / (1 - x))).groupBy(*keys).agg(F.avg((F.col("logit") < 0).cast("double")).alias("pbo"), F.count("*").alias("splits"))
+    s = t.groupBy(*keys, "split").agg(((F.count_if(F.col("out") <= F.col("best.out")) - 0.5) / F.first("m")).alias("rank"), F.first("best.ins").alias("ins"), F.first("best.out").alias("out"))
+    d = s.groupBy(*keys).agg(F.avg((F.col("rank") < 0.5).cast("double")).alias("pbo"), F.count("*").alias("splits"), F.avg("ins").alias("mean_is"), F.avg("out").alias("mean_oos"))
+    half = 1.96 * F.sqrt(F.col("pbo") * (1 - F.col("pbo")) / F.col("splits"))
+    d = d.withColumn("pbo_low", F.greatest(F.col("pbo") - half, F.lit(0.0))).withColumn("pbo_high", F.least(F.col("pbo") + half, F.lit(1.0))).withColumn("efficiency", F.try_divide("mean_oos", "mean_is"))
+    return d.withColumn("verdict", F.when(F.col("pbo") < 0.4, "ROBUST").when(F.col("pbo") < 0.55, "MODERATE").when(F.col("pbo") < 0.7, "FRAGILE").otherwise("OVERFIT"))
 
 
 def stationary_indices(n: int, draws: int, block: float, seed: int) -> np.ndarray:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .panel import along, rolling
+from .panel import along, islands, rolling
 
 
 def avg_rank(value: str, over_keys: list[str]) -> Column:
@@ -68,17 +70,37 @@ def quantile_edges(signals: DataFrame, n: int = 5) -> DataFrame:
     return d.withColumn("bucket", F.size(F.filter(inner, lambda e: e < F.col("signal"))) + 1)
 
 
-def triple_barrier(prices: DataFrame, horizon: int, up: float, down: float) -> DataFrame:
-    """(symbol, dt, label, bars): which barrier the next `horizon` closes touch first: 1, -1, or 0 at the end.
+def ewm_volatility(prices: DataFrame, span: int = 100, key: str = "symbol") -> DataFrame:
+    """prices with `vol`: the exponentially weighted standard deviation of log returns, with the bias of the weights taken out.
 
-    The bars ahead are an array frame, so there is no self-join.
+    Weights are powers of the bar's number, so running sums give it without a fold; powers of 1 - 2 / (span + 1) must stay
+    within doubles, which some 350 spans of bars a key do. Null until there are two returns.
+    """
+    w = along(key)
+    q = math.log(1 - 2 / (span + 1))
+    up = w.rowsBetween(Window.unboundedPreceding, 0)
+    d = prices.withColumn("lr", F.log(F.col("price") / F.lag("price").over(w))).withColumn("k", F.exp(-q * F.row_number().over(w)))
+    k = F.when(F.col("lr").isNotNull(), F.col("k"))
+    for name, x in (("w1", k), ("w2", k * k), ("s1", k * F.col("lr")), ("s2", k * F.col("lr") * F.col("lr"))):
+        d = d.withColumn(name, F.sum(x).over(up))
+    mean = F.col("s1") / F.col("w1")
+    var = (F.col("s2") / F.col("w1") - mean * mean) * F.col("w1") ** 2 / F.nullif(F.col("w1") ** 2 - F.col("w2"), F.lit(0.0))
+    return d.withColumn("vol", F.when(F.count("lr").over(up) >= 2, F.sqrt(F.greatest(var, F.lit(0.0))))).drop("lr", "k", "w1", "w2", "s1", "s2")
+
+
+def triple_barrier(prices: DataFrame, horizon: int, up: float, down: float, span: int = 100) -> DataFrame:
+    """(symbol, dt, label, bars, ret): which barrier the next `horizon` closes touch first: 1, -1, or 0 at the end.
+
+    Barriers lie `up` and `down` times the bar's exponentially weighted volatility away (none while that is null counts as
+    zero). The bars ahead are an array frame, so there is no self-join.
     """
     ahead = F.collect_list("price").over(along("symbol").rowsBetween(1, horizon))
-    d = prices.withColumn("a", ahead)
-    first = lambda test: F.coalesce(F.array_min(F.filter(F.transform("a", lambda x, i: F.when(test(x / F.col("price") - 1), i + 1)), lambda x: x.isNotNull())), F.lit(horizon + 1))
-    d = d.withColumn("u", first(lambda x: x >= up)).withColumn("d", first(lambda x: x <= -down)).where(F.size("a") > 0)
-    label = F.when((F.col("u") > horizon) & (F.col("d") > horizon), 0).when(F.col("u") < F.col("d"), 1).otherwise(-1)
-    return d.select("symbol", "dt", label.alias("label"), F.least("u", "d", F.size("a")).alias("bars"))
+    d = ewm_volatility(prices, span).withColumn("a", ahead).withColumn("vol", F.coalesce("vol", F.lit(0.0))).where(F.size("a") > 0)
+    first = lambda test: F.coalesce(F.array_min(F.filter(F.transform("a", lambda x, i: F.when(test(x), i + 1)), lambda x: x.isNotNull())), F.lit(horizon + 1))
+    d = d.withColumn("u", first(lambda x: x >= F.col("price") * (1 + up * F.col("vol")))).withColumn("d", first(lambda x: x <= F.col("price") * (1 - down * F.col("vol"))))
+    label = F.when((F.col("u") > horizon) & (F.col("d") > horizon), 0).when(F.col("u") <= F.col("d"), 1).otherwise(-1)
+    d = d.withColumn("label", label).withColumn("bars", F.least("u", "d", F.size("a")))
+    return d.select("symbol", "dt", "label", "bars", (F.element_at("a", F.col("bars")) / F.col("price") - 1).alias("ret"))
 
 
 def neutralise(signals: DataFrame, sector: str) -> DataFrame:
@@ -107,3 +129,19 @@ def regimes(returns: DataFrame, key: str, window: int = 21) -> DataFrame:
     v = F.col("vol")
     return d.withColumn("regime", F.when(v.isNull(), None).when(v <= F.col("q")[0], "low").when(v <= F.col("q")[1], "mid").otherwise("high")).drop("q")
 
+
+
+def market_regimes(prices: DataFrame, key: str = "symbol", trend: int = 200, window: int = 63, calm: float = 0.12, stress: float = 0.2, ppy: int = 252) -> DataFrame:
+    """(key, dt, regime): trend against the long mean and volatility band of the bar before; Bear-Mid while the mean warms up."""
+    w = along(key)
+    d = prices.withColumn("_r", F.coalesce(F.col("price") / F.lag("price").over(w) - 1, F.lit(0.0)))
+    d = d.withColumn("_m", rolling(F.col("price"), trend, w)).withColumn("_v", rolling(F.col("_r"), window, w, F.stddev_samp) * F.sqrt(F.lit(float(ppy))))
+    band = F.when(F.col("_v") <= calm, "-Calm").when(F.col("_v") >= stress, "-Stress").otherwise("-Mid")
+    now = F.when(F.col("_m").isNull(), "Bear-Mid").otherwise(F.concat(F.when(F.col("price") > F.col("_m"), "Bull").otherwise("Bear"), band))
+    return d.withColumn("_now", now).select(key, "dt", F.coalesce(F.lag("_now").over(w), F.lit("Bear-Mid")).alias("regime"))
+
+
+def timeline(labels: DataFrame, key: str, label: str) -> DataFrame:
+    """(key, label, start_dt, end_dt, bars) of every stretch of one label."""
+    d = islands(labels, key, label)
+    return d.groupBy(key, "island", label).agg(F.min("dt").alias("start_dt"), F.max("dt").alias("end_dt"), F.count("*").alias("bars")).drop("island")

@@ -68,17 +68,21 @@ def top_drawdowns(returns: DataFrame, n: int, key: str = "run_id") -> DataFrame:
 
 
 def position_ledger(weights: DataFrame, key: Sequence[str] = ("run_id", "symbol")) -> DataFrame:
-    """One row per spell of a held position of one sign: entry, exit, bars, mean and extreme weight, contribution.
+    """One row per spell of a held position: entry, exit, bars, weights, rebalances, contribution and excursions.
 
-    weights: key, dt, w, ret. The contribution is the sum of the held weight times the return of the next bar.
+    weights: key, dt, w, ret. A spell lasts until the weight is zero; a change of sign is a rebalance within it, and the
+    side is that of the mean weight. Every bar earns the weight held before it times its return.
     """
     w = along(list(key))
-    p = weights.withColumn("side", F.signum("w")).withColumn("next_ret", F.coalesce(F.lead("ret").over(w), F.lit(0.0)))
-    p = islands(p, list(key), "side").where("side <> 0")
-    return p.groupBy(*key, "island", "side").agg(
-        F.min("dt").alias("entry"), F.max("dt").alias("exit"), F.count("*").alias("bars"), F.avg("w").alias("avg_weight"),
-        F.max(F.abs("w")).alias("max_weight"), F.sum(F.col("w") * F.col("next_ret")).alias("contribution"),
+    p = weights.withColumn("on", F.abs("w") > 1e-12).withColumn("pnl", F.coalesce(F.lag("w").over(w) * F.col("ret"), F.lit(0.0)))
+    p = islands(p, list(key), "on").where("on")
+    spell = along([*key, "island"])
+    p = p.withColumn("cum", F.sum("pnl").over(spell.rowsBetween(Window.unboundedPreceding, 0))).withColumn("moved", F.abs(F.col("w") - F.lag("w").over(spell)) > 1e-12)
+    d = p.groupBy(*key, "island").agg(
+        F.min("dt").alias("entry"), F.max("dt").alias("exit"), F.count("*").alias("bars"), F.avg("w").alias("avg_weight"), F.max(F.abs("w")).alias("max_weight"), F.count_if("moved").alias("rebalances"),
+        F.sum("pnl").alias("contribution"), F.least(F.min("cum"), F.lit(0.0)).alias("mae"), F.greatest(F.max("cum"), F.lit(0.0)).alias("mfe"),
     ).drop("island")
+    return d.withColumn("side", F.when(F.col("avg_weight") > 0, "long").otherwise("short"))
 
 
 def sma_rule(prices: DataFrame, n: Column | int, keys: Sequence[str] = ("symbol",)) -> DataFrame:

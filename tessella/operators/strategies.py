@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .panel import along, ffill, pct_change, rolling
+from .signals import ewm
 
 YEAR = 252
 
@@ -121,46 +122,57 @@ def _per_symbol(prices: DataFrame, f, columns: list[str], out: str) -> DataFrame
 
 
 def dual_ema(prices: DataFrame, fast: int = 20, slow: int = 50, trend: int = 100, short: bool = False) -> DataFrame:
-    """w follows crossings of two exponential means while the price is on the same side of its long mean."""
+    """w follows crossings of two exponential means while the price is on the same side of its long mean.
 
-    def f(p):
-        up = np.where(p.price.ewm(span=fast, adjust=False).mean() > p.price.ewm(span=slow, adjust=False).mean(), 1, -1)
-        mean = p.price.rolling(trend).mean()
-        macro = np.where(mean.isna(), 0, np.where(p.price > mean, 1, -1))
-        out, now = np.zeros(len(p)), 0
-        for i in range(1, len(p)):
-            crossed = up[i] if up[i] != up[i - 1] else 0
-            if now and (crossed == -now or macro[i] == -now):
-                now = 0
-            turned = macro[i] if macro[i - 1] == -macro[i] else 0
-            for side in (1, -1) if short else (1,):
-                if now == 0 and macro[i] == side and up[i] == side and (crossed == side or turned == side):
-                    now = side
-            out[i] = now
-        return p.assign(w=out)
+    A side opens where both agree with it and one of them has just turned, and closes where either turns against it. As
+    what opens one side always closes the other, each side is the last of its own events.
+    """
+    w = along("symbol")
+    d = prices.select("symbol", "dt", "price")
+    for name, span in (("quick", fast), ("calm", slow)):
+        d = d.join(ewm(prices, "symbol", "price", 2 / (span + 1)).withColumnRenamed("ewm", name), ["symbol", "dt"])
+    side = F.when(F.col("price") > F.col("mean"), 1).when(F.col("price") <= F.col("mean"), -1).otherwise(0)
+    d = d.withColumn("mean", rolling(F.col("price"), trend, w)).withColumn("macro", side).withColumn("lead", F.when(F.col("quick") > F.col("calm"), 1).otherwise(-1))
+    d = d.withColumn("crossed", F.col("lead") != F.lag("lead").over(w)).withColumn("turned", F.col("macro") == -F.lag("macro").over(w))
+
+    def held(k: int):
+        opens = (F.col("macro") == k) & (F.col("lead") == k) & (F.col("crossed") | F.col("turned"))
+        closes = F.col("crossed").isNotNull() & ((F.col("macro") == -k) | (F.col("crossed") & (F.col("lead") == -k)))
+        return F.coalesce(ffill(F.when(opens, 1.0).when(closes, 0.0), w), F.lit(0.0))
 
-    return _per_symbol(prices, f, ["price"], "w double")
+    return d.select("symbol", "dt", "price", (held(1) - held(-1) if short else held(1)).alias("w"))
 
 
 def squeeze_breakout(prices: DataFrame, n: int = 20, k: float = 2.0, quiet: int = 126) -> DataFrame:
-    """After a bar of nearly the narrowest bands in `quiet` bars, a close outside the bands opens, one across the mean closes."""
+    """After a bar of nearly the narrowest bands in `quiet` bars, a close outside the bands opens, one across the mean closes.
 
-    def f(p):
-        mean, sd = p.price.rolling(n).mean(), p.price.rolling(n).std()
-        width = 2 * k * sd / mean
-        tight = (width <= width.rolling(quiet).min() * 1.05).to_numpy()
-        x, mid, half = p.price.to_numpy(), mean.to_numpy(), k * sd.to_numpy()
-        out, now, armed = np.zeros(len(p)), 0, False
-        for i in range(1, len(p)):
-            armed = armed or bool(tight[i - 1])
-            if now == 0 and armed and abs(x[i] - mid[i]) > half[i]:
-                now, armed = (1 if x[i] > mid[i] else -1), False
-            elif now and (x[i] - mid[i]) * now < 0:
-                now = 0
-            out[i] = now
-        return p.assign(w=out)
+    Which breakouts count depends on the trades before them, so each symbol's trades are found in turn: the next close
+    outside the bands that has a narrow bar since the last opening, then the next close across the mean.
+    """
+    w = along("symbol")
+    d = prices.select("symbol", "dt", "price").withColumn("mid", rolling(F.col("price"), n, w)).withColumn("half", k * rolling(F.col("price"), n, w, F.stddev_samp))
+    d = d.withColumn("width", 2 * F.col("half") / F.col("mid")).withColumn("tight", F.coalesce(F.col("width") <= rolling(F.col("width"), quiet, w, F.min) * 1.05, F.lit(False)))
+
+    def trades(pdf):
+        pdf = pdf.sort_values("dt", ignore_index=True)
+        off = (pdf.price - pdf.mid).to_numpy(float)
+        outside, narrow = np.flatnonzero(np.abs(off) > pdf.half.to_numpy(float)), np.flatnonzero(pdf.tight)
+        held, free = np.zeros(len(pdf)), 0  # free: the first bar at which a trade may open; opened: the last opening
+        opened = 0
+        while (at := np.searchsorted(narrow, opened)) < len(narrow):
+            at = np.searchsorted(outside, max(free, narrow[at] + 1))
+            if at == len(outside):
+                break
+            opened = outside[at]
+            side = np.sign(off[opened])
+            against = np.flatnonzero(off[opened + 1 :] * side < 0)
+            end = opened + 1 + against[0] if len(against) else len(pdf)
+            held[opened:end], free = side, end + 1
+        pdf["w"] = held
+        return pdf[["symbol", "dt", "price", "w"]]
 
-    return _per_symbol(prices, f, ["price"], "w double")
+    t = prices.schema
+    return d.groupBy("symbol").applyInPandas(trades, ", ".join(f"{x} {t[x].dataType.simpleString()}" for x in ("symbol", "dt", "price")) + ", w double")
 
 
 def extreme_reversion(prices: DataFrame, enter: float = 2.0, leave: float = 0.5, trend: int = 50) -> DataFrame:

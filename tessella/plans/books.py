@@ -67,9 +67,3 @@ def weight_search(v):
     SELECT sample, dt, sum(r) / count(*) AS r FROM (SELECT *, dense_rank() OVER (ORDER BY symbol) - 1 AS bit, count(*) OVER (PARTITION BY dt) AS here FROM (SELECT symbol, dt, ret AS r FROM pr WHERE ret IS NOT NULL)), range(1, 32) t(sample) WHERE here = 5 AND (CAST(sample AS INT) >> CAST(bit AS INT)) % 2 = 1 GROUP BY 1, 2) GROUP BY 1, 2""", "px pr", places=6)
 def subset_search(v):
     return allocation.search_subsets(v.pr.where("ret is not null").select(F.col("symbol").alias("run_id"), "dt", F.col("ret").alias("r")))
-
-
-@query("run_id dt", "", "r", """SELECT run_id, dt, CASE WHEN last_value(ev IGNORE NULLS) OVER (PARTITION BY run_id ORDER BY dt ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN r * 0.5 ELSE r END AS r FROM (
-    SELECT *, CASE WHEN e >= p THEN false WHEN exp(e - p) - 1 <= -0.1 THEN true END AS ev FROM (SELECT *, greatest(max(e) OVER (PARTITION BY run_id ORDER BY dt), 0) AS p FROM (SELECT *, sum(ln(1 + r)) OVER (PARTITION BY run_id ORDER BY dt) AS e FROM rets)))""", "rets", places=12)
-def drawdown_throttle(v):
-    return allocation.throttle(v.rets)

@@ -49,12 +49,6 @@ def stress_correlation(v):
     return diagnosis.calm_and_stress_correlation(v.wide, "a", "n")
 
 
-@query("run_id phase", "", "early late", """SELECT run_id, early, late, CASE WHEN late <= 0 THEN 'dead' WHEN early <= 0 THEN 'emerging' WHEN late / early >= 0.8 THEN 'healthy' WHEN late / early >= 0.4 THEN 'mature' ELSE 'decaying' END AS phase FROM (
-    SELECT run_id, avg(r) FILTER (i < n // 3) / stddev_samp(r) FILTER (i < n // 3) * sqrt(252) AS early, avg(r) FILTER (i >= n - 504) / stddev_samp(r) FILTER (i >= n - 504) * sqrt(252) AS late FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY dt) - 1 AS i, count(*) OVER (PARTITION BY run_id) AS n FROM rets) GROUP BY 1)""", "rets", places=6)
-def lifecycle(v):
-    return diagnosis.lifecycle(v.rets)
-
-
 @query("symbol dt", "", "label", "SELECT symbol, dt, CAST(sign(signal) = sign(f) AS INT) AS label FROM (SELECT *, lead(ret) OVER (PARTITION BY symbol ORDER BY dt) AS f FROM sig)", "px pr sig")
 def meta_labels(v):
     return diagnosis.meta_labels(v.sig, "signal")

@@ -147,21 +147,6 @@ def max_consecutive_wins(v):
     return panel.longest_run(v.rets, "run_id", F.col("r") > 0)
 
 
-@query("symbol entry exit", "bars", "side avg_weight contribution", """SELECT symbol, w AS side, min(dt) AS entry, max(dt) AS exit, count(*) AS bars, avg(w) AS avg_weight, sum(w * nr) AS contribution FROM (
-    SELECT *, sum(c) OVER (PARTITION BY symbol ORDER BY dt) AS isl FROM (SELECT *, CASE WHEN w IS DISTINCT FROM lag(w) OVER (PARTITION BY symbol ORDER BY dt) THEN 1 ELSE 0 END AS c, coalesce(lead(ret) OVER (PARTITION BY symbol ORDER BY dt), 0) AS nr FROM (
-    SELECT *, CASE WHEN count(price) OVER k >= 20 AND price > avg(price) OVER k THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS w FROM pr WINDOW k AS (PARTITION BY symbol ORDER BY dt ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)))) WHERE w <> 0 GROUP BY symbol, w, isl""", "px pr")
-def position_ledger(v):
-    w = simulate.sma_rule(v.pr, 20)
-    return simulate.position_ledger(w, ("symbol",))
-
-
-@query("symbol", "n", "hit_rate avg_bars avg_contribution best worst", None)
-def ledger_summary(v):
-    led = simulate.position_ledger(simulate.sma_rule(v.pr, 20), ("symbol",))
-    c = F.col("contribution")
-    return led.groupBy("symbol").agg(F.count("*").alias("n"), F.avg((c > 0).cast("double")).alias("hit_rate"), F.avg("bars").alias("avg_bars"), F.avg(c).alias("avg_contribution"), F.max(c).alias("best"), F.min(c).alias("worst"))
-
-
 @query("run_id", "", "pezier_white newey_west", """SELECT p.run_id, pw AS pezier_white, nw AS newey_west FROM (
     SELECT run_id, avg(r)/stddev_samp(r) * (1 + sk/6 * avg(r)/stddev_samp(r) - kt/24 * pow(avg(r)/stddev_samp(r), 2)) * sqrt(252) AS pw FROM rets JOIN (SELECT run_id, (avg(r*r*r) - 3*avg(r)*avg(r*r) + 2*pow(avg(r),3)) / pow(var_pop(r), 1.5) AS sk, kurtosis_pop(r) AS kt FROM rets GROUP BY 1) USING (run_id) GROUP BY run_id, sk, kt) p JOIN (
     SELECT run_id, any_value(mu) / sqrt(sum(CASE WHEN k = 0 THEN c ELSE 2 * (1 - k / (lags + 1.0)) * c END)) * sqrt(252) AS nw FROM (

@@ -18,23 +18,6 @@ def best_parameter(v):
     return search.best_combo(search.grid_returns(v.px, _FAST), "fast", ["symbol"])
 
 
-@query("symbol", "fast", "sharpe test_sharpe", """SELECT a.symbol, a.fast, sharpe, test_sharpe FROM (SELECT symbol, fast, sharpe, row_number() OVER (PARTITION BY symbol ORDER BY sharpe DESC, fast) AS k FROM (SELECT symbol, fast, avg(r) / stddev_samp(r) * sqrt(252) AS sharpe FROM h WHERE p < 0.7 GROUP BY 1, 2)) a
-    JOIN (SELECT symbol, fast, avg(r) / stddev_samp(r) * sqrt(252) AS test_sharpe FROM h WHERE p >= 0.7 GROUP BY 1, 2) b ON a.symbol = b.symbol AND a.fast = b.fast WHERE k = 1""".replace("FROM h ", "FROM (SELECT *, percent_rank() OVER (PARTITION BY symbol, fast ORDER BY dt) AS p FROM gsim) h "), "px pr grid gsim", places=6)
-def holdout(v):
-    return search.holdout(search.grid_returns(v.px, _FAST), "fast", ["symbol"])
-
-
-@query("symbol", "splits", "pbo", None)
-def cpcv_pbo(v):
-    return search.cpcv_pbo(search.grid_returns(v.px, _FAST), "fast", ["symbol"])
-
-
-@query("run_id", "", "statistic p_value", None)
-def reality_check(v):
-    x = v.rets.withColumn("i", F.row_number().over(panel.along("run_id")))
-    return search.reality_check(x.withColumn("values", F.array("r")), "run_id")
-
-
 @query("family", "test", "p bonferroni holm bh", """SELECT family, test, p, least(1, p * n) AS bonferroni, least(1, max(p * (n - k + 1)) OVER (PARTITION BY family ORDER BY p, test)) AS holm, least(1, min(p * n / rk) OVER (PARTITION BY family ORDER BY p DESC, test DESC ROWS UNBOUNDED PRECEDING)) AS bh FROM (
     SELECT *, count(*) OVER (PARTITION BY family) AS n, row_number() OVER (PARTITION BY family ORDER BY p, test) AS k, count(*) OVER (PARTITION BY family ORDER BY p) AS rk FROM (SELECT o_orderpriority AS family, o_custkey AS test, round((round(sum(o_totalprice), 2) % 1000) / 1000, 6) AS p FROM orders GROUP BY 1, 2))""")
 def p_adjust(v):

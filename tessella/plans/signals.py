@@ -100,13 +100,6 @@ def sector_neutral(v):
     return signals.neutralise(v.sig.where("signal is not null").withColumn("sector", F.substring("symbol", 1, 1) <= "2"), "sector")
 
 
-@query("symbol dt", "label bars", "", """SELECT symbol, dt, CASE WHEN u > 10 AND d > 10 THEN 0 WHEN u < d THEN 1 ELSE -1 END AS label, least(u, d, n) AS bars FROM (
-    SELECT a.symbol, a.dt, coalesce(min(b.rn - a.rn) FILTER (b.price / a.price - 1 >= 0.02), 11) AS u, coalesce(min(b.rn - a.rn) FILTER (b.price / a.price - 1 <= -0.02), 11) AS d, count(*) AS n
-    FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY dt) AS rn FROM px) a JOIN (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY dt) AS rn FROM px) b ON a.symbol = b.symbol AND b.rn BETWEEN a.rn + 1 AND a.rn + 10 GROUP BY ALL)""", "px")
-def triple_barrier(v):
-    return signals.triple_barrier(v.px, 10, 0.02, 0.02)
-
-
 @query("run_id regime", "n", "sharpe mean", """SELECT run_id, regime, count(*) AS n, avg(r) / stddev_samp(r) * sqrt(252) AS sharpe, avg(r) AS mean FROM (SELECT run_id, r, CASE WHEN vol <= q1 THEN 'low' WHEN vol <= q2 THEN 'mid' ELSE 'high' END AS regime FROM vols
     JOIN (SELECT run_id, quantile_cont(vol, 1.0/3) AS q1, quantile_cont(vol, 2.0/3) AS q2 FROM vols GROUP BY 1) USING (run_id) WHERE vol IS NOT NULL) GROUP BY 1, 2""".replace("FROM vols", "FROM (SELECT *, CASE WHEN count(r) OVER w >= 21 THEN stddev_samp(r) OVER w END AS vol FROM rets WINDOW w AS (PARTITION BY run_id ORDER BY dt ROWS BETWEEN 20 PRECEDING AND CURRENT ROW)) vols"), "rets", places=6)
 def regime_performance(v):
