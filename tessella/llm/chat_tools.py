@@ -221,7 +221,10 @@ def link_tool_calls(messages: DataFrame, tools: DataFrame | None = None) -> Data
     rows = c.kept(rows).withColumn("pair", F.when(F.col("known_tool"), F.sha2(F.concat_ws("\n", F.to_json("schema"), F.coalesce(F.to_json("args"), F.lit("-"))), 256)))
     # equal arguments under equal schemas are validated once
     pairs = rows.where("known_tool").dropDuplicates(["pair"]).select("pair", "schema", "args")
-    rows = rows.join(argument_errors(pairs), "pair", "left").withColumn("errors", F.coalesce("errors", F.array().cast("array<string>")))
+    none = F.array().cast("array<string>")
+    judged = rows.where("known_tool").join(argument_errors(pairs), "pair", "left").withColumn("errors", F.coalesce("errors", none))
+    # rows without a schema have no pair; they would all meet at the null key
+    rows = judged.unionByName(rows.where("not coalesce(known_tool, false)").withColumn("errors", none))
     body = F.when(
         F.col("kind") == "call",
         F.concat(
