@@ -37,4 +37,4 @@ def query(keys: str = "", ints: str = "", doubles: str = "", sql: str | None = N
     return register
 
 
-from . import books, checks, inference, lifecycle, performance, research, rules, signals, storage  # noqa: E402, F401  they register their queries
+from . import books, checks, factors, inference, lifecycle, performance, research, rules, signals, storage  # noqa: E402, F401  they register their queries
