@@ -194,8 +194,8 @@ def current_underwater(v):
     return d.select("run_id", F.when(under, F.col("days")).otherwise(0).alias("days"), F.when(under, F.col("now")).otherwise(0.0).alias("current_dd"), (F.col("g") / (F.col("ulcer") / 100)).alias("upi"))
 
 
-@query("run_id start_dt trough_dt recovery_dt", "bars to_trough", "depth", """SELECT run_id, start_dt, trough_dt, (SELECT min(d2.dt) FROM dd AS d2 WHERE d2.run_id = e.run_id AND d2.dt > e.end_dt) AS recovery_dt, bars, (SELECT count(*) FROM dd AS d3 WHERE d3.run_id = e.run_id AND d3.dt >= e.start_dt AND d3.dt < e.trough_dt) AS to_trough, depth FROM (
+@query("run_id start_dt trough_dt recovery_dt", "bars to_trough", "depth", """SELECT run_id, start_dt, trough_dt, CAST((SELECT min(d2.dt) FROM dd AS d2 WHERE d2.run_id = e.run_id AND d2.dt > e.end_dt) AS VARCHAR) AS recovery_dt, bars, (SELECT count(*) FROM dd AS d3 WHERE d3.run_id = e.run_id AND d3.dt >= e.start_dt AND d3.dt < e.trough_dt) AS to_trough, depth FROM (
     SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY depth, start_dt) AS k FROM (SELECT run_id, min(dt) AS start_dt, max(dt) AS end_dt, arg_min(dt, drawdown) AS trough_dt, count(*) AS bars, min(drawdown) AS depth FROM (
     SELECT *, sum(c) OVER (PARTITION BY run_id ORDER BY dt) AS isl FROM (SELECT *, CASE WHEN (drawdown < -1e-10) IS DISTINCT FROM lag(drawdown < -1e-10) OVER (PARTITION BY run_id ORDER BY dt) THEN 1 ELSE 0 END AS c FROM dd)) WHERE drawdown < -1e-10 GROUP BY run_id, isl)) AS e WHERE k <= 10""", "rets dd")
 def top_drawdowns(v):
-    return simulate.top_drawdowns(v.rets, 10)
+    return simulate.top_drawdowns(v.rets, 10).withColumn("recovery_dt", F.col("recovery_dt").cast("string"))

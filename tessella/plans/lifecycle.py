@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessella.functions import metrics as m
 from tessella.operators import allocation, diagnosis, inference, panel, search, signals, simulate
 
+from .inference import cdf
 from .registry import query
 
 _FAST = [10, 20, 40, 60]
@@ -62,7 +63,7 @@ def lifecycle(v):
 @query("run_id dt", "", "r", """SELECT run_id, dt, o AS r FROM (WITH RECURSIVE x AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY dt) AS i FROM rets),
     f AS (SELECT run_id, dt, i, r AS o, 1 + r AS e, greatest(1 + r, 1) AS p, (1 + r) / greatest(1 + r, 1) - 1 <= -0.1 AS down FROM x WHERE i = 1
       UNION ALL SELECT run_id, dt, i, o, e, p, e / p - 1 <= -0.1 OR (was AND e < p) FROM (SELECT *, greatest(p0, e) AS p FROM (SELECT *, e0 * (1 + o) AS e FROM (SELECT x.run_id, x.dt, x.i, CASE WHEN f.down THEN x.r * 0.5 ELSE x.r END AS o, f.e AS e0, f.p AS p0, f.down AS was FROM f JOIN x ON x.run_id = f.run_id AND x.i = f.i + 1))))
-    SELECT * FROM f)""", "rets", places=10)
+    SELECT * FROM f)""", "rets", places=12)
 def drawdown_throttle(v):
     return allocation.throttle(v.rets)
 
@@ -149,11 +150,12 @@ def adjusted_prices(v):
     return panel.adjust_prices(px, dividends, splits)
 
 
-@query("member start_dt end_dt", "", "", """SELECT member, dt AS start_dt, nxt AS end_dt FROM (SELECT member, action, dt, lead(dt) OVER (PARTITION BY member ORDER BY dt, action) AS nxt FROM (SELECT *, lag(action) OVER (PARTITION BY member ORDER BY dt, action) AS before FROM (
+@query("member start_dt end_dt", "", "", """SELECT member, dt AS start_dt, CAST(nxt AS VARCHAR) AS end_dt FROM (SELECT member, action, dt, lead(dt) OVER (PARTITION BY member ORDER BY dt, action) AS nxt FROM (SELECT *, lag(action) OVER (PARTITION BY member ORDER BY dt, action) AS before FROM (
     SELECT o_custkey AS member, CAST(o_orderdate AS DATE) AS dt, max(CASE WHEN o_orderkey % 3 = 0 THEN 'removed' ELSE 'added' END) AS action FROM orders GROUP BY 1, 2)) WHERE action IS DISTINCT FROM before AND NOT (before IS NULL AND action = 'removed')) WHERE action = 'added'""")
 def membership_intervals(v):
     o = v.table("orders").groupBy(F.col("o_custkey").alias("member"), F.to_date("o_orderdate").alias("dt"))
-    return panel.membership_intervals(o.agg(F.max(F.when(F.col("o_orderkey") % 3 == 0, "removed").otherwise("added")).alias("action")))
+    spans = panel.membership_intervals(o.agg(F.max(F.when(F.col("o_orderkey") % 3 == 0, "removed").otherwise("added")).alias("action")))
+    return spans.withColumn("end_dt", F.col("end_dt").cast("string"))
 
 
 @query("run_id regime", "n", "var cvar mean_return vol sharpe", """SELECT run_id, regime, count(*) AS n, any_value(q) AS var, avg(r) FILTER (r <= q) AS cvar, avg(r) AS mean_return, stddev_samp(r) AS vol, avg(r) / stddev_samp(r) * sqrt(252) AS sharpe FROM (SELECT *, CASE WHEN n > 0 THEN 'up' ELSE 'down' END AS regime FROM (SELECT rets.run_id, rets.dt, rets.r, wide.n FROM rets JOIN wide ON rets.dt = wide.dt))
@@ -170,9 +172,17 @@ def regime_timeline(v):
     return signals.timeline(signals.market_regimes(v.pr), "symbol", "regime")
 
 
-@query("symbol priority", "fast candidates", "sharpe cagr psr", None)
+_PSR = cdf("z")
+
+
+@query("symbol priority", "fast candidates", "sharpe cagr psr", f"""SELECT symbol, CASE WHEN candidates > 0 THEN 'ROBUST_PERF' ELSE 'REJECTED' END AS priority, candidates, CASE WHEN candidates > 0 THEN fast ELSE 0 END AS fast, CASE WHEN candidates > 0 THEN sharpe END AS sharpe, CASE WHEN candidates > 0 THEN cagr END AS cagr, CASE WHEN candidates > 0 THEN psr END AS psr FROM (
+    SELECT *, count(*) FILTER (good) OVER (PARTITION BY symbol) AS candidates, row_number() OVER (PARTITION BY symbol ORDER BY good DESC, greatest(cagr, 0) * ln(1 + active) DESC, sharpe DESC, cagr DESC, fast) AS k FROM (
+    SELECT *, sharpe >= 0.3 AND psr >= 0.6 AND cagr > -0.05 AND mdd > -0.999 AS good FROM (SELECT *, {_PSR} AS psr FROM (
+    SELECT symbol, fast, sr * sqrt(252) AS sharpe, cagr, mdd, active, sr / sqrt(greatest(1 + 0.5 * sr * sr - skew * sr + kurt / 4 * sr * sr, 0) / (n - 1)) AS z FROM (
+    SELECT symbol, fast, count(r) AS n, avg(r) / stddev_samp(r) AS sr, (avg(r*r*r) - 3*avg(r)*avg(r*r) + 2*pow(avg(r),3)) / pow(var_pop(r), 1.5) AS skew, kurtosis_pop(r) AS kurt, exp(sum(ln(1 + r)) * 252 / count(r)) - 1 AS cagr, min(exp(le - peak) - 1) AS mdd, count(*) FILTER (r <> 0) AS active
+    FROM (SELECT *, max(le) OVER (PARTITION BY symbol, fast ORDER BY dt) AS peak FROM (SELECT *, sum(ln(1 + r)) OVER (PARTITION BY symbol, fast ORDER BY dt) AS le FROM gsim)) GROUP BY 1, 2))))) WHERE k = 1""", "px pr grid gsim", places=6)
 def robust_selection(v):
-    return search.robust_choice(search.grid_returns(v.px, _FAST), "fast", "symbol")
+    return search.robust_choice(search.grid_returns(v.px, _FAST), "fast", "symbol").fillna({"fast": 0})
 
 
 @query("run_id", "", "weight ret_contrib ret_share risk_share sharpe", """SELECT k.run_id, 1 / 3e0 AS weight, mu * 252 / 3 AS ret_contrib, mu / (SELECT sum(mu) FROM s) AS ret_share, c / (SELECT sum(c) FROM k2) AS risk_share, mu / sd * sqrt(252) AS sharpe FROM s AS k JOIN k2 USING (run_id)""".replace("FROM s)", "FROM (SELECT run_id, avg(x) AS mu FROM l GROUP BY 1))").replace("FROM s AS", "FROM (SELECT run_id, avg(x) AS mu, stddev_samp(x) AS sd FROM l GROUP BY 1) AS").replace("k2", "(SELECT run_id, covar_samp(x, m) AS c FROM l GROUP BY 1)").replace(
