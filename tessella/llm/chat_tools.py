@@ -36,6 +36,13 @@ OFFERED = "array<struct<name: string, parameters: variant, function: struct<name
 NO_TOOLS = "name string, schema string"
 
 
+def _kept(df: DataFrame) -> DataFrame:
+    """As `common.kept`, with variants written as JSON text: written as such, a file may hold 1 as 1.0 where it meets 1.5."""
+    variants = [f.name for f in df.schema if f.dataType.typeName() == "variant"]
+    out = c.kept(df.withColumns({x: F.to_json(x) for x in variants}))
+    return out.withColumns({x: F.try_parse_json(x) for x in variants})
+
+
 def items(messages: DataFrame) -> DataFrame:
     """One row per plain message, call or result: kind, call_id, name, args (variant), deps, content."""
     m = messages.select(
@@ -162,7 +169,7 @@ def argument_errors(pairs: DataFrame) -> DataFrame:
     part = F.col("path")
     level = pairs.select("pair", F.lit("").alias("path"), "schema", F.col("args").alias("value"))
     found = None
-    while (level := c.kept(level)).limit(1).count():
+    while (level := _kept(level)).limit(1).count():
         level = level.withColumn("kind", F.expr(f"coalesce({_KIND.format('value')}, 'NULL')"))
         level = level.withColumn("props", F.expr("coalesce(try_variant_get(schema, '$.properties', 'map<string, variant>'), cast(map() as map<string, variant>))"))
         level = level.withColumn("given", F.expr("case when kind = 'OBJECT' then try_cast(value as map<string, variant>) end"))
@@ -199,9 +206,9 @@ def link_tool_calls(messages: DataFrame, tools: DataFrame | None = None) -> Data
     # the first call and the first result of an identifier are linked; ranking is by identifier, never by conversation
     one = Window.partitionBy("conv_id", "call_id", "kind").orderBy("turn", "pos", F.to_json("args"), "content", "name")
     linked = linked.withColumn("first", (F.row_number().over(one) == 1) & F.col("call_id").isNotNull())
-    linked = c.kept(linked)  # read several times below; plain messages are not
+    linked = _kept(linked)  # read several times below; plain messages are not
     answers = linked.where("first and kind = 'result'").select("conv_id", "call_id", F.col("turn").alias("answer_turn"))
-    calls = c.kept(linked.where("first and kind = 'call'").join(answers, ["conv_id", "call_id"], "left"))
+    calls = _kept(linked.where("first and kind = 'call'").join(answers, ["conv_id", "call_id"], "left"))
     depths = _depths(calls.select("conv_id", "call_id", "turn", "answer_turn", "deps"))
     calls = calls.join(depths, ["conv_id", "call_id"], "left")
     has_depth = F.col("before_turn").isNotNull()
@@ -218,7 +225,7 @@ def link_tool_calls(messages: DataFrame, tools: DataFrame | None = None) -> Data
     rows = calls.select(out).unionByName(results.select(out)).unionByName(others.select(out))
     rows = rows.join(tools, "name", "left").join(offered_tools(messages), ["conv_id", "name"], "left")
     rows = rows.withColumn("schema", F.when(F.col("kind") == "call", F.coalesce("own_schema", "schema"))).withColumn("known_tool", F.when(F.col("kind") == "call", F.col("schema").isNotNull()))
-    rows = c.kept(rows).withColumn("pair", F.when(F.col("known_tool"), F.sha2(F.concat_ws("\n", F.to_json("schema"), F.coalesce(F.to_json("args"), F.lit("-"))), 256)))
+    rows = _kept(rows).withColumn("pair", F.when(F.col("known_tool"), F.sha2(F.concat_ws("\n", F.to_json("schema"), F.coalesce(F.to_json("args"), F.lit("-"))), 256)))
     # equal arguments under equal schemas are validated once
     pairs = rows.where("known_tool").dropDuplicates(["pair"]).select("pair", "schema", "args")
     none = F.array().cast("array<string>")
