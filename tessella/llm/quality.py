@@ -84,9 +84,8 @@ def term_counts(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
     base = TERMS - 64
     length = np.minimum(e - s, 31)
     _add(out, wrow, base + length)
-    if len(s) > 1:
-        twice = (same[1:] == same[:-1]) & (wrow[1:] == wrow[:-1])
-        _add(out, wrow[1:], base + 32 + twice)
+    twice = np.r_[False, (same[1:] == same[:-1]) & (wrow[1:] == wrow[:-1])]  # a text's first word counts as new, wherever the text lies
+    _add(out, wrow, base + 32 + twice)
     _add(out, wrow, base + 34 + _seen_before(wrow, same))
     # lines that came before in the same text
     ends = np.flatnonzero(data == 10)

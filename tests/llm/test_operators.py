@@ -197,12 +197,12 @@ def test_quality_votes_as_brute_force(spark):
             v = (x / np.linalg.norm(x)) @ model.axes
             cosine = model.vectors @ (v / np.linalg.norm(v))
             want = []
-            for margin in (-2e-5, 0, 2e-5):  # rows as similar as the last, but for rounding, may vote or not
+            for margin in (-1e-4, -2e-5, 0, 2e-5, 1e-4):  # rows as similar as the last, but for rounding, may vote or not
                 w = np.maximum(cosine, 0) ** quality.POWER * (cosine >= np.sort(cosine)[-quality.NEIGHBOURS] + margin)
                 want.append(float((w * model.labels).sum() / w.sum()) if w.any() else model.prior)
             if r.doc_id == -2:  # a learned row is its own nearest neighbour, whatever its counts
                 assert cosine.max() > 0.9999
-        assert min(want) - 1e-2 <= r.vote <= max(want) + 1e-2
+        assert min(want) - 2e-2 <= r.vote <= max(want) + 2e-2
 
 
 def test_packing(docs, empty):
@@ -527,4 +527,6 @@ def test_chat_tools_orders_deep_graphs_and_reads_nested_schemas(spark):
     rows = [(0, k, "assistant", json.dumps({"tool_calls": [{"id": str(k), "name": "f", "arguments": x}]})) for k, (x, _) in enumerate(cases)]
     tools = spark.createDataFrame([("f", json.dumps(schema)), ("g", None), (None, "{}")], "name string, schema string")
     out = chat_tools.link_tool_calls(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), tools)
-    assert {r.turn: r.errors for r in out.collect()} == {k: sorted(e) for k, (_, e) in enumerate(cases)}
+    got = {r.turn: r for r in out.collect()}
+    assert {k: r.errors for k, r in got.items()} == {k: sorted(e) for k, (_, e) in enumerate(cases)}
+    assert '"n":2.5,"o":{"l":[{"x":1}]}' in got[0].canonical and '"n":3}' in got[1].canonical  # numbers stay as they were
