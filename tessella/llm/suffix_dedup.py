@@ -4,7 +4,8 @@ Which bytes are covered by a string of `LENGTH` bytes that starts anywhere else
 
 1. Anchors: the minimizer (smallest digest of `ANCHOR` bytes) of every window of LENGTH bytes. Equal windows have equal
    minimizers at equal places, so only windows whose anchor occurs twice can repeat. Groups of documents send distinct
-   anchor digests in blocks and get two bits back: repeated, and hot (held by more than `HOT_GROUPS` groups).
+   anchor digests, with the bytes of the stretches around them (see 2) as a power of two, and get two bits back:
+   repeated, and hot (all its stretches take more than `HOT_BYTES`, too much for one bucket).
 2. Around every repeated anchor the stretch of text that its windows span is sent to the anchor's bucket, equal
    stretches once per group. A stretch that comes twice is marked whole.
 3. A bucket joins its stretches, sorts the suffixes (as far as the longest stretch), and run-compresses the Burrows-Wheeler
@@ -33,7 +34,7 @@ from . import common as c
 
 LENGTH = 200
 ANCHOR = 56
-HOT_GROUPS = 48
+HOT_BYTES = 1 << 19
 BUCKET_BYTES = 1 << 20
 BUCKET_ENTRIES = 1 << 20
 SEPARATOR = 0xFF  # no byte of UTF-8 text
@@ -95,7 +96,7 @@ def _cuts(uniq: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     return cut, np.flatnonzero(np.diff(cut))
 
 
-ANCHORS = "bucket int, g int, n int, digests binary, twice binary"
+ANCHORS = "bucket int, g int, n int, digests binary, twice binary, size binary"
 ANCHOR_REPLY = "g int, bucket int, n int, repeated binary, hot binary"
 SENT = "bucket int, g int, kind int, n int, keys binary, body binary"
 VERDICT = "g int, kind int, bucket int, n int, flags binary"
@@ -109,18 +110,21 @@ def _distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def _send_anchors(n_buckets: int, length: int, anchor: int):
     def f(key, docs):
         group = _Group(docs, length, anchor)
-        uniq, _, n = _distinct(group.digest)
+        uniq, which, n = _distinct(group.digest)
+        size = np.bincount(which, weights=group.hi - group.lo + length - 1, minlength=len(uniq))
+        power = np.ceil(np.log2(size)).astype(np.uint8)
         cut, some = _cuts(uniq, n_buckets)
         return pa.table({
             "bucket": pa.array(some, pa.int32()), "g": pa.array([key[0].as_py()] * len(some), pa.int32()), "n": pa.array(np.diff(cut)[some], pa.int32()),
             "digests": pa.array([uniq[cut[k] : cut[k + 1]].astype(np.uint32).tobytes() for k in some], pa.binary()),
             "twice": pa.array([c.bits(n[cut[k] : cut[k + 1]] > 1) for k in some], pa.binary()),
+            "size": pa.array([power[cut[k] : cut[k + 1]].tobytes() for k in some], pa.binary()),
         })
 
     return f
 
 
-def _count_anchors(hot_groups: int):
+def _count_anchors(hot_bytes: int):
     def f(blocks: pa.Table) -> pa.Table:
         ns = blocks.column("n").to_numpy()
         h = np.frombuffer(b"".join(blocks.column("digests").to_pylist()), np.uint32)
@@ -131,7 +135,8 @@ def _count_anchors(hot_groups: int):
         size = np.diff(np.r_[head, len(s)])
         repeated, hot = np.empty(len(h), bool), np.empty(len(h), bool)
         repeated[order] = np.repeat((size > 1) | np.logical_or.reduceat(twice[order], head), size)
-        hot[order] = np.repeat(size > hot_groups, size)
+        power = np.frombuffer(b"".join(blocks.column("size").to_pylist()), np.uint8)
+        hot[order] = np.repeat(np.add.reduceat(np.exp2(power[order].astype(float)), head) > hot_bytes, size)
         cut = np.r_[0, np.cumsum(ns)]
         part = lambda x: pa.array([c.bits(x[a:b]) for a, b in zip(cut[:-1], cut[1:])], pa.binary())
         return pa.table({"g": blocks.column("g"), "bucket": blocks.column("bucket"), "n": blocks.column("n"), "repeated": part(repeated), "hot": part(hot)})
@@ -358,14 +363,14 @@ def _marked(group: _Group, verdict: pa.Table) -> np.ndarray:
     return c.spread(hits, hits + group.length, len(group.data))
 
 
-def repeated_bytes(docs: DataFrame, finish, schema: str, length: int = LENGTH, anchor: int = ANCHOR, hot_groups: int = HOT_GROUPS) -> DataFrame:
+def repeated_bytes(docs: DataFrame, finish, schema: str, length: int = LENGTH, anchor: int = ANCHOR, hot_bytes: int = HOT_BYTES) -> DataFrame:
     """Marks every byte that a repeated string of `length` bytes covers; `finish(group, removed)` makes each group's rows."""
     total = c.text_bytes(docs)
     grouped = c.in_groups(docs, total)
     n = c.buckets(total // 50, BUCKET_ENTRIES)
     n_text = c.buckets(total, BUCKET_BYTES)
     anchors = grouped.groupBy("g").applyInArrow(_send_anchors(n, length, anchor), ANCHORS)
-    replies = anchors.groupBy("bucket").applyInArrow(_count_anchors(hot_groups), ANCHOR_REPLY)
+    replies = anchors.groupBy("bucket").applyInArrow(_count_anchors(hot_bytes), ANCHOR_REPLY)
     sent = grouped.groupBy("g").cogroup(replies.groupBy("g")).applyInArrow(_send_stretches(n_text, n_text, length, anchor), SENT)
     verdict = sent.groupBy("bucket").applyInArrow(_index(length, n_text), VERDICT)
 
@@ -390,8 +395,8 @@ def _digests(group: _Group, removed: np.ndarray) -> pa.Table:
     return pa.table({"doc_id": group.ids, "n_bytes": pa.array(n, pa.int64()), "n_removed": per(gone), "n_spans": per(spans), "kept_sha256": pa.array(sha, pa.string())})
 
 
-def suffix_dedup_digests(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, hot_groups: int = HOT_GROUPS) -> DataFrame:
-    return repeated_bytes(docs, _digests, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", length, anchor, hot_groups)
+def suffix_dedup_digests(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, hot_bytes: int = HOT_BYTES) -> DataFrame:
+    return repeated_bytes(docs, _digests, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", length, anchor, hot_bytes)
 
 
 def _spans(group: _Group, removed: np.ndarray) -> pa.Table:
@@ -403,6 +408,6 @@ def _spans(group: _Group, removed: np.ndarray) -> pa.Table:
     return pa.table({"doc_id": group.ids.take(pa.array(row)), "start": pa.array(starts - group.offs[row], pa.int64()), "length": pa.array(ends - starts, pa.int64())})
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, hot_groups: int = HOT_GROUPS) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, hot_bytes: int = HOT_BYTES) -> DataFrame:
     """(doc_id, start, length) in bytes of every maximal repeated span."""
-    return repeated_bytes(docs, _spans, "doc_id long, start long, length long", length, anchor, hot_groups)
+    return repeated_bytes(docs, _spans, "doc_id long, start long, length long", length, anchor, hot_bytes)

@@ -284,7 +284,7 @@ def test_near_duplicates(spark):
     assert got == {2: 1, 3: 1, 4: 1, 7: 6}
 
 
-@pytest.mark.parametrize("hot", [48, 0])
+@pytest.mark.parametrize("hot", [1 << 19, 1200, 0])
 def test_suffix_dedup(docs, empty, hot):
     rows, n = rows_of(docs), 200
     count = collections.Counter(t[j : j + n] for _, t in rows for j in range(len(t) - n + 1))
@@ -296,7 +296,7 @@ def test_suffix_dedup(docs, empty, hot):
                 gone[j : j + n] = True
         spans = int((gone[1:-1] & ~gone[:-2]).sum() + gone[:1].sum()) if len(t) else 0
         want.append((i, len(t), int(gone.sum()), spans, hashlib.sha256(bytes(b for b, g in zip(t, gone) if not g)).hexdigest()))
-    assert sorted(map(tuple, suffix_dedup.suffix_dedup_digests(docs, hot_groups=hot).collect())) == sorted(want)
+    assert sorted(map(tuple, suffix_dedup.suffix_dedup_digests(docs, hot_bytes=hot).collect())) == sorted(want)
     assert suffix_dedup.suffix_dedup_digests(empty).count() == 0
     assert suffix_dedup.repeated_spans(docs).agg(F.sum("length")).head()[0] == sum(w[2] for w in want)
 
