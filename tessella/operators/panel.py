@@ -140,3 +140,21 @@ def contract_violations(bars: DataFrame) -> DataFrame:
     }
     rule = F.filter(F.array(*[F.when(cond, name) for name, cond in rules.items()]), lambda x: x.isNotNull())
     return bars.withColumn("rule", rule).select("symbol", "dt", F.explode("rule").alias("rule"))
+
+
+def value_counts(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """(keys, value, n, share): how often each value that is not null comes, and its share of the keys' rows."""
+    d = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("n"))
+    return d.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(*keys)))
+
+
+def period_ends(df: DataFrame, period: str, key: str = "symbol") -> DataFrame:
+    """The last row of every key in every calendar period (week, month, quarter, year), with the period's first day as `period`."""
+    d = df.withColumn("period", F.to_date(F.date_trunc(period, "dt")))
+    rest = F.struct("dt", *[x for x in df.columns if x not in (key, "dt")])
+    return d.groupBy(key, "period").agg(F.max_by(rest, "dt").alias("row")).select(key, "period", "row.*")
+
+
+def missing_dates(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(dt) of left that right does not hold, each once."""
+    return left.select("dt").distinct().join(right.select("dt").distinct(), "dt", "left_anti")
