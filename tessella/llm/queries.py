@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
-from . import chat_tools, decontaminate, license_scan, packing, quality, simhash, substring_dedup, suffix_dedup, voronoi_knn, warc
+from . import chat_tools, decontaminate, divergence, license_scan, packing, quality, simhash, substring_dedup, suffix_dedup, voronoi_knn, warc
 from .common import table
 from .license_texts import DIGESTS, KNOWN
 
@@ -85,7 +85,11 @@ def op10_voronoi_knn(spark, sf_dir):
     return voronoi_knn.knn_join(rows, F.col("vec_id") % 50 == 0)
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_warc_round_trip, op3_substring_dedup, op4_chat_tools, op5_decontaminate, op6_quality, op7_packing, op8_simhash, op9_suffix_dedup, op10_voronoi_knn)}
+def op13_divergence(spark, sf_dir):
+    return divergence.divergence_audit(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_warc_round_trip, op3_substring_dedup, op4_chat_tools, op5_decontaminate, op6_quality, op7_packing, op8_simhash, op9_suffix_dedup, op10_voronoi_knn, op13_divergence)}
 
 _known = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in sorted(KNOWN.items()))
 _digests = ", ".join(f"('{k}', '{v}')" for k, v in sorted(DIGESTS.items()))
@@ -149,4 +153,18 @@ ORACLE = {
               FROM v AS q JOIN v AS d ON q.vec_id % 50 = 0 AND q.vec_id <> d.vec_id)
         SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
         FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5""",
+    "op13_divergence": r"""
+        WITH d AS (SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+        t AS (SELECT id, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+        k AS (SELECT lang, term, count(*) AS total FROM t GROUP BY 1, 2 HAVING count(DISTINCT id) >= 30),
+        g AS (SELECT DISTINCT lang, source FROM d),
+        c AS (SELECT g.lang, g.source, k.term, k.total, coalesce(n, 0) AS n FROM g JOIN k USING (lang) LEFT JOIN (SELECT lang, source, term, count(*) AS n FROM t GROUP BY 1, 2, 3) AS u ON u.lang = g.lang AND u.source = g.source AND u.term = k.term),
+        p AS (SELECT lang, source, term, n, CAST(1 + CAST(1000000000 AS HUGEINT) * (n + 5) // (sum(n) OVER s + 5 * count(*) OVER s) AS BIGINT) AS p,
+                     CAST(1 + CAST(1000000000 AS HUGEINT) * (total + 5) // (sum(total) OVER s + 5 * count(*) OVER s) AS BIGINT) AS q FROM c WINDOW s AS (PARTITION BY lang, source)),
+        r AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(v, 0) AS value FROM g AS a JOIN g AS b ON a.lang = b.lang AND a.source <> b.source
+              LEFT JOIN (SELECT x.lang, x.source, y.source AS other, CAST(sum(abs(x.p - y.p)) AS BIGINT) AS v FROM p AS x JOIN p AS y ON x.lang = y.lang AND x.term = y.term GROUP BY 1, 2, 3) AS f
+              ON f.lang = a.lang AND f.source = a.source AND f.other = b.source
+              UNION ALL SELECT lang, source, 'term', term, p - q FROM p WHERE n > 0 AND p > q)
+        SELECT lang, source, part, item, value, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM r)
+        WHERE part = 'pair' OR rank <= 50""",
 }
