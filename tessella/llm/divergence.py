@@ -44,7 +44,7 @@ def _count_terms(batches):
         for (lang, source), (n, docs) in held.items():
             terms = list(n)
             yield pa.RecordBatch.from_pydict({
-                "lang": pa.array([lang] * len(terms)), "source": pa.array([source] * len(terms)), "term": pa.array([t.decode() for t in terms], pa.string()),
+                "lang": pa.array([lang] * len(terms), pa.string()), "source": pa.array([source] * len(terms), pa.string()), "term": pa.array([t.decode() for t in terms], pa.string()),
                 "n": pa.array([n[t] for t in terms], pa.int64()), "docs": pa.array([docs[t] for t in terms], pa.int64()),
             })
         held.clear()

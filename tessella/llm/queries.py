@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
-from . import chat_tools, decontaminate, divergence, license_scan, packing, quality, simhash, substring_dedup, suffix_dedup, voronoi_knn, warc
+from . import chat_tools, conversation_repair, decontaminate, divergence, license_scan, packing, quality, secret_scan, simhash, substring_dedup, suffix_dedup, voronoi_knn, warc
 from .common import table
 from .license_texts import DIGESTS, KNOWN
 
@@ -85,11 +85,20 @@ def op10_voronoi_knn(spark, sf_dir):
     return voronoi_knn.knn_join(rows, F.col("vec_id") % 50 == 0)
 
 
+def op11_conversation_repair(spark, sf_dir):
+    return conversation_repair.repair_digests(conversation_repair.damage(table(spark, sf_dir, "conversations")))
+
+
+def op12_secret_scan(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return secret_scan.span_digests(secret_scan.secret_spans(docs, secret_scan.fit(docs)))
+
+
 def op13_divergence(spark, sf_dir):
     return divergence.divergence_audit(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_warc_round_trip, op3_substring_dedup, op4_chat_tools, op5_decontaminate, op6_quality, op7_packing, op8_simhash, op9_suffix_dedup, op10_voronoi_knn, op13_divergence)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_warc_round_trip, op3_substring_dedup, op4_chat_tools, op5_decontaminate, op6_quality, op7_packing, op8_simhash, op9_suffix_dedup, op10_voronoi_knn, op11_conversation_repair, op12_secret_scan, op13_divergence)}
 
 _known = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in sorted(KNOWN.items()))
 _digests = ", ".join(f"('{k}', '{v}')" for k, v in sorted(DIGESTS.items()))
@@ -153,6 +162,36 @@ ORACLE = {
               FROM v AS q JOIN v AS d ON q.vec_id % 50 = 0 AND q.vec_id <> d.vec_id)
         SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
         FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5""",
+    "op11_conversation_repair": r"""
+        WITH RECURSIVE crc AS (SELECT 0 AS j, range AS x, range AS i FROM range(256) UNION ALL SELECT j + 1, CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END, i FROM crc WHERE j < 8),
+        tab AS (SELECT list(x ORDER BY i) AS tab FROM crc WHERE j = 8),
+        src AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS name, row_number() OVER () AS id FROM conversations),
+        hash AS (SELECT id, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), [CAST(ord(c) AS BIGINT) FOR c IN string_split(name, '')]), lambda a, b: xor(a >> 8, tab[(xor(a, b) & 255) + 1])), 4294967295) % 20 AS what FROM src, tab),
+        hurt AS (SELECT conv_id, turn, CASE WHEN what = 4 THEN 'user' ELSE role END AS role, CASE WHEN what = 1 THEN '' WHEN what = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE what WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy
+                 FROM src JOIN hash USING (id)),
+        ids AS (SELECT conv_id, row_number() OVER (ORDER BY conv_id) AS c FROM (SELECT DISTINCT conv_id FROM conversations)),
+        placed AS (SELECT c, turn, role, text, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, role, left(text, 64), sha256(text), copy) AS i FROM hurt JOIN ids ON hurt.conv_id IS NOT DISTINCT FROM ids.conv_id),
+        faults AS (SELECT *, left(role, 1) AS ini, lag(left(role, 1)) OVER (PARTITION BY c ORDER BY i) AS prev, NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank,
+                   row_number() OVER (PARTITION BY c, role, text ORDER BY i) > 1 AS again, NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') AS cut FROM placed),
+        rws AS (SELECT *, blank OR again AS gone, CAST(cut AS INT) AS t, count(*) OVER (PARTITION BY c) AS n FROM faults),
+        cnt AS (SELECT c, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (again AND NOT blank) AS duplicate,
+                count(*) FILTER (cut AND NOT gone) AS truncated, count(*) FILTER (prev || ini NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n FROM rws GROUP BY c),
+        go AS (SELECT c, n + 1 AS i, [0, 4, 2, 0] AS v FROM (SELECT c, coalesce(n, 0) AS n FROM ids LEFT JOIN cnt USING (c)) UNION ALL
+               SELECT c, i, [least(b[1], 2 + b[3], 4 + b[4]), least(b[2], 2 + b[3], 4 + b[4]), least(b[3], 2 + b[4]), least(b[4], 2 + b[3])] FROM (
+               SELECT r.c, r.i, CASE WHEN gone THEN [3 + v[1], 3 + v[2], 3 + v[3], 3 + v[4]] ELSE [
+                 least(3 + v[1], 2 + t + v[3], CASE ini WHEN 's' THEN t + v[2] WHEN 'u' THEN t + v[3] END), least(3 + v[2], 2 + t + v[3], CASE WHEN ini = 'u' THEN t + v[3] END),
+                 least(3 + v[3], 2 + t + v[4], CASE WHEN ini = 'a' THEN t + v[4] END), least(3 + v[4], 2 + t + v[3], CASE WHEN ini = 'u' THEN t + v[3] END)] END AS b FROM go JOIN rws AS r ON r.c = go.c AND r.i = go.i - 1)),
+        walk AS (SELECT c, CAST(1 AS BIGINT) AS i, 1 AS q, '' AS audit, CAST([] AS VARCHAR[]) AS kept FROM ids UNION ALL
+               SELECT c, CASE WHEN e = 'I' THEN i ELSE i + 1 END, CASE e WHEN 'D' THEN q WHEN 'K' THEN CASE ini WHEN 's' THEN 2 WHEN 'u' THEN 3 ELSE 4 END ELSE CASE q WHEN 3 THEN 4 ELSE 3 END END, audit || e,
+                 CASE e WHEN 'D' THEN kept WHEN 'K' THEN list_append(kept, role || ':' || text) ELSE list_append(kept, CASE q WHEN 3 THEN 'assistant' ELSE 'user' END || ':' || CASE e WHEN 'I' THEN '' ELSE text END) END FROM (
+               SELECT w.c, w.i, q, audit, kept, r.ini, r.role, r.text, CASE WHEN h.v[q] = 3 + g.v[q] THEN 'D' WHEN h.v[q] = 2 + h.v[CASE q WHEN 3 THEN 4 ELSE 3 END] THEN 'I'
+                 WHEN NOT gone AND h.v[q] = t + g.v[CASE WHEN q = 1 AND ini = 's' THEN 2 WHEN q <> 3 AND ini = 'u' THEN 3 WHEN q = 3 AND ini = 'a' THEN 4 END] THEN 'K'
+                 WHEN NOT gone AND h.v[q] = 2 + t + g.v[CASE q WHEN 3 THEN 4 ELSE 3 END] THEN 'R' END AS e
+               FROM walk AS w JOIN go AS h ON h.c = w.c AND h.i = w.i LEFT JOIN go AS g ON g.c = w.c AND g.i = w.i + 1 LEFT JOIN rws AS r ON r.c = w.c AND r.i = w.i) WHERE e IS NOT NULL),
+        done AS (SELECT c, arg_max(audit, length(audit)) AS audit, arg_max(array_to_string(kept, chr(10)), length(audit)) AS told FROM walk GROUP BY c)
+        SELECT ids.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+               CAST(go.v[1] AS BIGINT) AS cost, audit, sha256(told) AS repaired_sha256
+        FROM ids LEFT JOIN cnt USING (c) JOIN go ON go.c = ids.c AND go.i = 1 JOIN done ON done.c = ids.c""",
     "op13_divergence": r"""
         WITH d AS (SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
         t AS (SELECT id, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
