@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tessella.functions import metrics as m
 from tessella.functions import stats
 
+from .blocks import block_sums, circular_blocks, family_sizes, numbered
 from .panel import along
 
 
@@ -167,18 +168,16 @@ def theta_exposure(returns: DataFrame, key: str = "run_id") -> DataFrame:
 
 
 def hashed_bootstrap(returns: DataFrame, draws: int, block: int, key: str = "run_id") -> DataFrame:
-    """(key, draw, n, mean, sd): circular-block resamples of every key's returns.
-
-    Block starts are a digest of (draw, block), so every engine and every retry draws the same. Rows are numbered once and
-    the index table, draws x rows, is joined on the row number: no key's resamples gather in one task.
-    """
-    rows = returns.where("r is not null").select(key, "r", (F.row_number().over(along(key)) - 1).alias("i"))
-    size = rows.groupBy(key).agg(F.count("*").alias("n"))
-    picks = size.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("block", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / block))))
-    start = F.conv(F.substring(F.md5(F.concat_ws(":", "draw", "block")), 1, 8), 16, 10).cast("long") % F.col("n")
-    picks = picks.withColumn("start", start).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(block - 1)))).where(F.col("block") * block + F.col("j") < F.col("n"))
-    picks = picks.select(key, "draw", "n", ((F.col("start") + F.col("j")) % F.col("n")).alias("i"))
-    return picks.join(rows, [key, "i"]).groupBy(key, "draw").agg(F.count("*").alias("n"), F.avg("r").alias("mean"), F.stddev_samp("r").alias("sd"))
+    """(key, draw, n, mean, sd): circular-block resamples of every key's returns, from prefix sums of r and of its square
+    around the key's mean; block starts are a digest of (draw, block), so every engine and every retry draws the same."""
+    mean = F.avg("r").over(Window.partitionBy(key))
+    rows = numbered(returns.where("r is not null").withColumn("mu", mean), [key])
+    rows = rows.select(key, "i", (F.col("r") - F.col("mu")).alias("d"), ((F.col("r") - F.col("mu")) * (F.col("r") - F.col("mu"))).alias("q"), "mu")
+    sums = block_sums(rows, [key], ["d", "q"], circular_blocks(family_sizes(rows, [key]), draws, block))
+    sums = sums.join(rows.groupBy(key).agg(F.first("mu").alias("mu")), key)
+    n, d = F.col("n"), F.col("d")
+    var = F.when(n > 1, F.greatest(F.col("q") - d * d / n, F.lit(0.0)) / F.nullif(n - 1, F.lit(0)))
+    return sums.select(key, "draw", "n", (F.col("mu") + d / n).alias("mean"), F.sqrt(F.when(var > 1e-24, var).otherwise(F.when(n > 1, 0.0))).alias("sd"))
 
 
 def bootstrap_sharpe(returns: DataFrame, draws: int = 200, block: int = 10, key: str = "run_id", ppy: int = m.PPY) -> DataFrame:
