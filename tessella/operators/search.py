@@ -12,6 +12,7 @@ from tessella.functions import metrics as m
 
 from tessella.functions import stats
 
+from .blocks import block_sums, family_sizes, numbered
 from .panel import along
 from .simulate import core_metrics, simulate_weights
 from .validation import sharpe_se
@@ -67,30 +68,38 @@ def holdout(returns: DataFrame, key: str = "run_id", ends: tuple[float, float] =
     return d.withColumn("degraded", (F.col("hold_sharpe") < 0) | ((F.col("oos_sharpe") > 0) & (F.col("hold_sharpe") < 0.3 * F.col("oos_sharpe"))))
 
 
+def cpcv_sharpes(returns: DataFrame, combo: str, keys: list[str], groups: int = 10, test_groups: int = 2, purge: int = 0, embargo: int = 0, ppy: int = m.PPY) -> DataFrame:
+    """(keys, split, combo, ins, out): every combination's Sharpe in and out of sample, over all choices of test groups.
+
+    A split is a few runs of bars: its test groups, and what lies between them less `purge` bars before each test group and
+    the more of purge and embargo after it, however long these are and wherever they meet. Prefix sums give a run's sums as
+    two rows, so no split scans bars. Splits of under two bars on either side are left out. Every combination of a key has
+    the same bars.
+    """
+    after, edges = max(purge, embargo), []
+    for i, test in enumerate(itertools.combinations(range(groups), test_groups)):
+        edges += [(2 * i, k, 0, k + 1, 0) for k in test]
+        ends, starts = [(0, 0), *((k + 1, after) for k in test)], [*((k, -purge) for k in test), (groups, 0)]
+        edges += [(2 * i + 1, *lo, *hi) for lo, hi in zip(ends, starts)]
+    rows = numbered(returns.where("r is not null"), [*keys, combo]).select(*keys, combo, "i", "r", (F.col("r") * F.col("r")).alias("q"), F.lit(1.0).alias("bars"))
+    table = F.broadcast(returns.sparkSession.createDataFrame(edges, "draw int, a int, da int, b int, db int"))  # groups and test_groups fix its rows
+    at = lambda g, d: F.floor(F.col(g) * F.col("n") / groups) + F.col(d)
+    runs = family_sizes(rows, keys).where(F.col("n") >= groups).crossJoin(table).select(*keys, "n", "draw", at("a", "da").alias("start"), (at("b", "db") - at("a", "da")).alias("len"))
+    t = block_sums(rows, keys, ["r", "q", "bars"], runs.where("len > 0"), [combo])
+    n, var = F.col("bars"), (F.col("q") - F.col("r") ** 2 / F.col("bars")) / F.nullif(F.col("bars") - 1, F.lit(0.0))
+    sharpe = F.when(var > 1e-24, F.col("r") / n / F.sqrt(var) * F.sqrt(F.lit(float(ppy)))).otherwise(0.0)
+    t = t.where("bars >= 2").select(*keys, combo, F.floor(F.col("draw") / 2).cast("int").alias("split"), (F.col("draw") % 2 == 0).alias("test"), sharpe.alias("sharpe"))
+    t = t.groupBy(*keys, "split", combo).agg(F.max(F.when(~F.col("test"), F.col("sharpe"))).alias("ins"), F.max(F.when(F.col("test"), F.col("sharpe"))).alias("out"))
+    return t.where("ins is not null and out is not null")
+
+
 def cpcv_pbo(returns: DataFrame, combo: str, keys: list[str], groups: int = 10, test_groups: int = 2, purge: int = 0, embargo: int = 0, ppy: int = m.PPY) -> DataFrame:
     """Probability of backtest overfitting over all choices of test groups, with what the in-sample winners earn out of sample.
 
-    Sums per (combination, group) are enough: each split adds its groups' sums, and no split scans a bar again. The bars
-    that purging takes lie at a group's ends, so their sums are kept too; the longer of purge and embargo must fit a group
-    (`purge` bars before a test group are left out of training, and the more of both after it). A winner's rank counts ties
-    as wins and lies half a step lower, so that it never reaches one; ties in sample go to the smaller combination.
+    A winner's rank counts ties as wins and lies half a step lower, so that it never reaches one; ties in sample go to the
+    smaller combination. See `cpcv_sharpes` for purge and embargo.
     """
-    spark = returns.sparkSession
-    after = max(purge, embargo)
-    bars = returns.select(*keys, "dt").distinct()  # every combination has the same bars
-    n, rn = F.count("*").over(Window.partitionBy(*keys)), F.row_number().over(along(keys))
-    bars = bars.withColumn("n", n).withColumn("rn", rn).withColumn("grp", (F.ceil(F.col("rn") * groups / F.col("n")) - 1).cast("int"))
-    low, high = (F.floor((F.col("grp") + k) * F.col("n") / groups) for k in (0, 1))
-    bars = bars.select(*keys, "dt", "grp", (F.col("rn") - 1 < low + after).alias("head"), (F.col("rn") > high - purge).alias("tail"))
-    sums = lambda on, x: [F.sum(F.when(on, v)).alias(f"{x}{k}") for k, v in (("n", F.lit(1)), ("s", F.col("r")), ("q", F.col("r") ** 2))]
-    g = returns.join(bars, [*keys, "dt"]).groupBy(*keys, combo, "grp").agg(*sums(F.lit(True), "all_"), *sums(F.col("head"), "head_"), *sums(F.col("tail"), "tail_"))
-    rows = [(i, k, k in test, k not in test and k - 1 in test, k not in test and k + 1 in test) for i, test in enumerate(itertools.combinations(range(groups), test_groups)) for k in range(groups)]
-    splits = spark.createDataFrame(rows, "split int, grp int, test boolean, cut_head boolean, cut_tail boolean")
-    left = lambda k: F.sum(F.col(f"all_{k}") - F.when(F.col("cut_head"), F.coalesce(f"head_{k}", F.lit(0))).otherwise(0) - F.when(F.col("cut_tail"), F.coalesce(f"tail_{k}", F.lit(0))).otherwise(0)).alias(k)
-    t = g.join(F.broadcast(splits), "grp").groupBy(*keys, combo, "split", "test").agg(left("n"), left("s"), left("q"))
-    var = (F.col("q") - F.col("s") ** 2 / F.col("n")) / (F.col("n") - 1)
-    t = t.withColumn("sharpe", F.when(var > 1e-24, F.col("s") / F.col("n") / F.sqrt(var) * F.sqrt(F.lit(float(ppy)))).otherwise(0.0))
-    t = t.groupBy(*keys, "split", combo).agg(F.max(F.when(~F.col("test"), F.col("sharpe"))).alias("ins"), F.max(F.when(F.col("test"), F.col("sharpe"))).alias("out"))
+    t = cpcv_sharpes(returns, combo, keys, groups, test_groups, purge, embargo, ppy)
     w = Window.partitionBy(*keys, "split")
     t = t.withColumn("best", F.max(F.struct("ins", (-F.col(combo)).alias("c"), "out")).over(w)).withColumn("m", F.count("*").over(w))
     s = t.groupBy(*keys, "split").agg(((F.count_if(F.col("out") <= F.col("best.out")) - 0.5) / F.first("m")).alias("rank"), F.first("best.ins").alias("ins"), F.first("best.out").alias("out"))
@@ -100,6 +109,16 @@ def cpcv_pbo(returns: DataFrame, combo: str, keys: list[str], groups: int = 10,
     return d.withColumn("verdict", F.when(F.col("pbo") < 0.4, "ROBUST").when(F.col("pbo") < 0.55, "MODERATE").when(F.col("pbo") < 0.7, "FRAGILE").otherwise("OVERFIT"))
 
 
+def rank_stability(sharpes: DataFrame, combo: str, keys: list[str]) -> DataFrame:
+    """(keys, splits, rank_correlation): the mean over splits of Kendall's tau-b between combinations' Sharpes in and out of
+    sample; splits where either side is all equal have none. sharpes: as `cpcv_sharpes` gives them."""
+    other = sharpes.select(*keys, "split", F.col(combo).alias("_c"), F.col("ins").alias("_i"), F.col("out").alias("_o"))
+    d = sharpes.join(other, [*keys, "split"]).where(F.col(combo) < F.col("_c"))
+    a, b = F.signum(F.col("ins") - F.col("_i")), F.signum(F.col("out") - F.col("_o"))
+    d = d.groupBy(*keys, "split").agg(F.sum(a * b).alias("s"), F.sum(a * a).alias("x"), F.sum(b * b).alias("y"))
+    return d.groupBy(*keys).agg(F.count("*").alias("splits"), F.coalesce(F.avg(F.try_divide("s", F.sqrt(F.col("x") * F.col("y")))), F.lit(0.0)).alias("rank_correlation"))
+
+
 def stationary_indices(n: int, draws: int, block: float, seed: int) -> np.ndarray:
     """Stationary bootstrap: each step restarts at random with probability 1 / block, else goes on, circularly."""
     rng = np.random.default_rng(seed)

@@ -73,31 +73,42 @@ def quantile_edges(signals: DataFrame, n: int = 5) -> DataFrame:
 def ewm_volatility(prices: DataFrame, span: int = 100, key: str = "symbol") -> DataFrame:
     """prices with `vol`: the exponentially weighted standard deviation of log returns, with the bias of the weights taken out.
 
-    Weights are powers of the bar's number, so running sums give it without a fold; powers of 1 - 2 / (span + 1) must stay
-    within doubles, which some 350 spans of bars a key do. Null until there are two returns.
+    Weights are powers of the bar's place in a block of `span` bars. What a block leaves behind decays by (1 - 2 / (span + 1))
+    to the power of its bars; forty blocks back it is under 1e-33 and ends there, so no weight leaves the doubles however many
+    bars a key has, and each bar reads its own block's running sums and at most forty sums of blocks. Null until there are
+    two returns.
     """
     w = along(key)
     q = math.log(1 - 2 / (span + 1))
-    up = w.rowsBetween(Window.unboundedPreceding, 0)
-    d = prices.withColumn("lr", F.log(F.col("price") / F.lag("price").over(w))).withColumn("k", F.exp(-q * F.row_number().over(w)))
-    k = F.when(F.col("lr").isNotNull(), F.col("k"))
-    for name, x in (("w1", k), ("w2", k * k), ("s1", k * F.col("lr")), ("s2", k * F.col("lr") * F.col("lr"))):
-        d = d.withColumn(name, F.sum(x).over(up))
+    d = prices.withColumn("lr", F.log(F.col("price") / F.lag("price").over(w))).withColumn("_i", F.row_number().over(w) - 1)
+    d = d.withColumn("_b", F.floor(F.col("_i") / span)).withColumn("_p", F.col("_i") - F.col("_b") * span).withColumn("_seen", F.count("lr").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    k = F.when(F.col("lr").isNotNull(), F.exp(-q * F.col("_p")))  # grows within a block by at most e * e
+    parts = {"w1": k, "w2": k * k, "s1": k * F.col("lr"), "s2": k * F.col("lr") * F.col("lr")}
+    own = Window.partitionBy(key, "_b").orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)
+    d = d.withColumns({x: F.coalesce(F.sum(v).over(own), F.lit(0.0)) for x, v in parts.items()})
+    # sums of whole blocks, as of their first bar; those before a bar's block follow as an array, nearest last
+    last = Window.partitionBy(key, "_b")
+    whole = F.when(F.col("_p") == 0, F.struct(*[F.max_by(x, "_p").over(last).alias(x) for x in parts]))
+    d = d.withColumn("_whole", whole).withColumn("_before", F.collect_list("_whole").over(along(key, "_b").rangeBetween(-40, -1)))
+    back = lambda x, power: F.aggregate(F.col("_before"), F.lit(0.0), lambda acc, e: (acc + e[x]) * math.exp(power * q * span))
+    d = d.withColumns({x: (F.col(x) + back(x, 2 if x == "w2" else 1)) for x in parts})
     mean = F.col("s1") / F.col("w1")
     var = (F.col("s2") / F.col("w1") - mean * mean) * F.col("w1") ** 2 / F.nullif(F.col("w1") ** 2 - F.col("w2"), F.lit(0.0))
-    return d.withColumn("vol", F.when(F.count("lr").over(up) >= 2, F.sqrt(F.greatest(var, F.lit(0.0))))).drop("lr", "k", "w1", "w2", "s1", "s2")
+    return d.withColumn("vol", F.when(F.col("_seen") >= 2, F.sqrt(F.greatest(var, F.lit(0.0))))).drop("lr", *parts, "_i", "_b", "_p", "_seen", "_whole", "_before")
 
 
 def triple_barrier(prices: DataFrame, horizon: int, up: float, down: float, span: int = 100) -> DataFrame:
     """(symbol, dt, label, bars, ret): which barrier the next `horizon` closes touch first: 1, -1, or 0 at the end.
 
-    Barriers lie `up` and `down` times the bar's exponentially weighted volatility away (none while that is null counts as
-    zero). The bars ahead are an array frame, so there is no self-join.
+    Barriers lie `up` and `down` times the bar's exponentially weighted volatility away (zero while that is null); a multiple
+    of zero or less is no barrier. The bars ahead are an array frame, so there is no self-join.
     """
     ahead = F.collect_list("price").over(along("symbol").rowsBetween(1, horizon))
     d = ewm_volatility(prices, span).withColumn("a", ahead).withColumn("vol", F.coalesce("vol", F.lit(0.0))).where(F.size("a") > 0)
     first = lambda test: F.coalesce(F.array_min(F.filter(F.transform("a", lambda x, i: F.when(test(x), i + 1)), lambda x: x.isNotNull())), F.lit(horizon + 1))
-    d = d.withColumn("u", first(lambda x: x >= F.col("price") * (1 + up * F.col("vol")))).withColumn("d", first(lambda x: x <= F.col("price") * (1 - down * F.col("vol"))))
+    none = F.lit(horizon + 1)
+    d = d.withColumn("u", first(lambda x: x >= F.col("price") * (1 + up * F.col("vol"))) if up > 0 else none)
+    d = d.withColumn("d", first(lambda x: x <= F.col("price") * (1 - down * F.col("vol"))) if down > 0 else none)
     label = F.when((F.col("u") > horizon) & (F.col("d") > horizon), 0).when(F.col("u") <= F.col("d"), 1).otherwise(-1)
     d = d.withColumn("label", label).withColumn("bars", F.least("u", "d", F.size("a")))
     return d.select("symbol", "dt", "label", "bars", (F.element_at("a", F.col("bars")) / F.col("price") - 1).alias("ret"))

@@ -24,15 +24,21 @@ def holdout(v):
     return search.holdout(v.rets)
 
 
+def _splits(purge: int, embargo: int) -> str:
+    """(symbol, fast, a, b, ins, out): Sharpes of every split with the test groups a and b, by flags on every bar."""
+    inside = "NOT test AND NOT near"
+    return f"""SELECT symbol, fast, a, b, coalesce(avg(r) FILTER ({inside}) / nullif(stddev_samp(r) FILTER ({inside}), 0), 0) * sqrt(252) AS ins, coalesce(avg(r) FILTER (test) / nullif(stddev_samp(r) FILTER (test), 0), 0) * sqrt(252) AS out FROM (
+    SELECT *, (i >= la AND i < ha) OR (i >= lb AND i < hb) AS test, (i >= la - {purge} AND i < ha + {max(purge, embargo)}) OR (i >= lb - {purge} AND i < hb + {max(purge, embargo)}) AS near FROM (
+    SELECT symbol, fast, r, i, a, b, (a * n) // 10 AS la, ((a + 1) * n) // 10 AS ha, (b * n) // 10 AS lb, ((b + 1) * n) // 10 AS hb FROM (
+    SELECT *, row_number() OVER (PARTITION BY symbol, fast ORDER BY dt) - 1 AS i, count(*) OVER (PARTITION BY symbol, fast) AS n FROM gsim) CROSS JOIN (SELECT x AS a, y AS b FROM (SELECT unnest(range(10)) AS x) CROSS JOIN (SELECT unnest(range(10)) AS y) WHERE x < y))) GROUP BY 1, 2, 3, 4
+    HAVING count(*) FILTER ({inside}) >= 2"""
+
+
 def _cpcv(purge: int, embargo: int) -> str:
     return f"""SELECT symbol, count(*) AS splits, avg(CAST(rk < 0.5 AS DOUBLE)) AS pbo, avg(ins) AS mean_is, avg(out) AS mean_oos, avg(out) / avg(ins) AS efficiency,
     CASE WHEN avg(CAST(rk < 0.5 AS DOUBLE)) < 0.4 THEN 'ROBUST' WHEN avg(CAST(rk < 0.5 AS DOUBLE)) < 0.55 THEN 'MODERATE' WHEN avg(CAST(rk < 0.5 AS DOUBLE)) < 0.7 THEN 'FRAGILE' ELSE 'OVERFIT' END AS verdict FROM (
     SELECT symbol, a, b, (count(*) FILTER (out <= best_out) - 0.5) / count(*) AS rk, any_value(best_in) AS ins, any_value(best_out) AS out FROM (
-    SELECT *, first(ins) OVER w AS best_in, first(out) OVER w AS best_out FROM (
-    SELECT symbol, fast, a, b, coalesce(avg(r) FILTER (NOT test AND NOT near) / nullif(stddev_samp(r) FILTER (NOT test AND NOT near), 0), 0) * sqrt(252) AS ins, coalesce(avg(r) FILTER (test) / nullif(stddev_samp(r) FILTER (test), 0), 0) * sqrt(252) AS out FROM (
-    SELECT *, (i >= la AND i < ha) OR (i >= lb AND i < hb) AS test, (i >= la - {purge} AND i < ha + {max(purge, embargo)}) OR (i >= lb - {purge} AND i < hb + {max(purge, embargo)}) AS near FROM (
-    SELECT symbol, fast, r, i, a, b, (a * n) // 10 AS la, ((a + 1) * n) // 10 AS ha, (b * n) // 10 AS lb, ((b + 1) * n) // 10 AS hb FROM (
-    SELECT *, row_number() OVER (PARTITION BY symbol, fast ORDER BY dt) - 1 AS i, count(*) OVER (PARTITION BY symbol, fast) AS n FROM gsim) CROSS JOIN (SELECT x AS a, y AS b FROM (SELECT unnest(range(10)) AS x) CROSS JOIN (SELECT unnest(range(10)) AS y) WHERE x < y))) GROUP BY 1, 2, 3, 4)
+    SELECT *, first(ins) OVER w AS best_in, first(out) OVER w AS best_out FROM ({_splits(purge, embargo)})
     WINDOW w AS (PARTITION BY symbol, a, b ORDER BY ins DESC, fast ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) GROUP BY 1, 2, 3) GROUP BY 1"""
 
 
@@ -46,6 +52,18 @@ def cpcv_purged(v):
     return search.cpcv_pbo(search.grid_returns(v.px, _FAST), "fast", ["symbol"], purge=5, embargo=8)
 
 
+@query("symbol verdict", "splits", "pbo mean_is mean_oos efficiency", _cpcv(250, 300), "px pr grid gsim", places=6)
+def cpcv_long_purge(v):
+    """Purge and embargo longer than a group, as labels of a year ask for."""
+    return search.cpcv_pbo(search.grid_returns(v.px, _FAST), "fast", ["symbol"], purge=250, embargo=300)
+
+
+@query("symbol", "splits", "rank_correlation", f"""WITH t AS ({_splits(5, 8)}) SELECT symbol, count(*) AS splits, coalesce(avg(s / nullif(sqrt(x * y), 0)), 0) AS rank_correlation FROM (
+    SELECT symbol, a, b, sum(sign(p.ins - o.ins) * sign(p.out - o.out)) AS s, sum(abs(sign(p.ins - o.ins))) AS x, sum(abs(sign(p.out - o.out))) AS y FROM t AS p JOIN t AS o USING (symbol, a, b) WHERE p.fast < o.fast GROUP BY 1, 2, 3) GROUP BY 1""", "px pr grid gsim", places=6)
+def cpcv_rank_correlation(v):
+    return search.rank_stability(search.cpcv_sharpes(search.grid_returns(v.px, _FAST), "fast", ["symbol"], purge=5, embargo=8), "fast", ["symbol"])
+
+
 @query("symbol", "", "statistic p_value", None)
 def reality_check(v):
     g = search.grid_returns(v.px, _FAST).groupBy("symbol", "dt").pivot("fast", _FAST).agg(F.first("r"))

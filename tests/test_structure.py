@@ -2,6 +2,7 @@
 
 import datetime
 import hashlib
+import itertools
 import math
 from statistics import NormalDist
 
@@ -279,3 +280,46 @@ def test_best_of_trials(spark):
     x = series["a"]
     tops = [max(s(x[[digest(d, a, j) % n for j in range(n)]]) for a in range(3)) for d in range(25)]
     assert math.isclose(got["a"].expected_max, np.mean(tops) * math.sqrt(252), rel_tol=1e-9) and math.isclose(got["a"].p_value, (1 + sum(t >= s(x) for t in tops)) / 26)
+
+
+def test_purge_longer_than_a_group(spark):
+    rng = np.random.default_rng(12)
+    n, groups = 60, 10
+    r = {c: rng.normal(0.01 * c, 0.1, n) for c in range(4)}
+    rows = [("k", c, DAY + datetime.timedelta(i), float(x)) for c, xs in r.items() for i, x in enumerate(xs)]
+    df = spark.createDataFrame(rows, "symbol string, combo int, dt date, r double").repartition(3)
+    for purge, embargo in ((0, 0), (4, 4), (7, 0), (0, 9), (25, 30)):
+        s = lambda x: x.mean() / x.std(ddof=1) * math.sqrt(252)
+        ranks, won, out, tau = [], [], [], []
+        for test in itertools.combinations(range(groups), 2):
+            oos = np.zeros(n, bool)
+            for g in test:
+                oos[g * n // groups : (g + 1) * n // groups] = True
+            drop = np.array([oos[max(0, i - max(purge, embargo)) : i + 1].any() or oos[i : i + purge + 1].any() for i in range(n)])
+            if (~drop).sum() < 2:
+                continue
+            a, b = (np.array([s(x[mask]) for x in r.values()]) for mask in (~drop, oos))
+            k = int(a.argmax())
+            ranks.append(((b <= b[k]).sum() - 0.5) / 4 < 0.5)
+            won.append(a[k])
+            out.append(b[k])
+            signs = [(np.sign(a[i] - a[j]), np.sign(b[i] - b[j])) for i, j in itertools.combinations(range(4), 2)]
+            tau.append(sum(x * y for x, y in signs) / math.sqrt(sum(x * x for x, _ in signs) * sum(y * y for _, y in signs)))
+        (got,) = search.cpcv_pbo(df, "combo", ["symbol"], purge=purge, embargo=embargo).collect()
+        assert got.splits == len(ranks) and np.allclose([got.pbo, got.mean_is, got.mean_oos], [np.mean(ranks), np.mean(won), np.mean(out)])
+        (got,) = search.rank_stability(search.cpcv_sharpes(df, "combo", ["symbol"], purge=purge, embargo=embargo), "combo", ["symbol"]).collect()
+        assert math.isclose(got.rank_correlation, np.mean(tau), abs_tol=1e-9)
+
+
+def test_moving_volatility_of_a_long_key(spark):
+    from tessella.operators import signals
+
+    rng = np.random.default_rng(13)
+    n = 50_000
+    price = 100 * np.exp(np.cumsum(rng.normal(0, 0.01, n)))
+    df = spark.createDataFrame(pd.DataFrame({"symbol": "a", "dt": np.arange(n), "price": price}))
+    got = signals.ewm_volatility(df).orderBy("dt").toPandas().vol
+    want = pd.Series(np.log(price / np.r_[np.nan, price[:-1]])).ewm(span=100).std()
+    assert np.allclose(got, want, rtol=1e-9, equal_nan=True)
+    labels = signals.triple_barrier(df, 10, 1.5, 1.0).toPandas()
+    assert set(labels[labels.dt > 45_000].label) == {-1, 0, 1} and (signals.triple_barrier(df.where("dt < 300"), 10, 0, 1.0).toPandas().label < 1).all()
