@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm import decontaminate, packing, quality, simhash, substring_dedup
-from tessella.llm.common import kept, table, unused, without
+from tessella.llm.common import kept, table, unused
 
 PASSAGE_WORDS = 50
 
@@ -23,8 +23,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document, of the smallest id, of every group of exact and near copies (five words, similarity 0.8)."""
-    return without(docs, "doc_id", kept(simhash.near_duplicates(docs).select("doc_id")))
+    """Keeps one row, of the smallest doc_id, of every group of exact and near copies (five words, similarity 0.8)."""
+    return simhash.without_near_duplicates(docs)
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

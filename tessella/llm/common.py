@@ -1,7 +1,7 @@
 """Shared helpers of the training-data operators: shared storage, document groups, NumPy text kernels.
 
 Whole texts are handled as UTF-8 byte arrays. A *group* is a set of documents of about ``GROUP_BYTES`` of text,
-chosen by a hash of doc_id, that one task reads at a time; several passes over the same groups exchange compact
+chosen by a hash of doc_id and text, that one task reads at a time; several passes over the same groups exchange compact
 blocks of digests (sorted, distinct within the group), so a key that a third of all rows share costs one entry
 per group and never gathers in one task.
 """
@@ -75,10 +75,11 @@ def text_bytes(docs: DataFrame, text: str = "text") -> int:
 
 
 def in_groups(docs: DataFrame, total_bytes: int, rest: bool = False) -> DataFrame:
-    """(g, doc_id, text): g spreads documents evenly over groups of about GROUP_BYTES. rest: all columns too, as a struct."""
+    """(g, doc_id, text): g spreads documents evenly over groups of about GROUP_BYTES, by doc_id and text, so that rows of a null
+    or repeated doc_id lie in many groups. rest: all columns too, as a struct."""
     n = max(1, -(-total_bytes // GROUP_BYTES))
     return docs.select(
-        F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int").alias("g"),
+        F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int").alias("g"),
         F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce("text", F.lit("")).alias("text"),
         *([F.struct(*[docs[x] for x in docs.columns if x != "text"]).alias("rest")] if rest else []),

@@ -40,6 +40,7 @@ CHECK_BLOCK = 128  # nodes of a block that bring their sets of shingles with the
 PIECE = 32 * CHECK_BLOCK
 RADIUS = 2
 SHINGLE = 3
+PARTS = 16
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -352,10 +353,15 @@ def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(f, "doc_id long, shingles binary")
 
 
+def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(doc_id, text) of the ids, each once: copies become one before their sets are built. The sieve lets a few others through."""
+    return c.sieved(docs.select("doc_id", "text"), "doc_id", ids).where("maybe").select("doc_id", "text").dropDuplicates(["doc_id"])
+
+
 def similar(pairs: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """The pairs (a, b) whose sets of shingles have at least that Jaccard similarity."""
     wanted = c.kept(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
-    sets = shingle_sets(c.sieved(docs, "doc_id", wanted).where("maybe"), shingle)
+    sets = shingle_sets(texts_of(docs, wanted), shingle)
     both = pairs.select("a", "b").join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a")
     both = both.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b")
 
@@ -426,7 +432,7 @@ def unjoined_links(nodes: DataFrame, docs: DataFrame, masks: np.ndarray, radius:
     fps = [F.col("fp")[w].alias(f"f{w}") for w in range(wide)]
     rows = nodes.join(large, "piece", "left_anti").select(F.xxhash64("piece").alias("key"), "id", *fps)
     rows = _dealt(c.kept(rows.unionByName(_keyed(nodes.join(large, "piece", "left_semi"), masks))), block)
-    sets = shingle_sets(c.sieved(docs, "doc_id", nodes.select("id")).where("maybe"), shingle).withColumnRenamed("doc_id", "id")
+    sets = shingle_sets(texts_of(docs, nodes.select("id")), shingle).withColumnRenamed("doc_id", "id")
     rows = rows.join(nodes.select("id", "label").join(sets, "id"), "id")
 
     def check(table: pa.Table) -> pa.Table:
@@ -442,20 +448,30 @@ def unjoined_links(nodes: DataFrame, docs: DataFrame, masks: np.ndarray, radius:
     return rows.groupBy("task").applyInArrow(c.released(check), "a long, b long")
 
 
+def text_key(text: str = "text"):
+    """A text's node: 64 bits of its hash. Null counts as empty."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, recall: float = 0.97) -> DataFrame:
-    """(doc_id, component_id) of the rows to drop so that one document of every group of near copies stays, the one of the smallest id.
+    """(doc_id, text_key, component_id, repeated): what has to go so that one row of every group of near copies stays.
+
+    Rows are known by doc_id and text together: a doc_id's other texts are no concern of one that goes, and rows of a null
+    doc_id take part like any other. The row that stays is of the smallest doc_id (null only where there is no other), of
+    equal ids of the smaller key; component_id is its doc_id. Rows of a pair that is listed go; where repeated is true the
+    pair stays, but only one of its rows.
 
     Near copies share a set of `shingle`-word shingles to at least `similarity` (Jaccard). Exact copies collapse first;
     128-bit fingerprints of the others are compared in buckets of sampled bits, as many as find a pair at just that
     similarity with that recall, and every link is checked on the sets themselves: the buckets' forests first, then all
-    pairs within the radius whose ends these left apart.
+    pairs within the radius whose ends these left apart. Two texts of one 64-bit key (a second hash tells) both stay.
     """
-    named = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    same = c.kept(named.select("doc_id", F.xxhash64("text").alias("half"), F.unhex(F.sha2("text", 256)).alias("digest")))
-    copies = c.kept(same.groupBy("half", "digest").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")).where("n > 1").drop("n"))
-    same = c.kept(same.join(copies, ["half", "digest"], "left").select("doc_id", F.coalesce("first_id", "doc_id").alias("first_id")))
-    nodes = fingerprints(named, shingle, wide=True).join(same.where("doc_id = first_id").select("doc_id").distinct(), "doc_id", "left_semi")
-    nodes = c.kept(nodes.select(F.col("doc_id").alias("id"), "fp"))
+    named = docs.select(text_key().alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), text_key().alias("key"), F.xxhash64(F.lit(7), F.coalesce("text", F.lit(""))).alias("second"))
+    pairs_of = c.kept(rows.groupBy("id", "key", "second").agg(F.count("*").alias("n")))  # equal rows are one from here on
+    texts = c.kept(pairs_of.groupBy("key").agg(F.sum("n").alias("n"), F.min("id").alias("first"), (F.min("second") == F.max("second")).alias("one")))
+    fp = lambda i: F.min(F.col("fp")[i])  # noqa: E731  copies have the same
+    nodes = c.kept(fingerprints(named, shingle, wide=True).groupBy(F.col("doc_id").alias("id")).agg(F.array(fp(0), fp(1)).alias("fp")))
     angle = math.acos(2 * similarity / (1 + similarity)) / math.pi
     radius = math.ceil(128 * angle + 3.6 * math.sqrt(128 * angle * (1 - angle)))
     masks = sampled_keys(128, nodes.count(), angle, recall)
@@ -472,4 +488,25 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
         left = nodes.join(pieces, "id").join(found, "id", "left").select("id", "fp", "piece", F.coalesce("component_id", "id").alias("label"))
         more = unjoined_links(c.kept(left), named, masks, radius, shingle, similarity)
         found = components(good.unionByName(c.kept(more)))
-    return same.join(found.withColumnRenamed("id", "first_id"), "first_id", "left").select("doc_id", F.coalesce("component_id", "first_id").alias("component_id")).where("doc_id <> component_id").dropDuplicates(["doc_id"])
+
+    texts = texts.join(found.withColumnRenamed("id", "key"), "key", "left").withColumn("label", F.coalesce("component_id", "key")).where("one")
+    stays = texts.groupBy("label").agg(F.sum("n").alias("rows"), F.min(F.struct(F.col("first").isNull().alias("none"), F.col("first").alias("id"), "key")).alias("stay")).where("rows > 1")
+    # every group's texts learn which row stays; copies of one text, however many, meet that in parts
+    verdicts = texts.join(stays, "label").select("key", F.col("stay.id").alias("stay_id"), F.col("stay.key").alias("stay_key"), F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"))
+    rest = pairs_of.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(PARTS)).cast("int")).join(verdicts, ["key", "part"])
+    stay = (F.col("key") == F.col("stay_key")) & F.col("id").eqNullSafe(F.col("stay_id"))
+    return rest.where(~stay | (F.col("n") > 1)).select(F.col("id").alias("doc_id"), F.col("key").alias("text_key"), F.col("stay_id").alias("component_id"), stay.alias("repeated"))
+
+
+def without_near_duplicates(docs: DataFrame, **how) -> DataFrame:
+    """One row of every group of near copies, all others as they are; only rows that a bitmap of the verdicts holds back are
+    shuffled, equal ones after they have become one."""
+    gone = c.kept(near_duplicates(docs, **how))
+    key, pair, flag = (c.unused(docs, x) for x in ("text_key", "text_pair", "maybe"))
+    pair_of = lambda text, id_: F.xxhash64(text, F.col(id_).isNull(), F.coalesce(F.col(id_).cast("long"), F.lit(0).cast("long")))
+    keyed = docs.withColumn(key, text_key()).withColumn(pair, pair_of(key, "doc_id"))
+    marked = c.sieved(keyed, pair, gone.select(pair_of("text_key", "doc_id").alias("pair")), flag)
+    held = marked.where(F.col(flag)).withColumn(pair, F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long"))).withColumn(flag, F.col("doc_id").isNull())
+    held = held.dropDuplicates([key, pair, flag])
+    drop = gone.where("not repeated").select(F.col("text_key").alias(key), F.coalesce("doc_id", F.lit(0).cast("long")).alias(pair), F.col("doc_id").isNull().alias(flag))
+    return marked.where(~F.col(flag)).unionByName(held.join(drop, [key, pair, flag], "left_anti").select(marked.columns)).select(docs.columns)

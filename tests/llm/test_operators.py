@@ -284,6 +284,21 @@ def test_near_duplicates(spark):
     assert got == {2: 1, 3: 1, 4: 1, 7: 6}
 
 
+def test_near_duplicates_by_row(spark):
+    words = [f"w{i}" for i in range(300)]
+    w, u, uz, n = " ".join(words), " ".join(f"u{i}" for i in range(300)), " ".join([f"u{i}" for i in range(300)] + ["z"]), " ".join(f"n{i}" for i in range(300))
+    rows = [(0, w, 1), (1, w, 2), (1, u, 3), (None, n, 4), (None, n, 5), (5, n, 6), (7, uz, 7), (7, uz, 8), (8, "alone", 9), (9, "twice", 10), (9, "twice", 10), (None, "lost", 11), (None, "lost", 12), (None, "single", 13)]
+    left = simhash.without_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, maybe int").repartition(5)).collect()
+    assert sorted((r.doc_id if r.doc_id is not None else -1, r.text) for r in left) == sorted([(0, w), (1, u), (5, n), (8, "alone"), (9, "twice"), (-1, "lost"), (-1, "single")])
+    assert {tuple(r) for r in left} <= set(rows)
+
+
+def test_groups_of_null_ids_are_even(spark):
+    rows = [(None if i % 3 else i, f"{i} " * 200) for i in range(3000)]
+    sizes = [r.n for r in common.in_groups(spark.createDataFrame(rows, "doc_id long, text string"), 30 * common.GROUP_BYTES).groupBy("g").agg(F.count("*").alias("n")).collect()]
+    assert len(sizes) == 30 and max(sizes) < 2 * min(sizes)
+
+
 @pytest.mark.parametrize("hot", [1 << 19, 1200, 0])
 def test_suffix_dedup(docs, empty, hot):
     rows, n = rows_of(docs), 200

@@ -71,3 +71,5 @@ def test_stages_take_nulls_repeats_and_empty_tables(spark):
     for name, stage in corpus_pipeline.STAGES:
         assert corpus_pipeline.kept(stage(spark, docs.where("false"), SMALL)).count() == 0, name
         assert corpus_pipeline.kept(stage(spark, docs.limit(50).unionByName(odd).unionByName(odd), SMALL)).count() > 0, name
+    left = corpus_pipeline.near_dedup_stage(spark, odd.unionByName(odd), SMALL).collect()
+    assert sorted((r.doc_id is None, r.text or "") for r in left) == [(False, ""), (False, "another text of one"), (True, "a text of a null id")]
