@@ -57,9 +57,12 @@ def meta_labels(v):
 _EVENTS = "(SELECT symbol, dt, i FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY dt) AS i FROM pr) WHERE abs(ret) > 0.005)"
 
 
-@query("symbol dt", "", "weight", f"""SELECT symbol, dt, u / sum(u) OVER (PARTITION BY symbol) * count(*) OVER (PARTITION BY symbol) AS weight FROM (
+UNIQUE = f"""SELECT symbol, dt, u / sum(u) OVER (PARTITION BY symbol) * count(*) OVER (PARTITION BY symbol) AS weight FROM (
     SELECT e.symbol, e.dt, avg(1 / c.live) AS u FROM {_EVENTS} e JOIN (SELECT b.symbol, b.i, greatest(count(x.i), 1) AS live FROM (SELECT symbol, row_number() OVER (PARTITION BY symbol ORDER BY dt) AS i FROM pr) b LEFT JOIN {_EVENTS} x ON b.symbol = x.symbol AND b.i BETWEEN x.i AND x.i + 20 GROUP BY 1, 2) c
-    ON e.symbol = c.symbol AND c.i BETWEEN e.i AND e.i + 20 GROUP BY 1, 2)""", "px pr")
+    ON e.symbol = c.symbol AND c.i BETWEEN e.i AND e.i + 20 GROUP BY 1, 2)"""
+
+
+@query("symbol dt", "", "weight", UNIQUE, "px pr")
 def label_uniqueness(v):
     return diagnosis.uniqueness(v.pr.where("abs(ret) > 0.005"), v.px)
 

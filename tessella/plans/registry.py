@@ -37,4 +37,4 @@ def query(keys: str = "", ints: str = "", doubles: str = "", sql: str | None = N
     return register
 
 
-from . import books, checks, factors, inference, lifecycle, performance, research, rules, scores, signals, storage, structure  # noqa: E402, F401  they register their queries
+from . import book_search, books, checks, factors, inference, lifecycle, performance, research, rules, scores, signals, stationarity, storage, structure  # noqa: E402, F401  they register their queries

@@ -133,7 +133,7 @@ def model_confidence_set(v):
     return resample.confidence_set(losses, "symbol", "fast", draws=60)
 
 
-_TOP = f"((1 - {stats.EULER!r}) * {ppf('1 - 1 / 4e0')} + {stats.EULER!r} * {ppf('1 - 1 / (4 * exp(1e0))')})"
+_TOP = f"((1 - {stats.EULER!r}) * {ppf('(1 - 1 / 4e0)')} + {stats.EULER!r} * {ppf('(1 - 1 / (4 * exp(1e0)))')})"
 _WOLF = f"""WITH {_DRAWN}, boot AS (SELECT symbol, draw, max(s) AS top FROM (SELECT symbol, fast, draw, avg(r - mu) / stddev_samp(r - mu) AS s FROM picks JOIN num USING (symbol, i) GROUP BY 1, 2, 3) GROUP BY 1, 2),
     each AS (SELECT symbol, fast, count(*) AS n, avg(r) / stddev_samp(r) AS sharpe, (avg(r*r*r) - 3*avg(r)*avg(r*r) + 2*pow(avg(r),3)) / pow(var_pop(r), 1.5) AS skew, kurtosis_pop(r) AS kurt FROM gsim GROUP BY 1, 2),
     best AS (SELECT * FROM each QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY sharpe DESC, fast) = 1),
