@@ -29,10 +29,22 @@ def numbered(returns: DataFrame, keys: list[str], order: str = "dt") -> DataFram
     return returns.withColumn("i", (F.row_number().over(along(keys, order)) - 1).cast("long"))
 
 
-def circular_blocks(sizes: DataFrame, draws: int, block: int) -> DataFrame:
-    """(keys, n, draw, start, len) of sizes (keys, n): blocks of one length, the last cut to what is missing."""
+def lagged_products(rows: DataFrame, key: str, lags: str) -> DataFrame:
+    """(key, k, c): sums of e e' over bars k apart, k from 1 to the key's `lags`. rows: key, i, e, lags."""
+    each = F.when(F.col(lags) >= 1, F.sequence(F.lit(1).cast("long"), F.col(lags).cast("long"))).otherwise(F.array().cast("array<long>"))
+    a = rows.select(key, "i", "e", F.explode(each).alias("k"))
+    b = rows.select(key, F.col("i").alias("j"), F.col("e").alias("f"))
+    return a.withColumn("j", F.col("i") - F.col("k")).join(b, [key, "j"]).groupBy(key, "k").agg(F.sum(F.col("e") * F.col("f")).alias("c"))
+
+
+def circular_blocks(sizes: DataFrame, draws: int, block: int | Column) -> DataFrame:
+    """(keys, n, draw, start, len) of sizes (keys, n): blocks of one length, the last cut to what is missing. The length may be
+    a column of `sizes`."""
+    block = F.lit(block) if isinstance(block, int) else block
+    sizes = sizes.withColumn("_block", block.cast("long"))
+    block = F.col("_block")
     d = sizes.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("block", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / block))))
-    return d.withColumn("start", digest("draw", "block") % F.col("n")).withColumn("len", F.least(F.lit(block), F.col("n") - F.col("block") * block)).drop("block")
+    return d.withColumn("start", digest("draw", "block") % F.col("n")).withColumn("len", F.least(block, F.col("n") - F.col("block") * block)).drop("block", "_block")
 
 
 def stationary_blocks(sizes: DataFrame, draws: int, block: float) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessella.functions import metrics as m
 from tessella.functions import stats
 
+from .blocks import digest
 from .panel import along
 
 #: Critical values of the Brownian bridge's supremum by confidence.
@@ -134,7 +135,7 @@ def lookahead(rule, prices: DataFrame, at: float = 0.5, seed: int = 7, tolerance
     """
     n, i = F.count("*").over(Window.partitionBy("symbol")), F.row_number().over(along("symbol"))
     p = prices.withColumn("_late", i > F.floor(n * at))
-    noise = F.pmod(F.xxhash64("symbol", "dt", F.lit(seed)), F.lit(10_000)) / 10_000.0
+    noise = digest(F.lit(seed), "symbol", F.col("dt").cast("string")) % 10_000 / 10_000.0
     after = p.withColumn("price", F.when(F.col("_late"), F.col("price") * (0.5 + noise)).otherwise(F.col("price")))
     cut = p.where("not _late").groupBy("symbol").agg(F.max("dt").alias("cutoff"))
     one, two = (rule(x.drop("_late")).select("symbol", "dt", F.col("w").alias(k)) for x, k in ((p, "a"), (after, "b")))

@@ -148,25 +148,26 @@ def reality_check(matrix: DataFrame, key: str, columns: str = "values", draws: i
     return matrix.groupBy(key).applyInPandas(one, f"{key} {matrix.schema[key].dataType.simpleString()}, statistic double, p_value double")
 
 
-def walk_forward(returns: DataFrame, combo: str, keys: list[str], folds: int = 5, purge: int = 0, rolling: bool = False) -> DataFrame:
+def walk_forward(returns: DataFrame, combo: str, keys: list[str], folds: int = 5, purge: int = 0, rolling: bool = False, least: int = 20, least_out: int = 5) -> DataFrame:
     """(keys, fold, combo, is_sharpe, oos_sharpe): the combination that is best in sample, on the fold after it.
 
-    A key's bars are cut into folds + 1 steps; fold k is step k, its sample all steps before it (rolling: the one before),
-    less `purge` bars at its end. Steps are summed once and folds are built from the sums where nothing is purged.
+    A key's bars are cut into folds + 1 steps; fold k is step k, its sample all bars before it (rolling: one step) less the
+    `purge` last ones, however many these are. Folds of under `least` bars in sample or `least_out` after it, and keys whose step
+    is under ten bars, are left out; ties go to the smaller combination. Every combination of a key has the same bars; a
+    fold's two runs of bars are differences of prefix sums.
     """
-    spark = returns.sparkSession
-    n = F.count("*").over(Window.partitionBy(*keys, combo))
-    i = F.row_number().over(Window.partitionBy(*keys, combo).orderBy("dt")) - 1
-    d = returns.withColumn("n", n).withColumn("i", i).withColumn("step", F.floor(F.col("n") / (folds + 1)))
-    d = d.where("step >= 10").withColumn("at", F.floor(F.col("i") / F.col("step")).cast("int")).where(F.col("at") <= folds)
-    late = (F.col("i") >= (F.col("at") + 1) * F.col("step") - purge) & (F.col("at") < folds)
-    g = d.withColumn("late", late).groupBy(*keys, combo, "at", "late").agg(F.count("*").alias("n"), F.sum("r").alias("s"), F.sum(F.col("r") ** 2).alias("q"))
-    use = [(k, a, x, a == k) for k in range(1, folds + 1) for a in range(k - 1 if rolling else 0, k + 1) for x in (False, True) if not (x and a == k - 1 and purge)]
-    g = g.join(F.broadcast(spark.createDataFrame(use, "fold int, at int, late boolean, test boolean")), ["at", "late"])
-    t = g.groupBy(*keys, combo, "fold", "test").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"))
-    var = (F.col("q") - F.col("s") ** 2 / F.col("n")) / (F.col("n") - 1)
-    sharpe = F.when(var > 1e-24, F.col("s") / F.col("n") / F.sqrt(var) * F.sqrt(F.lit(float(m.PPY)))).otherwise(0.0)
-    t = t.withColumn("sharpe", sharpe).groupBy(*keys, "fold", combo).agg(F.max(F.when(~F.col("test"), F.col("sharpe"))).alias("ins"), F.max(F.when(F.col("test"), F.col("sharpe"))).alias("out"))
+    rows = numbered(returns.where("r is not null"), [*keys, combo]).select(*keys, combo, "i", "r", (F.col("r") * F.col("r")).alias("q"), F.lit(1.0).alias("bars"))
+    d = family_sizes(rows, keys).withColumn("step", F.floor(F.col("n") / (folds + 1))).where("step >= 10").withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(folds))))
+    k, step = F.col("k"), F.col("step")
+    begin = step * (k - 1) if rolling else F.lit(0).cast("long")
+    run = lambda test, a, b: F.struct((2 * k + F.lit(int(test))).alias("draw"), a.alias("start"), (b - a).alias("len"))
+    d = d.select(*keys, "n", F.inline(F.array(run(True, step * k, F.least(step * (k + 1), F.col("n"))), run(False, begin, step * k - purge))))
+    d = d.where(F.when(F.col("draw") % 2 == 1, F.col("len") >= max(least_out, 1)).otherwise(F.col("len") >= max(least, 1)))
+    t = block_sums(rows, keys, ["r", "q", "bars"], d, [combo])
+    n, var = F.col("bars"), (F.col("q") - F.col("r") ** 2 / F.col("bars")) / F.nullif(F.col("bars") - 1, F.lit(0.0))
+    sharpe = F.when(var > 1e-24, F.col("r") / n / F.sqrt(var) * F.sqrt(F.lit(float(m.PPY)))).otherwise(0.0)
+    t = t.select(*keys, combo, F.floor(F.col("draw") / 2).cast("int").alias("fold"), (F.col("draw") % 2 == 1).alias("test"), sharpe.alias("sharpe"))
+    t = t.groupBy(*keys, "fold", combo).agg(F.max(F.when(~F.col("test"), F.col("sharpe"))).alias("ins"), F.max(F.when(F.col("test"), F.col("sharpe"))).alias("out")).where("ins is not null and out is not null")
     best = t.groupBy(*keys, "fold").agg(F.max(F.struct("ins", (-F.col(combo)).alias("neg"), "out")).alias("b"))
     return best.select(*keys, "fold", (-F.col("b.neg")).alias(combo), F.col("b.ins").alias("is_sharpe"), F.col("b.out").alias("oos_sharpe"))
 
@@ -178,13 +179,27 @@ def walk_forward_summary(folds: DataFrame, combo: str, keys: list[str]) -> DataF
     return out.join(won, keys).withColumn("degradation", F.col("is_mean") - F.col("oos_mean")).withColumn("stability", F.col("top") / F.col("folds")).drop("top")
 
 
-def best_by_regime(returns: DataFrame, combo: str, regime: str, share: float = 0.7) -> DataFrame:
-    """(regime, combo, is_sharpe, oos_sharpe): per regime the best combination on its first part, and its Sharpe on the rest."""
-    p = F.percent_rank().over(Window.partitionBy(regime, combo).orderBy("dt"))
-    d = returns.withColumn("p", p)
-    best = best_combo(d.where(F.col("p") < share), combo, [regime]).withColumnRenamed("sharpe", "is_sharpe")
-    out = d.where(F.col("p") >= share).groupBy(regime, combo).agg(m.sharpe("r").alias("oos_sharpe"))
-    return best.join(out, [regime, combo])
+def best_by_regime(returns: DataFrame, combo: str, keys: list[str], regime: str = "regime", share: float = 0.7, least: int = 60, least_out: int = 30, ppy: int = m.PPY) -> DataFrame:
+    """(keys, regime, n, coverage, skipped, combo, is_sharpe, oos_sharpe, n_train, n_out, consensus, votes): per regime the
+    combination that is best on the first `share` of its bars, its Sharpe on the rest, and the combination that most regimes chose.
+
+    Regimes of under `least` bars, or `least_out` after the cut (n * share, halves to the even number), are skipped: they
+    have counts and coverage alone, and no vote. Of equal combinations the smaller one wins; of equal votes the winner of the
+    smaller regime. Rows without a regime or a return take no part; every combination of a key has the same bars.
+    """
+    part = Window.partitionBy(*keys, regime, combo)
+    d = returns.where(F.col("r").isNotNull() & F.col(regime).isNotNull()).withColumn("n", F.count("*").over(part)).withColumn("i", F.row_number().over(part.orderBy("dt")) - 1)
+    d = d.withColumn("cut", F.bround(F.col("n") * share).cast("long"))
+    early = F.col("i") < F.col("cut")
+    one = lambda on: F.when(F.count_if(on) >= 2, m.sharpe(F.when(on, F.col("r")), ppy))
+    d = d.groupBy(*keys, regime, combo).agg(F.first("n").alias("n"), F.first("cut").alias("cut"), one(early).alias("ins"), one(~early).alias("out"))
+    d = d.groupBy(*keys, regime).agg(F.max("n").alias("n"), F.max("cut").alias("cut"), F.max(F.when(F.col("ins").isNotNull(), F.struct("ins", (-F.col(combo)).alias("neg"), "out"))).alias("b"))
+    d = d.withColumn("skipped", (F.col("n") < least) | (F.col("n") - F.col("cut") < least_out) | F.col("b").isNull())
+    used = lambda c: F.when(~F.col("skipped"), c)
+    d = d.select(*keys, regime, "n", (F.col("n") / F.sum("n").over(Window.partitionBy(*keys))).alias("coverage"), "skipped", used(-F.col("b.neg")).alias(combo), used(F.col("b.ins")).alias("is_sharpe"), used(F.col("b.out")).alias("oos_sharpe"), used(F.col("cut")).alias("n_train"), used(F.col("n") - F.col("cut")).alias("n_out"))
+    votes = d.where(~F.col("skipped")).groupBy(*keys, combo).agg(F.count("*").alias("votes"), F.min(regime).alias("first"))
+    most = votes.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("votes"), "first"))).where("place = 1")
+    return d.join(most.select(*keys, F.col(combo).alias("consensus"), "votes"), keys, "left")
 
 
 def superior_ability(matrix: DataFrame, key: str, columns: str = "values", draws: int = 200, block: float = 10.0, seed: int = 42, alpha: float = 0.05) -> DataFrame:

@@ -6,8 +6,6 @@ solved, one row a key, so keys of any length are spread. Rows with a null return
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -15,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import stats
 
+from .blocks import lagged_products
 from .panel import along
 
 #: Fixed values, MacKinnon's response surface for a constant: bounds, turning point, and the polynomials of its two branches.
@@ -109,13 +108,6 @@ def dickey_fuller(returns: DataFrame, key: str = "run_id") -> DataFrame:
     return out.withColumn("p_value", p).withColumn("stationary", F.coalesce(F.col("p_value") < 0.05, F.lit(False)))
 
 
-def _autoproducts(rows: DataFrame, key: str, lags: str) -> DataFrame:
-    """(key, k, c): sums of e e' over bars k apart, k from 1 to the key's `lags`."""
-    a = rows.select(key, "i", "e", F.explode(F.when(F.col(lags) >= 1, F.sequence(F.lit(1).cast("long"), F.col(lags).cast("long"))).otherwise(F.array().cast("array<long>"))).alias("k"))
-    b = rows.select(key, F.col("i").alias("j"), F.col("e").alias("f"))
-    return a.withColumn("j", F.col("i") - F.col("k")).join(b, [key, "j"]).groupBy(key, "k").agg(F.sum(F.col("e") * F.col("f")).alias("c"))
-
-
 def _between(x: Column, points: tuple, values: tuple) -> Column:
     out = F.when(x <= points[0], values[0])
     for a, b, p, q in zip(points, points[1:], values, values[1:]):
@@ -134,11 +126,11 @@ def level_stationarity(returns: DataFrame, key: str = "run_id") -> DataFrame:
     d = all_.where((F.col("n") >= LEAST) & F.col("moves")).withColumn("e", F.col("r") - F.avg("r").over(Window.partitionBy(key)))
     d = d.withColumn("s", F.sum("e").over(along(key).rowsBetween(Window.unboundedPreceding, 0))).withColumn("near", F.floor(F.pow(F.col("n"), F.lit(2 / 9))))
     size = d.groupBy(key).agg(F.first("n").alias("n"), F.sum(F.col("e") * F.col("e")).alias("c0"), F.sum(F.col("s") * F.col("s")).alias("ss"))
-    near = _autoproducts(d, key, "near").groupBy(key).agg(F.sum("c").alias("s0"), F.sum(F.col("k") * F.col("c")).alias("s1"))
+    near = lagged_products(d, key, "near").groupBy(key).agg(F.sum("c").alias("s0"), F.sum(F.col("k") * F.col("c")).alias("s1"))
     tilt = 2 * F.col("s1") / (F.col("c0") + 2 * F.col("s0"))
     lags = F.least(F.floor(1.1447 * F.pow(tilt * tilt, F.lit(1 / 3)) * F.pow(F.col("n"), F.lit(1 / 3))), F.col("n") - 1)
     size = size.join(near, key).withColumn("lags", lags.cast("int"))
-    weighed = _autoproducts(d.join(size.select(key, "lags"), key), key, "lags").join(size.select(key, "lags"), key)
+    weighed = lagged_products(d.join(size.select(key, "lags"), key), key, "lags").join(size.select(key, "lags"), key)
     weighed = weighed.groupBy(key).agg(F.sum(2 * F.col("c") * (1 - F.col("k") / (F.col("lags") + 1))).alias("more"))
     out = size.join(weighed, key, "left")
     out = out.select(key, "lags", F.try_divide(F.col("ss") / F.col("n"), F.col("c0") + F.coalesce("more", F.lit(0.0))).alias("statistic"))

@@ -37,11 +37,28 @@ def posterior_sharpe(v):
     return search.posterior_sharpe(v.rets)
 
 
-@query("symbol regime", "fast", "is_sharpe oos_sharpe", None)
+_REGIMES = """m AS (SELECT dt, avg(ret) AS r FROM pr GROUP BY 1), vol AS (SELECT dt, CASE WHEN count(r) OVER w >= 21 THEN stddev_samp(r) OVER w END AS vol FROM m WINDOW w AS (ORDER BY dt ROWS BETWEEN 20 PRECEDING AND CURRENT ROW)),
+    reg AS (SELECT dt, CASE WHEN vol <= lo THEN 'low' WHEN vol <= hi THEN 'mid' ELSE 'high' END AS regime FROM vol CROSS JOIN (SELECT quantile_cont(vol, 1 / 3e0) AS lo, quantile_cont(vol, 2 / 3e0) AS hi FROM vol) WHERE vol IS NOT NULL)"""
+
+
+@query("symbol regime skipped", "fast n n_train n_out consensus votes", "coverage is_sharpe oos_sharpe", f"""WITH {_REGIMES}, d AS (SELECT *, row_number() OVER (PARTITION BY symbol, regime, fast ORDER BY dt) - 1 AS i, count(*) OVER (PARTITION BY symbol, regime, fast) AS n FROM gsim JOIN reg USING (dt)),
+    s AS (SELECT symbol, regime, fast, any_value(n) AS n, CAST(round_even(any_value(n) * 0.7e0, 0) AS BIGINT) AS cut, coalesce(avg(r) FILTER (i < round_even(n * 0.7e0, 0)) / nullif(stddev_samp(r) FILTER (i < round_even(n * 0.7e0, 0)), 0), 0) * sqrt(252) AS ins,
+      coalesce(avg(r) FILTER (i >= round_even(n * 0.7e0, 0)) / nullif(stddev_samp(r) FILTER (i >= round_even(n * 0.7e0, 0)), 0), 0) * sqrt(252) AS out FROM d GROUP BY 1, 2, 3),
+    b AS (SELECT *, sum(n) OVER (PARTITION BY symbol) AS total, n < 60 OR n - cut < 30 AS skipped FROM (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY symbol, regime ORDER BY ins DESC, fast) = 1)),
+    v AS (SELECT symbol, fast AS consensus, count(*) AS votes FROM b WHERE NOT skipped GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY count(*) DESC, min(regime)) = 1)
+    SELECT symbol, regime, skipped, n, n / total AS coverage, CASE WHEN NOT skipped THEN fast END AS fast, CASE WHEN NOT skipped THEN ins END AS is_sharpe, CASE WHEN NOT skipped THEN out END AS oos_sharpe, CASE WHEN NOT skipped THEN cut END AS n_train, CASE WHEN NOT skipped THEN n - cut END AS n_out, consensus, votes
+    FROM b LEFT JOIN v USING (symbol)""", "px pr grid gsim", places=6)
 def best_by_regime(v):
     market = signals.regimes(v.pr.groupBy("dt").agg(F.avg("ret").alias("r")).withColumn("run_id", F.lit("m")), "run_id").where("regime is not null").select("dt", "regime")
-    d = search.grid_returns(v.px, _FAST).join(market, "dt").withColumn("where", F.struct("symbol", "regime"))
-    return search.best_by_regime(d, "fast", "where").select("where.symbol", "where.regime", "fast", "is_sharpe", "oos_sharpe")
+    return search.best_by_regime(search.grid_returns(v.px, _FAST).join(market, "dt"), "fast", ["symbol"])
+
+
+@query("symbol", "fold fast", "is_sharpe oos_sharpe", f"""SELECT symbol, fold, fast, ins AS is_sharpe, out AS oos_sharpe FROM (SELECT symbol, fold, fast, avg(r) FILTER (i < fold * stp) / stddev_samp(r) FILTER (i < fold * stp) * sqrt(252) AS ins, avg(r) FILTER (i >= fold * stp) / stddev_samp(r) FILTER (i >= fold * stp) * sqrt(252) AS out
+    FROM (SELECT *, n // 6 AS stp FROM (SELECT *, row_number() OVER (PARTITION BY symbol, fast ORDER BY dt) - 1 AS i, count(*) OVER (PARTITION BY symbol, fast) AS n FROM gsim)), range(1, 6) t(fold) WHERE i < (fold + 1) * stp AND NOT (i >= fold * stp - 300 AND i < fold * stp) GROUP BY 1, 2, 3
+    HAVING count(*) FILTER (i < fold * stp) >= 20) QUALIFY row_number() OVER (PARTITION BY symbol, fold ORDER BY ins DESC, fast) = 1""", "px pr grid gsim", places=6)
+def walk_forward_purged(v):
+    """A purge longer than a step: the first fold has no sample left, the others reach further back."""
+    return search.walk_forward(search.grid_returns(v.px, _FAST), "fast", ["symbol"], purge=300)
 
 
 @query("method run_id", "", "w", None)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessella.operators import diagnosis, simulate, strategies
+from tessella.operators import diagnosis, panel, simulate, strategies
 
 from .registry import query
 
@@ -72,6 +72,14 @@ def lookahead_check(v):
     return diagnosis.lookahead(lambda p: strategies.channel_breakout(p), v.px)
 
 
+@query("symbol", "n leaks", "change", """SELECT symbol, count(*) AS n, max(CASE WHEN i = k THEN abs(nxt / price * (CAST('0x' || substr(md5('7:' || symbol || ':' || d1), 1, 8) AS BIGINT) % 10000 / 10000.0e0 - 0.5e0)) ELSE 0 END) AS change, true AS leaks
+    FROM (SELECT symbol, dt, price, lead(price) OVER w AS nxt, lead(dt) OVER w AS d1, row_number() OVER w AS i, count(*) OVER (PARTITION BY symbol) // 2 AS k FROM px WINDOW w AS (PARTITION BY symbol ORDER BY dt)) WHERE i <= k GROUP BY 1""", "px")
+def lookahead_leak(v):
+    """A rule that weighs by tomorrow's price: only the last weight before the cutoff sees a scrambled price."""
+    ahead = lambda p: p.withColumn("w", F.lead("price").over(panel.along("symbol")) / F.col("price"))
+    return diagnosis.lookahead(ahead, v.px)
+
+
 @query("a_id b_id finding", "n", "equal corr", """SELECT a.run_id AS a_id, b.run_id AS b_id, count(*) AS n, avg(CAST(abs(a.r - b.r) <= 1e-12 AS DOUBLE)) AS equal, corr(a.r, b.r) AS corr, CASE WHEN avg(CAST(abs(a.r - b.r) <= 1e-12 AS DOUBLE)) >= 0.99 THEN 'identical' WHEN corr(a.r, b.r) > 0.999 THEN 'correlated' END AS finding FROM rets a JOIN rets b ON a.dt = b.dt AND a.run_id < b.run_id GROUP BY 1, 2 HAVING count(*) >= 50""", "rets")
 def audit_twins(v):
     return diagnosis.twins(v.rets)

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessella.operators import grid, inference, regression
+from tessella.functions import metrics
+from tessella.operators import grid, inference, regression, search
 
 from .registry import query
+from .views import CTES
 
 
 def _pair(y: str, x1: str, x2: str, source: str, by: str = "") -> str:
@@ -74,7 +76,33 @@ def bucket_monotonicity(v):
     return regression.monotonicity(d, "fwd", "bucket")
 
 
-@query("", "combo fast slow", "stop", "SELECT row_number() OVER (ORDER BY fast, slow, stop) - 1 AS combo, fast, slow, stop FROM (SELECT unnest([5, 20, 50]) AS fast) CROSS JOIN (SELECT unnest([100, 150, 200]) AS slow) CROSS JOIN (SELECT unnest([0.01, 0.05]) AS stop)")
+_LENGTHS = list(range(5, 101, 5))
+_THIN = [5, 20, 40, 60, 80, 100]
+
+
+def _graded(lengths: list[int]) -> str:
+    return f"WITH grid AS (SELECT unnest({lengths}) AS fast), gsim AS ({CTES['gsim']}) SELECT symbol, fast, count(*) AS n, avg(r) / stddev_samp(r) * sqrt(252) AS sharpe FROM gsim GROUP BY 1, 2"
+
+
+@query("symbol", "fast n", "sharpe", _graded(_THIN), "px pr", places=6)
 def parameter_grid(v):
-    thin = grid.thinned({"fast": [5, 10, 20, 30, 50], "slow": [100, 125, 150, 175, 200], "stop": [0.01, 0.05]}, 20)
-    return grid.expand(v.spark, thin)
+    """Six of twenty lengths of the moving-average rule, simulated on the given prices."""
+    thin = [r.fast for r in grid.lattice(v.spark, {"fast": _LENGTHS}, 6).orderBy("combo").collect()]
+    return search.grid_returns(v.px, thin).groupBy("symbol", "fast").agg(F.count("*").alias("n"), metrics.sharpe("r").alias("sharpe"))
+
+
+@query("symbol", "fast n", "sharpe", f"""WITH every AS ({_graded(_LENGTHS)}), best AS (SELECT symbol, fast AS top FROM every WHERE fast IN ({str(_THIN)[1:-1]}) QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY sharpe DESC, fast) = 1)
+    SELECT every.* FROM every JOIN best USING (symbol) WHERE abs(fast - top) <= 10""", "px pr", places=6)
+def refined_grid(v):
+    """The lengths within two places of each symbol's best of the thinned grid, simulated."""
+    every, thin = grid.lattice(v.spark, {"fast": _LENGTHS}), [r.fast for r in grid.lattice(v.spark, {"fast": _LENGTHS}, 6).collect()]
+    best = search.best_combo(search.grid_returns(v.px, thin), "fast", ["symbol"])
+    near = grid.neighbours(every, best, ["symbol"], 2).select("symbol", "fast")
+    return search.grid_returns(v.px, _LENGTHS).join(near, ["symbol", "fast"]).groupBy("symbol", "fast").agg(F.count("*").alias("n"), metrics.sharpe("r").alias("sharpe"))
+
+
+@query("symbol", "fast n", "sharpe", f"SELECT * FROM ({_graded(_LENGTHS)}) WHERE fast IN (5, 15, 30, 40, 55, 65, 80, 90)", "px pr", places=6)
+def sampled_grid(v):
+    """Eight of the twenty lengths, where Sobol's sequence falls, simulated."""
+    some = [r.fast for r in grid.sampled(grid.lattice(v.spark, {"fast": _LENGTHS}), 8).collect()]
+    return search.grid_returns(v.px, some).groupBy("symbol", "fast").agg(F.count("*").alias("n"), metrics.sharpe("r").alias("sharpe"))

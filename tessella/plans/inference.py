@@ -101,12 +101,25 @@ def overfit_stats(v):
     return validation.overfit_stats(v.rets, 25)
 
 
-_BOOT = """SELECT run_id, quantile_cont(s, 0.025) AS ci_lower, quantile_cont(s, 0.975) AS ci_upper FROM (SELECT run_id, draw, coalesce(avg(r) / nullif(stddev_samp(r), 0), 0) * sqrt(252) AS s FROM (
-    SELECT run_id, draw, n, (CAST('0x' || substr(md5(draw || ':' || block), 1, 8) AS BIGINT) % n + j) % n AS i FROM (SELECT run_id, count(*) AS n FROM rets GROUP BY 1) CROSS JOIN (SELECT unnest(range(200)) AS draw) CROSS JOIN (SELECT unnest(range(10)) AS j) CROSS JOIN (SELECT unnest(range(1000)) AS block) WHERE block * 10 + j < n)
-    JOIN (SELECT run_id, r, row_number() OVER (PARTITION BY run_id ORDER BY dt) - 1 AS i FROM rets) USING (run_id, i) GROUP BY 1, 2) GROUP BY 1"""
-
-
-@query("run_id", "", "ci_lower ci_upper", _BOOT, "rets", places=6)
+#: the block length from autocorrelations up to fifty lags (as for all runs of 150 to 10,000 bars), then the resamples bar by bar
+_BOOT = f"""WITH d AS (SELECT run_id, r, r - avg(r) OVER (PARTITION BY run_id) AS e, row_number() OVER (PARTITION BY run_id ORDER BY dt) - 1 AS i, count(*) OVER (PARTITION BY run_id) AS n FROM rets),
+    c AS (SELECT a.run_id, b.i - a.i AS k, any_value(a.n) AS n, sum(a.e * b.e) AS c FROM d AS a JOIN d AS b ON a.run_id = b.run_id AND b.i - a.i BETWEEN 0 AND 50 GROUP BY 1, 2),
+    calm AS (SELECT *, count(*) FILTER (abs(rho) < 2 * sqrt(log10(n) / n)) OVER (PARTITION BY run_id ORDER BY k RANGE BETWEEN 1 FOLLOWING AND 5 FOLLOWING) = 5 AS calm FROM (SELECT *, c / max(c) FILTER (k = 0) OVER (PARTITION BY run_id) AS rho FROM c)),
+    m AS (SELECT run_id, least(2 * coalesce(min(k) FILTER (calm AND k BETWEEN 1 AND 45), 25), 50) AS m FROM calm GROUP BY 1),
+    g AS (SELECT run_id, any_value(n) AS n, sum(k * c * (1 + cos(pi() * k / m))) / sum(CASE WHEN k = 0 THEN c ELSE c * (1 + cos(pi() * k / m)) END) AS g FROM c JOIN m USING (run_id) WHERE k <= m GROUP BY 1),
+    len AS (SELECT run_id, n, greatest(least(CAST(ceil(pow(2 * g * g, 1 / 3e0) * pow(n, 1 / 3e0)) AS BIGINT), n // 2), 1) AS block FROM g),
+    boot AS (SELECT run_id, draw, coalesce(avg(r) / nullif(stddev_samp(r), 0), 0) * sqrt(252) AS s FROM (
+      SELECT run_id, draw, (CAST('0x' || substr(md5(draw || ':' || (p // block)), 1, 8) AS BIGINT) % n + p % block) % n AS i FROM (SELECT run_id, n, block, draw, unnest(range(n)) AS p FROM len CROSS JOIN (SELECT unnest(range(200)) AS draw))) JOIN d USING (run_id, i) GROUP BY 1, 2),
+    j AS (SELECT run_id, avg(jack) OVER (PARTITION BY run_id) - jack AS gap FROM (SELECT run_id, (t - r) / (n - 1) / sqrt(((q - r * r) - pow(t - r, 2) / (n - 1)) / (n - 2)) * sqrt(252) AS jack FROM (SELECT *, sum(r) OVER (PARTITION BY run_id) AS t, sum(r * r) OVER (PARTITION BY run_id) AS q FROM d))),
+    a AS (SELECT run_id, sum(gap * gap * gap) / (6 * pow(sum(gap * gap), 1.5)) AS a FROM j GROUP BY 1),
+    p AS (SELECT run_id, avg(r) / stddev_samp(r) * sqrt(252) AS sharpe FROM rets GROUP BY 1),
+    z AS (SELECT run_id, any_value(sharpe) AS sharpe, any_value(a) AS a, list(s ORDER BY s) AS s, avg(CAST(s > 0 AS DOUBLE)) AS p_positive, {ppf("greatest(least(avg(CAST(s < sharpe AS DOUBLE)), 1 - 1 / 201e0), 1 / 201e0)")} AS z0 FROM boot JOIN p USING (run_id) JOIN a USING (run_id) GROUP BY 1),
+    q AS (SELECT *, {cdf("(z0 + (z0 - 1.9599639845400545e0) / (1 - a * (z0 - 1.9599639845400545e0)))")} * 199 AS lo, {cdf("(z0 + (z0 + 1.9599639845400545e0) / (1 - a * (z0 + 1.9599639845400545e0)))")} * 199 AS hi FROM z),
+    pos AS (SELECT *, CAST(floor(lo) AS BIGINT) AS l, CAST(floor(hi) AS BIGINT) AS h FROM q)
+    SELECT run_id, sharpe, s[l + 1] + (lo - l) * (s[least(l + 2, 200)] - s[l + 1]) AS ci_lower, s[h + 1] + (hi - h) * (s[least(h + 2, 200)] - s[h + 1]) AS ci_upper, p_positive, block FROM pos JOIN len USING (run_id)"""
+
+
+@query("run_id", "block", "sharpe ci_lower ci_upper p_positive", _BOOT, "rets", places=6)
 def bootstrap_sharpe(v):
     return inference.bootstrap_sharpe(v.rets)
 
@@ -115,7 +128,7 @@ def bootstrap_sharpe(v):
     CASE WHEN dsr <= 0.5 OR sharpe <= 0 THEN 'REJECT' WHEN score >= 70 THEN 'PROMOTE' WHEN score >= 50 THEN 'CONDITIONAL' ELSE 'REJECT' END AS verdict FROM (SELECT *, (12 * g1 + 9 * g2 + 9 * g3 + 8 * g4 + 8 * g5 + 9 * g6 + 8 * g7 + 8 * g8 + 8 * g9 + 6 * g10 + 6 * g11) / 91.0 * 100 AS score, g1 + g2 + g3 + g4 + g5 + g6 + g7 + g8 + g9 + g10 + g11 AS p FROM (
     SELECT o.run_id, dsr, sharpe, CAST(dsr > 0.5 AS INT) AS g1, CAST(haircut_pct < 0.5 AS INT) AS g2, CAST(psr > 0.95 AS INT) AS g3, CAST(harvey_t > 3 AS INT) AS g4, CAST(coalesce(mtrl <= n, false) AS INT) AS g5, CAST(CASE WHEN sharpe > 0 THEN mean_s / sharpe ELSE 0 END > 0.5 AS INT) AS g6, CAST(pos >= 0.6 AS INT) AS g7,
       CAST(coalesce(sd_s / abs(mean_s) < 0.5, false) AS INT) AS g8, CAST(sharpe > 0 AS INT) AS g9, CAST(worst > -0.5 AS INT) AS g10, CAST(ci_lower > 0 AS INT) AS g11
-    FROM ({_OVER}) AS o JOIN (SELECT run_id, avg(r) / stddev_samp(r) * sqrt(252) AS sharpe FROM rets GROUP BY 1) USING (run_id) JOIN ({_BOOT}) USING (run_id)
+    FROM ({_OVER}) AS o JOIN (SELECT run_id, avg(r) / stddev_samp(r) * sqrt(252) AS sharpe FROM rets GROUP BY 1) USING (run_id) JOIN (SELECT run_id, ci_lower FROM ({_BOOT})) USING (run_id)
     JOIN (SELECT run_id, avg(s) AS mean_s, stddev_samp(s) AS sd_s FROM (SELECT run_id, fold, avg(r) / stddev_samp(r) * sqrt(252) AS s FROM (SELECT *, ntile(8) OVER (PARTITION BY run_id ORDER BY dt) AS fold FROM rets) GROUP BY 1, 2) GROUP BY 1) USING (run_id)
     JOIN (SELECT run_id, avg(CAST(c > 0 AS DOUBLE)) AS pos, min(s) AS worst FROM (SELECT run_id, year(dt) AS y, exp(sum(ln(1 + r))) - 1 AS c, coalesce(avg(r) / nullif(stddev_samp(r), 0) * sqrt(252), 0) AS s FROM rets GROUP BY 1, 2) GROUP BY 1) USING (run_id)))""", "rets", places=6)
 def gate_verdict(v):

@@ -14,8 +14,11 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, which driver and executors share; a temporary folder only where that is unset."""
-    return spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='tessella-')}"
+    """spark.checkpoint.dir, which driver and executors share; a temporary folder only where that is unset and the master is local."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path and not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return path or f"file://{tempfile.mkdtemp(prefix='tessella-')}"
 
 
 def new_path(spark: SparkSession, name: str) -> str:

@@ -110,11 +110,25 @@ def test_max_sharpe_beats_other_portfolios():
 
 
 def test_grids(spark):
+    assert grid.counts([9, 4, 1], 12) == [4, 3, 1] and grid.counts([9, 4, 1], 36) == [9, 4, 1] and grid.counts([5, 5, 2], 20) == [3, 3, 2] and grid.counts([3], 0) == [1]
+    for sizes in ([9, 4, 1], [5, 5, 2], [7], [2, 2, 2, 2], [30, 3]):
+        for most in range(1, 40):
+            c = grid.counts(sizes, most)
+            assert math.prod(c) <= max(most, 1) and all(1 <= x <= s for x, s in zip(c, sizes))
     g = {"a": list(range(9)), "b": [1, 2, 3, 4], "c": ["x"]}
-    assert grid.size(g) == 36 and [(r.a, r.b, r.c) for r in grid.expand(spark, g).orderBy("combo").collect()] == [(a, b, "x") for a in range(9) for b in (1, 2, 3, 4)]
-    assert grid.spaced(list(range(9)), 3) == [0, 4, 8] and grid.spaced([1, 2], 5) == [1, 2] and grid.spaced([7, 8, 9], 1) == [7]
-    assert grid.size(grid.thinned(g, 12)) <= 12 and grid.thinned(g, 40) == g
-    assert grid.around(g, {"a": 0, "b": 3, "c": "y"}) == {"a": [0, 1], "b": [2, 3, 4], "c": ["x"]}
+    every = grid.lattice(spark, g)
+    assert [(r.a, r.b, r.c) for r in every.orderBy("combo").collect()] == [(a, b, "x") for a in range(9) for b in (1, 2, 3, 4)]
+    assert sorted((r.a, r.b) for r in grid.lattice(spark, g, 12).collect()) == [(a, b) for a in (0, 2, 5, 8) for b in (1, 2, 4)]
+    assert grid.lattice(spark, {"a": [], "b": [1]}).count() == 0
+    best = spark.createDataFrame([("p", 0, 3, "x"), ("q", 5, 1, "x"), ("gone", 5, 99, "x")], "k string, a int, b int, c string")
+    near = sorted((r.k, r.a, r.b) for r in grid.neighbours(every, best, ["k"]).collect())
+    assert near == [("p", a, b) for a in (0, 1) for b in (2, 3, 4)] + [("q", a, b) for a in (4, 5, 6) for b in (1, 2)]
+    for n in (1, 5, 16, 35, 36, 99):
+        some = [r.combo for r in grid.sampled(every, n).collect()]
+        assert len(some) == len(set(some)) == min(n, 36)
+    assert len({c // 9 for c in (r.combo for r in grid.sampled(every, 4).collect())}) == 4  # one in every quarter
+    rows = spark.createDataFrame([(0, "k", 1, 0.5), (1, "k", 1, 0.7), (2, "k", 1, 0.7), (3, "k", 2, None), (4, "k", 2, None)], "combo int, k string, a int, s double")
+    assert sorted(r.combo for r in grid.distinct_settings(rows, ["k"], ["a"], "s").collect()) == [1, 3]
 
 
 def test_events_and_prices(spark):
