@@ -78,7 +78,36 @@ def _graded(w):
     return out.withColumnRenamed("run_id", "symbol")
 
 
-@query("symbol", "n", "sharpe max_drawdown", None)
+def _grade(ctes: str) -> str:
+    """Metrics of the weights of `rule` (symbol, dt, price, w), simulated with costs of ten basis points."""
+    return f"""WITH RECURSIVE n AS (SELECT symbol, dt, price, row_number() OVER (PARTITION BY symbol ORDER BY dt) AS i FROM px), {ctes},
+    sim AS (SELECT symbol, dt, held * (price / prev - 1) - 0.001 * abs(w - held) AS r FROM (SELECT *, lag(w) OVER o AS held, lag(price) OVER o AS prev FROM rule WINDOW o AS (PARTITION BY symbol ORDER BY dt)) WHERE prev IS NOT NULL),
+    eq AS (SELECT symbol, dt, r, sum(ln(1 + r)) OVER (PARTITION BY symbol ORDER BY dt) AS le FROM sim), dd AS (SELECT symbol, r, le - max(le) OVER (PARTITION BY symbol ORDER BY dt) AS d FROM eq)
+    SELECT symbol, count(*) AS n, coalesce(avg(r) / nullif(stddev_samp(r), 0), 0) * sqrt(252) AS sharpe, exp(min(d)) - 1 AS max_drawdown FROM dd GROUP BY 1"""
+
+
+_CROSSED = _grade("""e AS (SELECT symbol, i, price AS q, price AS c FROM n WHERE i = 1 UNION ALL SELECT n.symbol, n.i, q + 2 / 21e0 * (price - q), c + 2 / 51e0 * (price - c) FROM e JOIN n ON n.symbol = e.symbol AND n.i = e.i + 1),
+    s AS (SELECT n.*, CASE WHEN q > c THEN 1 ELSE -1 END AS ld, CASE WHEN count(*) OVER k < 100 THEN 0 WHEN price > avg(price) OVER k THEN 1 ELSE -1 END AS macro FROM n JOIN e USING (symbol, i) WINDOW k AS (PARTITION BY symbol ORDER BY n.i ROWS BETWEEN 99 PRECEDING AND CURRENT ROW)),
+    t AS (SELECT *, ld <> lag(ld) OVER o AS crossed, macro = -lag(macro) OVER o AS turned FROM s WINDOW o AS (PARTITION BY symbol ORDER BY i)),
+    rule AS (SELECT symbol, dt, price, coalesce(last_value(CASE WHEN macro = 1 AND ld = 1 AND (crossed OR turned) THEN 1.0e0 WHEN crossed IS NOT NULL AND (macro = -1 OR (crossed AND ld = -1)) THEN 0.0e0 END IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY i), 0) AS w FROM t)""")
+_EXTREME = _grade("""d AS (SELECT *, price / lag(price) OVER (PARTITION BY symbol ORDER BY i) - 1 AS d FROM n),
+    z AS (SELECT symbol, dt, price, i, (lag(d) OVER o - avg(d) OVER k) / nullif(stddev_samp(d) OVER k, 0) AS z, CASE WHEN count(*) OVER m >= 50 THEN avg(price) OVER m END AS mean FROM d
+          WINDOW o AS (PARTITION BY symbol ORDER BY i), k AS (PARTITION BY symbol ORDER BY i ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING), m AS (PARTITION BY symbol ORDER BY i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW)),
+    rule AS (SELECT symbol, dt, price, i, 0.0e0 AS w FROM z WHERE i = 1 UNION ALL SELECT z.symbol, z.dt, z.price, z.i, CASE WHEN z IS NULL OR mean IS NULL THEN w WHEN w = 0 THEN CASE WHEN z >= 2 AND z.price > mean THEN -1 WHEN z <= -2 AND z.price <= mean THEN 1 ELSE 0 END WHEN abs(z) <= 0.5 THEN 0 ELSE w END
+      FROM rule JOIN z ON z.symbol = rule.symbol AND z.i = rule.i + 1)""")
+_SOLD = _grade("""d AS (SELECT *, price - lag(price) OVER (PARTITION BY symbol ORDER BY i) AS d, CASE WHEN count(*) OVER m >= 200 THEN avg(price) OVER m END AS mean FROM n WINDOW m AS (PARTITION BY symbol ORDER BY i ROWS BETWEEN 199 PRECEDING AND CURRENT ROW)),
+    e AS (SELECT symbol, i, greatest(d, 0) AS g, greatest(-d, 0) AS l FROM d WHERE i = 2 UNION ALL SELECT d.symbol, d.i, g / 2 + greatest(d, 0) / 2, l / 2 + greatest(-d, 0) / 2 FROM e JOIN d ON d.symbol = e.symbol AND d.i = e.i + 1),
+    x AS (SELECT d.symbol, d.dt, d.price, d.i, mean, CASE WHEN i >= 3 AND g + l > 0 THEN 100 * g / (g + l) END AS rsi FROM d LEFT JOIN e USING (symbol, i)),
+    rule AS (SELECT symbol, dt, price, coalesce(last_value(CASE WHEN rsi < 10 AND price > mean THEN 1.0e0 WHEN rsi > 70 THEN 0.0e0 END IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY i), 0) AS w FROM x)""")
+_ADX = """WITH RECURSIVE b AS (SELECT symbol, bar, row_number() OVER w AS i, greatest(high - low, coalesce(abs(high - lag(close) OVER w), 0), coalesce(abs(low - lag(close) OVER w), 0)) AS span, high - lag(high) OVER w AS up, lag(low) OVER w - low AS down FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY bar)),
+    m AS (SELECT *, CASE WHEN up > down AND up > 0 THEN up ELSE 0 END AS p, CASE WHEN down > up AND down > 0 THEN down ELSE 0 END AS q FROM b),
+    e AS (SELECT symbol, i, CAST(span AS DOUBLE) AS atr, CAST(p AS DOUBLE) AS p, CAST(q AS DOUBLE) AS q FROM m WHERE i = 1 UNION ALL SELECT m.symbol, m.i, atr * 13 / 14 + span / 14, e.p * 13 / 14 + m.p / 14, e.q * 13 / 14 + m.q / 14 FROM e JOIN m ON m.symbol = e.symbol AND m.i = e.i + 1),
+    dx AS (SELECT symbol, i, 100 * abs(100 * p / atr - 100 * q / atr) / nullif(100 * p / atr + 100 * q / atr, 0) AS dx FROM e WHERE i >= 14),
+    a AS (SELECT symbol, i, dx AS adx FROM dx WHERE i = 14 UNION ALL SELECT dx.symbol, dx.i, adx * 13 / 14 + dx / 14 FROM a JOIN dx ON dx.symbol = a.symbol AND dx.i = a.i + 1)
+    SELECT symbol, bar, CASE WHEN i >= 27 THEN adx END AS adx FROM b LEFT JOIN a USING (symbol, i)"""
+
+
+@query("symbol", "n", "sharpe max_drawdown", _CROSSED, "px", places=6)
 def dual_ema(v):
     return _graded(strategies.dual_ema(v.px))
 
@@ -88,7 +117,7 @@ def squeeze_breakout(v):
     return _graded(strategies.squeeze_breakout(v.px))
 
 
-@query("symbol", "n", "sharpe max_drawdown", None)
+@query("symbol", "n", "sharpe max_drawdown", _EXTREME, "px", places=6)
 def extreme_reversion(v):
     w = Window.partitionBy("symbol").orderBy("dt").rowsBetween(-30, -1)
     d = panel.pct_change("price", panel.along("symbol"))
@@ -96,11 +125,11 @@ def extreme_reversion(v):
     return _graded(strategies.extreme_reversion(z))
 
 
-@query("symbol", "n", "sharpe max_drawdown", None)
+@query("symbol", "n", "sharpe max_drawdown", _SOLD, "px", places=6)
 def oversold(v):
     return _graded(strategies.oversold(v.px))
 
 
-@query("symbol bar", "", "adx", None)
+@query("symbol bar", "", "adx", _ADX, "ticks bars", places=6)
 def directional_index(v):
     return strategies.directional_index(v.bars)

@@ -107,7 +107,8 @@ def regime_performance(v):
     return d.groupBy("run_id", "regime").agg(F.count("*").alias("n"), m.sharpe("r").alias("sharpe"), F.avg("r").alias("mean"))
 
 
-@query("run_id dt", "", "ewm", None)
+@query("run_id dt", "", "ewm", """WITH RECURSIVE n AS (SELECT run_id, dt, r, row_number() OVER (PARTITION BY run_id ORDER BY dt) AS i FROM rets), e AS (SELECT run_id, dt, i, r AS ewm FROM n WHERE i = 1
+    UNION ALL SELECT n.run_id, n.dt, n.i, 0.1e0 * n.r + 0.9e0 * e.ewm FROM e JOIN n ON n.run_id = e.run_id AND n.i = e.i + 1) SELECT run_id, dt, ewm FROM e""", "rets")
 def ewm_mean(v):
     return signals.ewm(v.rets, "run_id", "r", 0.1)
 
