@@ -81,3 +81,49 @@ def best_of_many(returns: DataFrame, alternatives: int, key: str = "run_id", dra
     verdict = F.when(few, "insufficient_data").when(p < 0.05, "EDGE_BEYOND_OPTIM_BIAS").when(p < 0.2, "BORDERLINE").otherwise("OPTIM_BIAS_LIKELY")
     inflation = F.when(F.abs("expected_max") > 1e-9, F.col("sharpe") / F.col("expected_max")).otherwise(float("inf"))
     return d.select(key, "sharpe", "expected_max", inflation.alias("inflation"), p.alias("p_value"), verdict.alias("verdict"))
+
+
+def _family_means(returns: DataFrame, family: str, trial: str, draws: int, block: float) -> tuple[DataFrame, DataFrame]:
+    """(family, trial, n, mean, sd) of every trial, and (family, trial, draw, n, mean, sd, boot), boot the mean of a stationary resample."""
+    rows = numbered(returns.where("r is not null"), [family, trial]).select(family, trial, "i", "r")
+    each = rows.groupBy(family, trial).agg(F.count("*").alias("n"), F.avg("r").alias("mean"), F.stddev_samp("r").alias("sd"))
+    boot = block_sums(rows, [family], ["r"], stationary_blocks(family_sizes(rows, [family]), draws, block), [trial])
+    return each, boot.select(family, trial, "draw", (F.col("r") / F.col("n")).alias("boot")).join(each, [family, trial])
+
+
+def reality_check(returns: DataFrame, family: str, trial: str, draws: int = 200, block: float = 10.0) -> DataFrame:
+    """(family, trials, statistic, p_value): White's reality check: the best mean of all trials, times the root of the dates,
+    against the largest deviation of their resampled means. returns: family, trial, dt, r (excess over the benchmark); every
+    trial of a family has the same dates. p counts the data as one more resample."""
+    each, boot = _family_means(returns, family, trial, draws, block)
+    seen = each.groupBy(family).agg(F.count("*").alias("trials"), (F.max("mean") * F.sqrt(F.max("n").cast("double"))).alias("statistic"))
+    top = boot.groupBy(family, "draw").agg(F.max((F.col("boot") - F.col("mean")) * F.sqrt(F.col("n"))).alias("v"))
+    return seen.join(top, family).groupBy(family, "trials", "statistic").agg(((1 + F.count_if(F.col("v") >= F.col("statistic"))) / (1 + F.count("*"))).alias("p_value"))
+
+
+def superior_ability(returns: DataFrame, family: str, trial: str, draws: int = 200, block: float = 10.0, alpha: float = 0.05) -> DataFrame:
+    """(family, trials, statistic, p_lower, p_consistent, p_upper, rejected): the studentised test of superior ability with its three
+    recentrings (every mean, means that are not clearly bad, none), and how many trials a step-down test rejects.
+
+    A step rejects the trials over the (1 - alpha) quantile of the largest studentised deviation among those still left. As the best
+    go first, what is left is a tail of the order by t, and the quantiles of all tails come from one running maximum. Trials
+    without any movement have t 0 and no deviation. returns as for `reality_check`.
+    """
+    each, boot = _family_means(returns, family, trial, draws, block)
+    scale = F.when(F.col("sd") > 0, F.col("sd") / F.sqrt(F.col("n")))
+    t = F.coalesce(F.col("mean") / scale, F.lit(0.0))
+    bad = -F.sqrt(2 * F.ln(F.ln(F.greatest(F.col("n"), F.lit(3)))))
+    seen = each.withColumn("t", t).groupBy(family).agg(F.count("*").alias("trials"), F.max("t").alias("statistic"))
+    places = each.select(family, trial, F.row_number().over(Window.partitionBy(family).orderBy(F.desc(t), trial)).alias("place"), t.alias("t"))
+    d = boot.join(places, [family, trial])
+    over = lambda centre: F.coalesce((F.col("boot") - centre) / scale, F.lit(0.0))
+    near = F.when(F.col("t") >= bad, F.col("mean")).otherwise(0.0)
+    tops = d.groupBy(family, "draw").agg(*[F.max(over(c)).alias(x) for x, c in (("lower", F.col("mean")), ("consistent", near), ("upper", F.lit(0.0)))])
+    p = tops.join(seen, family).groupBy(family, "trials", "statistic").agg(*[F.avg((F.col(x) >= F.col("statistic")).cast("double")).alias(f"p_{x}") for x in ("lower", "consistent", "upper")])
+    tail = Window.partitionBy(family, "draw").orderBy(F.desc("place")).rowsBetween(Window.unboundedPreceding, 0)
+    tails = d.withColumn("z", F.max(over(F.col("mean"))).over(tail)).groupBy(family, "place", "t").agg(F.percentile("z", F.lit(1 - alpha)).alias("bound"))
+    steps = tails.groupBy(family).agg(F.array_sort(F.collect_list(F.struct("place", "t", "bound"))).alias("x"))
+    # gone: how many are rejected so far; the next step's bound is that of the tail behind them
+    more = lambda gone: F.size(F.filter("x", lambda e: e["t"] > F.try_element_at("x", gone + 1)["bound"]))
+    gone = F.aggregate(F.sequence(F.lit(1), F.size("x")), F.lit(0), lambda acc, _: F.when(acc < F.size("x"), F.greatest(acc, more(acc))).otherwise(acc))
+    return p.join(steps.select(family, gone.alias("rejected")), family)

@@ -119,35 +119,6 @@ def rank_stability(sharpes: DataFrame, combo: str, keys: list[str]) -> DataFrame
     return d.groupBy(*keys).agg(F.count("*").alias("splits"), F.coalesce(F.avg(F.try_divide("s", F.sqrt(F.col("x") * F.col("y")))), F.lit(0.0)).alias("rank_correlation"))
 
 
-def stationary_indices(n: int, draws: int, block: float, seed: int) -> np.ndarray:
-    """Stationary bootstrap: each step restarts at random with probability 1 / block, else goes on, circularly."""
-    rng = np.random.default_rng(seed)
-    start = rng.integers(0, n, (draws, n))
-    new = rng.random((draws, n)) < 1 / block
-    new[:, 0] = True
-    at = np.maximum.accumulate(np.where(new, np.arange(n), 0), axis=1)
-    return (np.take_along_axis(start, at, axis=1) + np.arange(n) - at) % n
-
-
-def reality_check(matrix: DataFrame, key: str, columns: str = "values", draws: int = 200, block: float = 10.0, seed: int = 42) -> DataFrame:
-    """White's reality check per family. matrix: key, i, values array<double> (one excess return per candidate)."""
-
-    def one(pdf):
-        import pandas as pd
-
-        pdf = pdf.sort_values("i")
-        x = np.stack(pdf[columns].to_numpy())
-        n = len(x)
-        mean = x.mean(axis=0)
-        stat = np.sqrt(n) * mean.max()
-        idx = stationary_indices(n, draws, block, seed)
-        boot = np.stack([x[i].mean(axis=0) for i in idx])
-        v = np.sqrt(n) * (boot - mean).max(axis=1)
-        return pd.DataFrame({key: [pdf[key].iloc[0]], "statistic": [float(stat)], "p_value": [float((1 + (v >= stat).sum()) / (draws + 1))]})
-
-    return matrix.groupBy(key).applyInPandas(one, f"{key} {matrix.schema[key].dataType.simpleString()}, statistic double, p_value double")
-
-
 def walk_forward(returns: DataFrame, combo: str, keys: list[str], folds: int = 5, purge: int = 0, rolling: bool = False, least: int = 20, least_out: int = 5) -> DataFrame:
     """(keys, fold, combo, is_sharpe, oos_sharpe): the combination that is best in sample, on the fold after it.
 
@@ -202,32 +173,6 @@ def best_by_regime(returns: DataFrame, combo: str, keys: list[str], regime: str
     return d.join(most.select(*keys, F.col(combo).alias("consensus"), "votes"), keys, "left")
 
 
-def superior_ability(matrix: DataFrame, key: str, columns: str = "values", draws: int = 200, block: float = 10.0, seed: int = 42, alpha: float = 0.05) -> DataFrame:
-    """Per family: the studentised test of superior ability with its three recentrings, and how many candidates a step-down
-    test rejects. matrix: key, i, values array<double>, one excess return a candidate; families are parallel."""
-
-    def one(pdf):
-        import pandas as pd
-
-        x = np.stack(pdf.sort_values("i")[columns].to_numpy())
-        n, k = x.shape
-        mean, se = x.mean(axis=0), x.std(axis=0, ddof=1) / np.sqrt(n)
-        scale = np.where(se > 0, se, np.inf)
-        t = mean / scale
-        boot = np.stack([x[i].mean(axis=0) for i in stationary_indices(n, draws, block, seed)])
-        p = lambda centre: float((((boot - centre) / scale).max(axis=1) >= t.max()).mean())
-        near = np.where(t >= -np.sqrt(2 * np.log(np.log(max(n, 3)))), mean, 0.0)
-        z, left = (boot - mean) / scale, np.ones(k, bool)
-        while left.any():
-            new = left & (t > np.percentile(z[:, left].max(axis=1), 100 * (1 - alpha)))
-            if not new.any():
-                break
-            left &= ~new
-        return pd.DataFrame({key: [pdf[key].iloc[0]], "statistic": [float(t.max())], "p_lower": [p(mean)], "p_consistent": [p(near)], "p_upper": [p(0.0)], "rejected": [int((~left).sum())], "candidates": [k]})
-
-    return matrix.groupBy(key).applyInPandas(one, f"{key} {matrix.schema[key].dataType.simpleString()}, statistic double, p_lower double, p_consistent double, p_upper double, rejected int, candidates int")
-
-
 def posterior_sharpe(returns: DataFrame, key: str = "run_id", mu: float = 0.0, kappa: float = 1.0, alpha: float = 2.0, beta: float = 1e-4, draws: int = 10_000, seed: int = 42) -> DataFrame:
     """Per run: the normal-inverse-gamma posterior of the yearly Sharpe: mean, 5 % and 95 % points, P(Sharpe > 1), and the decision.
 

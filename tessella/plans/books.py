@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessella.operators import allocation, panel, search, signals
+from tessella.operators import allocation, search, signals
 
 from .registry import query
 
@@ -25,13 +25,6 @@ def walk_forward_stability(v):
     return search.walk_forward_summary(search.walk_forward(search.grid_returns(v.px, _FAST), "fast", ["symbol"]), "fast", ["symbol"])
 
 
-@query("symbol", "", "statistic p_lower p_consistent p_upper rejected candidates", None)
-def superior_ability(v):
-    g = search.grid_returns(v.px, _FAST).groupBy("symbol", "dt").agg(F.sort_array(F.collect_list(F.struct("fast", "r"))).alias("x"))
-    g = g.where(F.size("x") == len(_FAST)).withColumn("values", F.col("x.r")).withColumn("i", F.row_number().over(panel.along("symbol")))
-    return search.superior_ability(g.drop("x", "dt"), "symbol")
-
-
 @query("run_id decision", "n", "posterior low high p_above", None)
 def posterior_sharpe(v):
     return search.posterior_sharpe(v.rets)

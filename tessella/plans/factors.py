@@ -40,7 +40,13 @@ def gamma_exposure(v):
     return regression.gamma_exposure(_against(v), "run_id", "r", "b")
 
 
-@query("run_id payoff", "", "confidence", None)
+_CASES = " ".join(f"WHEN '{g}/{t}' THEN '{p}'" for (g, t), p in regression.PAYOFFS.items())
+
+
+@query("run_id payoff", "", "confidence", f"""SELECT run_id, CASE g || '/' || th {_CASES} ELSE 'unclassified' END AS payoff, least(1, abs(t) / 3) AS confidence FROM (SELECT run_id, t, CASE WHEN n >= 50 AND abs(t) > 1.96 THEN CASE WHEN b2 > 0 THEN 'long_gamma' ELSE 'short_gamma' END ELSE 'neutral' END AS g FROM (
+    SELECT *, b2 / sqrt((1 - r2) * syy * (n - 1) / (n - 3) * s11 / ((s11 * s22 - s12 * s12) * (n - 1))) AS t FROM ({_pair('r', 'b', 'q', _LONG, 'run_id, ')}))) JOIN (
+    SELECT run_id, CASE WHEN n < 50 THEN 'neutral' WHEN win > 0.55 AND abs(ac) < 0.1 THEN 'positive_theta' WHEN win < 0.45 AND ac > 0 THEN 'negative_theta' ELSE 'neutral' END AS th FROM (SELECT run_id, count(*) AS n, avg(CAST(r > 0 AS DOUBLE)) AS win, corr(r, l) AS ac FROM (
+    SELECT run_id, r, lag(r) OVER (PARTITION BY run_id ORDER BY dt) AS l FROM (SELECT 'A' AS run_id, dt, a AS r FROM wide UNION ALL SELECT 'R', dt, f FROM wide)) GROUP BY 1)) USING (run_id)""", "rets wide", places=5)
 def payoff_type(v):
     d = _against(v)
     return regression.payoff(regression.gamma_exposure(d, "run_id", "r", "b"), inference.theta_exposure(d), "run_id")

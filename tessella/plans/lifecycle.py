@@ -64,13 +64,6 @@ def cpcv_rank_correlation(v):
     return search.rank_stability(search.cpcv_sharpes(search.grid_returns(v.px, _FAST), "fast", ["symbol"], purge=5, embargo=8), "fast", ["symbol"])
 
 
-@query("symbol", "", "statistic p_value", None)
-def reality_check(v):
-    g = search.grid_returns(v.px, _FAST).groupBy("symbol", "dt").pivot("fast", _FAST).agg(F.first("r"))
-    x = g.withColumn("i", F.row_number().over(panel.along("symbol"))).withColumn("values", F.array(*[f"`{k}`" for k in _FAST]))
-    return search.reality_check(x.select("symbol", "i", "values"), "symbol")
-
-
 @query("run_id phase", "n", "early late whole", """SELECT *, CASE WHEN n < 252 THEN 'INSUFFICIENT_DATA' WHEN n < 1008 AND NOT coalesce(late < early - 0.2, false) THEN 'EMERGENCE' WHEN late > early + 0.2 THEN 'EXPLOITATION' WHEN late < early - 0.2 THEN 'DECLINE' ELSE 'MATURITY' END AS phase FROM (
     SELECT run_id, n, avg(r) / stddev_samp(r) * sqrt(252) AS whole, avg(r) FILTER (i < k) / stddev_samp(r) FILTER (i < k) * sqrt(252) AS early, avg(r) FILTER (i >= n - 504) / stddev_samp(r) FILTER (i >= n - 504) * sqrt(252) AS late
     FROM (SELECT *, greatest(252, n // 3) AS k FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY dt) - 1 AS i, count(*) OVER (PARTITION BY run_id) AS n FROM rets)) GROUP BY 1, 2)""", "rets", places=6)

@@ -155,3 +155,29 @@ _MANY = f"""SELECT run_id, sharpe, expected_max, sharpe / expected_max AS inflat
 @query("run_id verdict", "", "sharpe expected_max inflation p_value", _MANY, "rets", places=6)
 def best_of_many(v):
     return resample.best_of_many(v.rets, 5, draws=40)
+
+
+_MEANS = """each AS (SELECT symbol, fast, count(*) AS n, avg(r) AS mean, stddev_samp(r) / sqrt(count(*)) AS scale FROM gsim GROUP BY 1, 2),
+    boot AS (SELECT symbol, fast, draw, avg(r) AS boot FROM picks JOIN num USING (symbol, i) GROUP BY 1, 2, 3)"""
+
+
+@query("symbol", "trials", "statistic p_value", f"""WITH {_DRAWN}, {_MEANS}, v AS (SELECT symbol, draw, max((boot - mean) * sqrt(n)) AS v FROM boot JOIN each USING (symbol, fast) GROUP BY 1, 2)
+    SELECT symbol, trials, statistic, (1 + count(*) FILTER (v >= statistic)) / (1.0 + count(*)) AS p_value FROM v JOIN (SELECT symbol, count(*) AS trials, max(mean * sqrt(n)) AS statistic FROM each GROUP BY 1) USING (symbol) GROUP BY 1, 2, 3""", "px pr grid gsim", places=6)
+def reality_check(v):
+    return resample.reality_check(search.grid_returns(v.px, _FAST), "symbol", "fast", 60)
+
+
+_ABLE = f"""WITH {_DRAWN}, {_MEANS}, t AS (SELECT *, mean / scale AS t, row_number() OVER (PARTITION BY symbol ORDER BY mean / scale DESC, fast) AS place FROM each),
+    d AS (SELECT *, (boot - mean) / scale AS z FROM boot JOIN t USING (symbol, fast)),
+    tops AS (SELECT symbol, draw, max(z) AS lo, max((boot - CASE WHEN t >= -sqrt(2 * ln(ln(greatest(n, 3)))) THEN mean ELSE 0 END) / scale) AS co, max(boot / scale) AS up FROM d GROUP BY 1, 2),
+    p AS (SELECT symbol, statistic, trials, avg(CAST(lo >= statistic AS DOUBLE)) AS p_lower, avg(CAST(co >= statistic AS DOUBLE)) AS p_consistent, avg(CAST(up >= statistic AS DOUBLE)) AS p_upper FROM tops JOIN (SELECT symbol, max(t) AS statistic, count(*) AS trials FROM t GROUP BY 1) USING (symbol) GROUP BY 1, 2, 3),
+    tails AS (SELECT symbol, k AS gone, quantile_cont(z, 0.95) AS bound FROM (SELECT symbol, draw, k, max(z) AS z FROM d JOIN (SELECT unnest(range(4)) AS k) ON place > k GROUP BY 1, 2, 3) GROUP BY 1, 2),
+    nxt AS (SELECT symbol, gone, greatest(gone, count(*) FILTER (t > bound)) AS after FROM tails JOIN t USING (symbol) GROUP BY 1, 2),
+    s0 AS (SELECT symbol, after AS g FROM nxt WHERE gone = 0), s1 AS (SELECT symbol, coalesce(after, g) AS g FROM s0 LEFT JOIN nxt ON nxt.symbol = s0.symbol AND nxt.gone = g), s2 AS (SELECT s1.symbol, coalesce(after, g) AS g FROM s1 LEFT JOIN nxt ON nxt.symbol = s1.symbol AND nxt.gone = g),
+    s3 AS (SELECT s2.symbol, coalesce(after, g) AS g FROM s2 LEFT JOIN nxt ON nxt.symbol = s2.symbol AND nxt.gone = g)
+    SELECT p.*, g AS rejected FROM p JOIN s3 USING (symbol)""".replace("SELECT symbol, coalesce(after, g) AS g FROM s0", "SELECT s0.symbol, coalesce(after, g) AS g FROM s0")
+
+
+@query("symbol", "trials rejected", "statistic p_lower p_consistent p_upper", _ABLE, "px pr grid gsim", places=6)
+def superior_ability(v):
+    return resample.superior_ability(search.grid_returns(v.px, _FAST), "symbol", "fast", 60)

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 from tessella.functions import stats
-from tessella.operators import search, signals, simulate
+from tessella.operators import signals, simulate
 from tessella.plans import registry
 
 from .conftest import DATA
@@ -56,11 +56,6 @@ def test_distributions():
     assert math.isclose(stats.chi2_sf(3.841458820694124, 1), 0.05, rel_tol=1e-9) and math.isclose(stats.student_t_sf(2.228138851964939, 10), 0.025, rel_tol=1e-8)
 
 
-def test_stationary_indices_are_circular_runs():
-    idx = search.stationary_indices(50, 20, 10.0, 1)
-    assert idx.min() >= 0 and idx.max() < 50 and 0.8 < np.mean(np.diff(idx, axis=1) % 50 == 1) < 0.97
-
-
 def test_ewm(spark):
     df = spark.createDataFrame([("a", i, float(i % 3)) for i in range(10)], "run_id string, dt int, r double")
     got = [r.ewm for r in signals.ewm(df, "run_id", "r", 0.5).orderBy("dt").collect()]

@@ -323,3 +323,32 @@ def test_moving_volatility_of_a_long_key(spark):
     assert np.allclose(got, want, rtol=1e-9, equal_nan=True)
     labels = signals.triple_barrier(df, 10, 1.5, 1.0).toPandas()
     assert set(labels[labels.dt > 45_000].label) == {-1, 0, 1} and (signals.triple_barrier(df.where("dt < 300"), 10, 0, 1.0).toPandas().label < 1).all()
+
+
+def test_tests_of_families(spark):
+    rng = np.random.default_rng(21)
+    n = 90
+    trials = {0: rng.normal(0, 0.1, n), 1: rng.normal(0.08, 0.1, n), 2: rng.normal(0.05, 0.1, n), 3: rng.normal(-0.2, 0.1, n), 4: np.zeros(n), 5: rng.normal(0.03, 0.1, n)}
+    rows = [("f", k, DAY + datetime.timedelta(i), float(x)) for k, xs in trials.items() for i, x in enumerate(xs)] + [("g", 0, DAY + datetime.timedelta(i), float(x)) for i, x in enumerate(trials[3])]
+    df = spark.createDataFrame(rows, "family string, trial int, dt date, r double").repartition(4)
+    at = [drawn_rows(n, d, 5.0) for d in range(80)]
+    x = np.column_stack([trials[k] for k in range(6)])
+    mean, sd = x.mean(0), x.std(0, ddof=1)
+    boot = np.stack([x[i].mean(0) for i in at])
+    got = {r.family: r for r in resample.reality_check(df, "family", "trial", 80, 5.0).collect()}
+    stat = math.sqrt(n) * mean.max()
+    assert math.isclose(got["f"].statistic, stat) and math.isclose(got["f"].p_value, (1 + (math.sqrt(n) * (boot - mean).max(1) >= stat - 1e-12).sum()) / 81)
+    scale = np.where(sd > 0, sd / math.sqrt(n), np.inf)
+    t = mean / scale
+    p = lambda c: float(((boot - c) / scale).max(1).__ge__(t.max()).mean())
+    near = np.where(t >= -math.sqrt(2 * math.log(math.log(n))), mean, 0)
+    left, z = np.ones(6, bool), (boot - mean) / scale
+    while left.any():
+        new = left & (t > np.percentile(z[:, left].max(1), 95))
+        if not new.any():
+            break
+        left &= ~new
+    got = {r.family: r for r in resample.superior_ability(df, "family", "trial", 80, 5.0).collect()}
+    r = got["f"]
+    assert np.allclose([r.statistic, r.p_lower, r.p_consistent, r.p_upper], [t.max(), p(mean), p(near), p(0.0)]) and r.rejected == (~left).sum() and 2 <= r.rejected < 6
+    assert got["g"].rejected == 0 and got["g"].p_lower > 0.5
