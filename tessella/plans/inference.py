@@ -89,13 +89,18 @@ def tail_index(v):
     return inference.tail_index(v.rets)
 
 
-_OVER = f"""SELECT *, CASE WHEN p_adjusted >= 1 THEN 0 WHEN p_adjusted <= 0 THEN sr ELSE least(-z_adj * se, sr) END AS haircut_sharpe, greatest(CASE WHEN sr <> 0 THEN 1 - CASE WHEN p_adjusted >= 1 THEN 0 WHEN p_adjusted <= 0 THEN sr ELSE least(-z_adj * se, sr) END / sr ELSE 0 END, 0) AS haircut_pct FROM (SELECT *, {ppf('half_p')} AS z_adj FROM (SELECT *, p_adjusted / 2 AS half_p FROM (
-    SELECT *, {cdf('z0')} AS psr, {cdf('z1')} AS dsr, least(2 * {cdf('(-abs(z0))')} * {sum(1 / k for k in range(1, 26)) * 25!r}, 1) AS p_adjusted FROM (
+def _over(trials: int) -> str:
+    normal = (1 - stats.EULER) * float(stats.phi_inv(1 - 1 / trials)) + stats.EULER * float(stats.phi_inv(1 - 1 / (trials * math.e)))
+    return f"""SELECT *, CASE WHEN p_adjusted >= 1 THEN 0 WHEN p_adjusted <= 0 THEN sr ELSE least(-z_adj * se, sr) END AS haircut_sharpe, greatest(CASE WHEN sr <> 0 THEN 1 - CASE WHEN p_adjusted >= 1 THEN 0 WHEN p_adjusted <= 0 THEN sr ELSE least(-z_adj * se, sr) END / sr ELSE 0 END, 0) AS haircut_pct FROM (SELECT *, {ppf('half_p')} AS z_adj FROM (SELECT *, p_adjusted / 2 AS half_p FROM (
+    SELECT *, {cdf('z0')} AS psr, {cdf('z1')} AS dsr, least(2 * {cdf('(-abs(z0))')} * {sum(1 / k for k in range(1, trials + 1)) * trials!r}, 1) AS p_adjusted FROM (
     SELECT *, sr / se AS z0, (sr - expected_max) / se AS z1, sr * sqrt(n - 1) / sqrt(se2) AS harvey_t, CASE WHEN sr > 0 THEN greatest(se2 * pow(1.6448536269514722 / sr, 2), 1) END AS mtrl FROM (
-    SELECT *, sqrt(greatest(se2, 0) / (n - 1)) AS se, {((1 - stats.EULER) * float(stats.phi_inv(1 - 1 / 25)) + stats.EULER * float(stats.phi_inv(1 - 1 / (25 * math.e))))!r} / sqrt(n - 1) AS expected_max FROM (
+    SELECT *, sqrt(greatest(se2, 0) / (n - 1)) AS se, {normal!r} / sqrt(n - 1) AS expected_max FROM (
     SELECT run_id, n, mu / sd AS sr, 1 + 0.5 * pow(mu / sd, 2) - skew * mu / sd + kurt / 4 * pow(mu / sd, 2) AS se2 FROM (SELECT run_id, {_MOMENTS} FROM rets GROUP BY 1))))))) """
 
 
+_OVER = _over(25)
+
+
 @query("run_id", "n", "sr psr dsr expected_max haircut_sharpe haircut_pct p_adjusted harvey_t mtrl", _OVER, "rets", places=6)
 def overfit_stats(v):
     return validation.overfit_stats(v.rets, 25)
@@ -124,13 +129,21 @@ def bootstrap_sharpe(v):
     return inference.bootstrap_sharpe(v.rets)
 
 
-@query("run_id verdict grade", "passed neutral", "score", f"""SELECT run_id, p AS passed, 1 AS neutral, score, CASE WHEN score >= 70 THEN 'ROBUST' WHEN score >= 50 THEN 'MODERATE' WHEN score >= 30 THEN 'FRAGILE' ELSE 'OVERFIT' END AS grade,
-    CASE WHEN dsr <= 0.5 OR sharpe <= 0 THEN 'REJECT' WHEN score >= 70 THEN 'PROMOTE' WHEN score >= 50 THEN 'CONDITIONAL' ELSE 'REJECT' END AS verdict FROM (SELECT *, (12 * g1 + 9 * g2 + 9 * g3 + 8 * g4 + 8 * g5 + 9 * g6 + 8 * g7 + 8 * g8 + 8 * g9 + 6 * g10 + 6 * g11) / 91.0 * 100 AS score, g1 + g2 + g3 + g4 + g5 + g6 + g7 + g8 + g9 + g10 + g11 AS p FROM (
+def _gates(trials: int, pbo: str = "") -> str:
+    """The verdict over `rets`. pbo: SQL of (run_id, pbo); without it that gate is neutral."""
+    weights = [12, 9, 9, 8, 8, 9, 8, 8, 8, 6, 6] + [9] * bool(pbo)
+    passed = " + ".join(f"g{k}" for k in range(1, len(weights) + 1))
+    score = " + ".join(f"{w} * g{k}" for k, w in enumerate(weights, 1))
+    return f"""SELECT run_id, p AS passed, {int(not pbo)} AS neutral, score, CASE WHEN score >= 70 THEN 'ROBUST' WHEN score >= 50 THEN 'MODERATE' WHEN score >= 30 THEN 'FRAGILE' ELSE 'OVERFIT' END AS grade,
+    CASE WHEN dsr <= 0.5 OR sharpe <= 0 THEN 'REJECT' WHEN score >= 70 THEN 'PROMOTE' WHEN score >= 50 THEN 'CONDITIONAL' ELSE 'REJECT' END AS verdict FROM (SELECT *, ({score}) / {sum(weights)}.0 * 100 AS score, {passed} AS p FROM (
     SELECT o.run_id, dsr, sharpe, CAST(dsr > 0.5 AS INT) AS g1, CAST(haircut_pct < 0.5 AS INT) AS g2, CAST(psr > 0.95 AS INT) AS g3, CAST(harvey_t > 3 AS INT) AS g4, CAST(coalesce(mtrl <= n, false) AS INT) AS g5, CAST(CASE WHEN sharpe > 0 THEN mean_s / sharpe ELSE 0 END > 0.5 AS INT) AS g6, CAST(pos >= 0.6 AS INT) AS g7,
-      CAST(coalesce(sd_s / abs(mean_s) < 0.5, false) AS INT) AS g8, CAST(sharpe > 0 AS INT) AS g9, CAST(worst > -0.5 AS INT) AS g10, CAST(ci_lower > 0 AS INT) AS g11
-    FROM ({_OVER}) AS o JOIN (SELECT run_id, avg(r) / stddev_samp(r) * sqrt(252) AS sharpe FROM rets GROUP BY 1) USING (run_id) JOIN (SELECT run_id, ci_lower FROM ({_BOOT})) USING (run_id)
+      CAST(coalesce(sd_s / abs(mean_s) < 0.5, false) AS INT) AS g8, CAST(sharpe > 0 AS INT) AS g9, CAST(worst > -0.5 AS INT) AS g10, CAST(ci_lower > 0 AS INT) AS g11{", CAST(pbo < 0.4 AS INT) AS g12" if pbo else ""}
+    FROM ({_over(trials)}) AS o JOIN (SELECT run_id, avg(r) / stddev_samp(r) * sqrt(252) AS sharpe FROM rets GROUP BY 1) USING (run_id) JOIN (SELECT run_id, ci_lower FROM ({_BOOT})) USING (run_id) {f"JOIN ({pbo}) USING (run_id)" if pbo else ""}
     JOIN (SELECT run_id, avg(s) AS mean_s, stddev_samp(s) AS sd_s FROM (SELECT run_id, fold, avg(r) / stddev_samp(r) * sqrt(252) AS s FROM (SELECT *, ntile(8) OVER (PARTITION BY run_id ORDER BY dt) AS fold FROM rets) GROUP BY 1, 2) GROUP BY 1) USING (run_id)
-    JOIN (SELECT run_id, avg(CAST(c > 0 AS DOUBLE)) AS pos, min(s) AS worst FROM (SELECT run_id, year(dt) AS y, exp(sum(ln(1 + r))) - 1 AS c, coalesce(avg(r) / nullif(stddev_samp(r), 0) * sqrt(252), 0) AS s FROM rets GROUP BY 1, 2) GROUP BY 1) USING (run_id)))""", "rets", places=6)
+    JOIN (SELECT run_id, avg(CAST(c > 0 AS DOUBLE)) AS pos, min(s) AS worst FROM (SELECT run_id, year(dt) AS y, exp(sum(ln(1 + r))) - 1 AS c, coalesce(avg(r) / nullif(stddev_samp(r), 0) * sqrt(252), 0) AS s FROM rets GROUP BY 1, 2) GROUP BY 1) USING (run_id)))"""
+
+
+@query("run_id verdict grade", "passed neutral", "score", _gates(25), "rets", places=6)
 def gate_verdict(v):
     return validation.verdict(validation.gate_rows(validation.gate_inputs(v.rets, 25)))
 

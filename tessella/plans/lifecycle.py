@@ -6,9 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessella.functions import metrics as m
-from tessella.operators import allocation, diagnosis, inference, panel, search, signals, simulate
+from tessella.operators import allocation, diagnosis, inference, panel, search, signals, simulate, validation
 
-from .inference import cdf
+from .inference import _gates, cdf
 from .registry import query
 
 _FAST = [10, 20, 40, 60]
@@ -64,6 +64,14 @@ def cpcv_rank_correlation(v):
     return search.rank_stability(search.cpcv_sharpes(search.grid_returns(v.px, _FAST), "fast", ["symbol"], purge=5, embargo=8), "fast", ["symbol"])
 
 
+@query("run_id verdict grade", "passed neutral fast", "score pbo", f"""WITH best AS (SELECT symbol, fast FROM (SELECT symbol, fast, avg(r) / stddev_samp(r) AS s FROM gsim GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY s DESC, fast) = 1),
+    rets AS (SELECT symbol AS run_id, dt, r FROM gsim JOIN best USING (symbol, fast)), pbo AS ({_cpcv(5, 8)}),
+    gates AS ({_gates(4, "SELECT symbol AS run_id, pbo FROM pbo")}) SELECT gates.*, fast, pbo FROM gates JOIN best ON best.symbol = gates.run_id JOIN pbo ON pbo.symbol = gates.run_id""", "px pr grid gsim", places=6)
+def validate_search(v):
+    """All twelve gates for the best length of each symbol, with the overfit probability of the search that chose it."""
+    return validation.validate_search(search.grid_returns(v.px, _FAST), "fast", "symbol", purge=5, embargo=8)
+
+
 @query("run_id phase", "n", "early late whole", """SELECT *, CASE WHEN n < 252 THEN 'INSUFFICIENT_DATA' WHEN n < 1008 AND NOT coalesce(late < early - 0.2, false) THEN 'EMERGENCE' WHEN late > early + 0.2 THEN 'EXPLOITATION' WHEN late < early - 0.2 THEN 'DECLINE' ELSE 'MATURITY' END AS phase FROM (
     SELECT run_id, n, avg(r) / stddev_samp(r) * sqrt(252) AS whole, avg(r) FILTER (i < k) / stddev_samp(r) FILTER (i < k) * sqrt(252) AS early, avg(r) FILTER (i >= n - 504) / stddev_samp(r) FILTER (i >= n - 504) * sqrt(252) AS late
     FROM (SELECT *, greatest(252, n // 3) AS k FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY dt) - 1 AS i, count(*) OVER (PARTITION BY run_id) AS n FROM rets)) GROUP BY 1, 2)""", "rets", places=6)

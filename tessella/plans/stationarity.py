@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessella.operators import clusters, diagnosis, search, simulate, stationarity, tail_fit, unique_draws
+from tessella.operators import clusters, diagnosis, hidden, search, simulate, stationarity, tail_fit, unique_draws
 
 from .checks import UNIQUE
 from .inference import chi2
@@ -69,3 +69,15 @@ def parameter_clusters(v):
     """Lengths of the moving-average rule, simulated on the given prices; k-means has no SQL, tests hold it against NumPy."""
     s = simulate.core_metrics(search.grid_returns(v.px, list(range(5, 101, 5))), ("symbol", "fast"))
     return clusters.parameter_clusters(s.select("symbol", "fast", "sharpe"), "symbol", "fast", ["fast"], "sharpe", top=0.5)
+
+
+@query("run_id dt", "regime states", "log_likelihood bic", None, places=3)
+def hidden_regimes(v):
+    """Fitted by rounds that SQL cannot iterate at this length; tests hold rounds and paths against plain passes."""
+    return hidden.hidden_regimes(v.rets, rounds=20)
+
+
+@query("run_id", "bars labelled low refits", "", None)
+def walked_regimes(v):
+    d = hidden.walked_regimes(v.rets, rounds=10)
+    return d.groupBy("run_id").agg(F.count("*").alias("bars"), F.count_if(F.col("regime") >= 0).alias("labelled"), F.count_if(F.col("regime") == 0).alias("low"), F.max("refits").alias("refits"))
