@@ -128,8 +128,8 @@ def walk_forward(returns: DataFrame, combo: str, keys: list[str], folds: int = 5
     fold's two runs of bars are differences of prefix sums.
     """
     rows = numbered(returns.where("r is not null"), [*keys, combo]).select(*keys, combo, "i", "r", (F.col("r") * F.col("r")).alias("q"), F.lit(1.0).alias("bars"))
-    d = family_sizes(rows, keys).withColumn("step", F.floor(F.col("n") / (folds + 1))).where("step >= 10").withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(folds))))
-    k, step = F.col("k"), F.col("step")
+    d = family_sizes(rows, keys).withColumn("_step", F.floor(F.col("n") / (folds + 1))).where("_step >= 10").withColumn("_k", F.explode(F.sequence(F.lit(1), F.lit(folds))))
+    k, step = F.col("_k"), F.col("_step")
     begin = step * (k - 1) if rolling else F.lit(0).cast("long")
     run = lambda test, a, b: F.struct((2 * k + F.lit(int(test))).alias("draw"), a.alias("start"), (b - a).alias("len"))
     d = d.select(*keys, "n", F.inline(F.array(run(True, step * k, F.least(step * (k + 1), F.col("n"))), run(False, begin, step * k - purge))))

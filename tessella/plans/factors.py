@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessella.functions import metrics
-from tessella.operators import grid, inference, regression, search
+from tessella.operators import grid, inference, optimise, regression, search
 
 from .registry import query
 from .views import CTES
@@ -112,3 +112,14 @@ def sampled_grid(v):
     """Eight of the twenty lengths, where Sobol's sequence falls, simulated."""
     some = [r.fast for r in grid.sampled(grid.lattice(v.spark, {"fast": _LENGTHS}), 8).collect()]
     return search.grid_returns(v.px, some).groupBy("symbol", "fast").agg(F.count("*").alias("n"), metrics.sharpe("r").alias("sharpe"))
+
+
+def _lengths(prices, combos):
+    return search.grid_returns(prices, sorted(r.fast for r in combos.select("fast").distinct().collect()))
+
+
+@query("symbol verdict grade", "tried combo rejected wf_positive", "sharpe default_sharpe improvement pbo score reality_p able_p wf_is wf_oos wf_stability", None, places=6)
+def optimise_lengths(v):
+    """The length of the moving-average rule of every symbol, searched in two passes; tests hold each column against its own operator."""
+    tried = optimise.two_pass(v.px, _lengths, {"fast": _LENGTHS}, "symbol", most=6, span=1)
+    return optimise.report(tried, "symbol", default=3, purge=5, embargo=8, draws=60)

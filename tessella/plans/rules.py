@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tessella.operators import panel, simulate, strategies
+from tessella.operators import panel, session_trades, simulate, strategies
 
 from .registry import query
+from .structure import TOUCHED
 
 _SESSIONS = """(SELECT symbol, session, arg_min(open, bar) AS open, max(high) AS high, min(low) AS low, arg_max(close, bar) AS close, count(*) AS n, max(open) FILTER (k = 2) AS second_open
     FROM (SELECT *, row_number() OVER (PARTITION BY symbol, session ORDER BY bar) AS k FROM bars) GROUP BY 1, 2)"""
@@ -133,3 +134,44 @@ def oversold(v):
 @query("symbol bar", "", "adx", _ADX, "ticks bars", places=6)
 def directional_index(v):
     return strategies.directional_index(v.bars)
+
+
+#: what a session knows of those before it, and how its bars lie; WITH RECURSIVE goes before
+_BEFORE = """ss AS (SELECT symbol, session, max(high) AS high, min(low) AS low, arg_max(close, bar) AS close, count(*) AS bars, row_number() OVER (PARTITION BY symbol ORDER BY session) AS i FROM bars GROUP BY 1, 2),
+    tr AS (SELECT *, greatest(high - low, coalesce(abs(high - lag(close) OVER w), 0), coalesce(abs(low - lag(close) OVER w), 0)) AS tr FROM ss WINDOW w AS (PARTITION BY symbol ORDER BY session)),
+    av AS (SELECT symbol, i, CAST(tr AS DOUBLE) AS atr FROM tr WHERE i = 1 UNION ALL SELECT tr.symbol, tr.i, atr * 13 / 14 + tr / 14 FROM av JOIN tr ON tr.symbol = av.symbol AND tr.i = av.i + 1),
+    bf AS (SELECT tr.symbol, tr.session, p.high AS prior_high, p.low AS prior_low, CASE WHEN tr.i > 14 THEN atr END AS atr FROM tr LEFT JOIN ss AS p ON p.symbol = tr.symbol AND p.i = tr.i - 1 LEFT JOIN av ON av.symbol = tr.symbol AND av.i = tr.i - 1),
+    vw AS (SELECT *, row_number() OVER w AS k, close - vwap AS off, stddev_samp(close - vwap) OVER w AS band FROM (SELECT *, sum((high + low + close) / 3 * volume) OVER v / sum(volume) OVER v AS vwap FROM bars WINDOW v AS (PARTITION BY symbol, session ORDER BY bar)) WINDOW w AS (PARTITION BY symbol, session ORDER BY bar))"""
+_TOLD = "SELECT bf.symbol, bf.session, CAST(outcome IS NOT NULL AS INT) AS entries, coalesce(side, 0) AS side, coalesce(outcome, 'no_entry') AS outcome, coalesce(pnl, 0) AS pnl, coalesce(worst, 0) AS worst FROM bf LEFT JOIN touched USING (symbol, session)"
+
+
+def _fade(first: int) -> str:
+    return f"""WITH RECURSIVE {_BEFORE}, op AS (SELECT *, greatest(count(*) FILTER (epoch(bar) - epoch(begin) <= 7200) OVER o, {first + 1}) AS last FROM (SELECT *, row_number() OVER (o ORDER BY bar) AS k, count(*) OVER o AS n, min(bar) OVER o AS begin, first(open) OVER (o ORDER BY bar) AS opened FROM bars WINDOW o AS (PARTITION BY symbol, session)) WINDOW o AS (PARTITION BY symbol, session)),
+    e AS (SELECT symbol, session, bar, close AS entry, side, close - abs(close - opened) * side AS stop, close + abs(close - opened) * 1.5e0 * side AS target FROM (SELECT *, CASE WHEN close > opened THEN -1 ELSE 1 END AS side FROM op JOIN bf USING (symbol, session) WHERE k = last AND last < n AND n >= 5 AND atr > 0 AND abs(close - opened) >= 0.2e0 * atr)),
+    {TOUCHED}"""
+
+
+@query("symbol session outcome", "entries side", "pnl worst", f"{_fade(0)} {_TOLD}", "ticks bars")
+def opening_fade(v):
+    return session_trades.opening_fade(v.bars, minutes=120, least=0.2)
+
+
+@query("symbol session outcome", "entries side", "pnl worst", f"""WITH RECURSIVE {_BEFORE}, ax AS ({_ADX}),
+    e AS (SELECT symbol, session, bar, close AS entry, side, close - 0.5e0 * atr * side AS stop, close + 0.5e0 * atr * 1.5e0 * side AS target FROM (SELECT *, CASE WHEN high >= prior_high AND off >= 0.5e0 * band THEN -1 WHEN low <= prior_low AND off <= -0.5e0 * band THEN 1 END AS side FROM (
+      SELECT vw.*, bf.atr, bf.prior_high, bf.prior_low, adx, lag(adx, 2) OVER (PARTITION BY vw.symbol, vw.session ORDER BY vw.bar) AS was FROM vw JOIN bf USING (symbol, session) JOIN ax ON ax.symbol = vw.symbol AND ax.bar = vw.bar) WHERE k > 2 AND was >= 8 AND adx < was AND band > 0 AND atr > 0 AND prior_high IS NOT NULL)
+      WHERE side IS NOT NULL QUALIFY row_number() OVER (PARTITION BY symbol, session ORDER BY bar) = 1), {TOUCHED} {_TOLD}""", "ticks bars")
+def tired_trend(v):
+    return session_trades.tired_trend(v.bars, back=2, strong=8.0, stretch=0.5)
+
+
+_REGIME = "SELECT symbol, session, CASE WHEN avg(CASE WHEN band > 0 THEN abs(off / band) END) IS NULL THEN -1 WHEN avg(CASE WHEN band > 0 THEN abs(off / band) END) >= 1 THEN 1 ELSE 0 END AS regime FROM vw WHERE k <= 6 GROUP BY 1, 2"
+
+
+@query("symbol session", "regime", "", f"WITH RECURSIVE {_BEFORE} {_REGIME}", "ticks bars")
+def session_regime(v):
+    return session_trades.session_regime(v.bars, stretch=1.0, first=6)
+
+
+@query("symbol session", "regime entries", "pnl worst", f"{_fade(6)}, told AS ({_TOLD}), rg AS ({_REGIME}) SELECT symbol, session, regime, CASE WHEN regime = 0 THEN entries ELSE 0 END AS entries, CASE WHEN regime = 0 THEN pnl ELSE 0 END AS pnl, CASE WHEN regime = 0 THEN worst ELSE 0 END AS worst FROM told JOIN rg USING (symbol, session)", "ticks bars")
+def routed_sessions(v):
+    return session_trades.routed(v.bars, stretch=1.0, first=6, minutes=120, least=0.2)

@@ -72,14 +72,18 @@ def rolling_ic_ratio(v):
     return rolling_rank.ic_ratio(rolling_rank.rolling_rank_ic(v.sig, "symbol", "signal", "fwd", 60), "symbol")
 
 
-@query("symbol bar exit_bar outcome", "side", "entry pnl worst", """WITH e AS (SELECT symbol, session, bar, entry, side, entry * (1 - 0.05e0 * side) AS stop, entry * (1 + 0.1e0 * side) AS target FROM (
-      SELECT symbol, session, bar, close AS entry, CASE WHEN close > sum((high + low + close) / 3 * volume) OVER w / sum(volume) OVER w THEN 1 ELSE -1 END AS side FROM bars WINDOW w AS (PARTITION BY symbol, session ORDER BY bar))),
-    j AS (SELECT e.*, b.bar AS pos, b.close, (CASE WHEN side = 1 THEN b.low ELSE b.high END - entry) * side AS mark, CASE WHEN side = 1 THEN b.low <= stop ELSE b.high >= stop END AS st, CASE WHEN side = 1 THEN b.high >= target ELSE b.low <= target END AS tg
+#: how trades (symbol, session, bar, entry, side, stop, target) of a table e end: `touched`
+TOUCHED = """j AS (SELECT e.*, b.bar AS pos, b.close, (CASE WHEN side = 1 THEN b.low ELSE b.high END - entry) * side AS mark, CASE WHEN side = 1 THEN b.low <= stop ELSE b.high >= stop END AS st, CASE WHEN side = 1 THEN b.high >= target ELSE b.low <= target END AS tg
           FROM e LEFT JOIN bars AS b ON b.symbol = e.symbol AND b.session = e.session AND b.bar > e.bar),
     x AS (SELECT *, min(CASE WHEN st OR tg THEN pos END) OVER o AS hit, max(pos) OVER o AS fin FROM j WINDOW o AS (PARTITION BY symbol, session, bar)),
-    d AS (SELECT symbol, bar, side, entry, coalesce(hit, fin) AS exit_bar, CASE WHEN fin IS NULL THEN 'none' WHEN hit IS NULL THEN 'end' WHEN bool_or(st) FILTER (pos = hit) THEN 'stop' ELSE 'target' END AS outcome,
-            any_value(stop) AS stop, any_value(target) AS target, max(close) FILTER (pos = fin) AS fin_close, least(coalesce(min(mark) FILTER (pos <= coalesce(hit, fin)), 0), 0) AS mark FROM x GROUP BY symbol, bar, side, entry, hit, fin)
-    SELECT *, CASE WHEN outcome IN ('stop', 'end') THEN least(mark, pnl) ELSE mark END AS worst FROM (SELECT *, CASE outcome WHEN 'stop' THEN (stop - entry) * side WHEN 'target' THEN (target - entry) * side WHEN 'end' THEN (fin_close - entry) * side ELSE 0 END AS pnl FROM d)""", "ticks bars")
+    d AS (SELECT symbol, session, bar, side, entry, coalesce(hit, fin) AS exit_bar, CASE WHEN fin IS NULL THEN 'none' WHEN hit IS NULL THEN 'end' WHEN bool_or(st) FILTER (pos = hit) THEN 'stop' ELSE 'target' END AS outcome,
+            any_value(stop) AS stop, any_value(target) AS target, max(close) FILTER (pos = fin) AS fin_close, least(coalesce(min(mark) FILTER (pos <= coalesce(hit, fin)), 0), 0) AS mark FROM x GROUP BY symbol, session, bar, side, entry, hit, fin),
+    touched AS (SELECT *, CASE WHEN outcome IN ('stop', 'end') THEN least(mark, pnl) ELSE mark END AS worst FROM (SELECT *, CASE outcome WHEN 'stop' THEN (stop - entry) * side WHEN 'target' THEN (target - entry) * side WHEN 'end' THEN (fin_close - entry) * side ELSE 0 END AS pnl FROM d))"""
+
+
+@query("symbol bar exit_bar outcome", "side", "entry pnl worst", f"""WITH e AS (SELECT symbol, session, bar, entry, side, entry * (1 - 0.05e0 * side) AS stop, entry * (1 + 0.1e0 * side) AS target FROM (
+      SELECT symbol, session, bar, close AS entry, CASE WHEN close > sum((high + low + close) / 3 * volume) OVER w / sum(volume) OVER w THEN 1 ELSE -1 END AS side FROM bars WINDOW w AS (PARTITION BY symbol, session ORDER BY bar))),
+    {TOUCHED} SELECT * FROM touched""", "ticks bars")
 def stop_before_target(v):
     e = panel.session_vwap(v.bars).withColumn("entry", F.col("close")).withColumn("side", F.when(F.col("close") > F.col("vwap"), 1).otherwise(-1))
     e = e.select("symbol", "session", "bar", "entry", "side", (F.col("entry") * (1 - 0.05 * F.col("side"))).alias("stop"), (F.col("entry") * (1 + 0.1 * F.col("side"))).alias("target"))

@@ -66,13 +66,18 @@ def test_weights(spark):
 
 
 def test_walk_forward_purges(spark):
-    rows = [(c, d, float((i % 5) * (1 if c == 1 else -1) + i / 100)) for c in (1, 2) for i, d in enumerate(days(120))]
+    rows = [(c, d, float((i % 5) * (1 if c == 1 else -1) + i / 100)) for c in (1, 2) for i, d in enumerate(days(150))]
     r = spark.createDataFrame([("k", *x) for x in rows], "k string, fast int, dt date, r double")
     for purge in (0, 3):
         got = search.walk_forward(r, "fast", ["k"], purge=purge).orderBy("fold").collect()
         assert [x.fold for x in got] == [1, 2, 3, 4, 5] and {x.fast for x in got} == {1}
-        one = np.array([x[2] for x in rows[:20]])[: 20 - purge]
+        one = np.array([x[2] for x in rows[:25]])[: 25 - purge]
         assert np.isclose(got[0].is_sharpe, one.mean() / one.std(ddof=1) * np.sqrt(252))
+    # a sample of under twenty bars is none; a purge longer than a step reaches into the steps before
+    assert [x.fold for x in search.walk_forward(r, "fast", ["k"], purge=6).orderBy("fold").collect()] == [2, 3, 4, 5]
+    late = search.walk_forward(r, "fast", ["k"], purge=40).orderBy("fold").collect()
+    one = np.array([x[2] for x in rows[:75]])[:35]
+    assert [x.fold for x in late] == [3, 4, 5] and np.isclose(late[0].is_sharpe, one.mean() / one.std(ddof=1) * np.sqrt(252))
 
 
 def test_members_on(spark):
