@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import metrics as m
 
+from . import book_search
 from .portfolio import covariances
 
 MAX_NAMES = 1000
@@ -180,6 +181,38 @@ def search_subsets(returns: DataFrame, most: int = 12) -> DataFrame:
     return _scored(returns, samples).withColumn("names", F.bit_count("sample"))
 
 
+def multi_kelly(returns: DataFrame, family: str, name: str = "run_id") -> DataFrame:
+    """(family, name, kelly, shrunk): growth-optimal fractions of a family's names, and those shrunk for what the sample cannot know.
+
+    kelly is the inverse covariance times the mean, a negative one a short; shrunk multiplies it by T p / (T p + N + 2), p the
+    squared Sharpe of the sample. Dates with all names count. Both are 0 where the covariance is singular; shrunk also where there
+    are no more than N + 2 dates. Means and products are summed in Spark, and one small matrix a family is solved.
+    """
+    moments = book_search.moments(book_search.dated(returns, family, name), family, 1)
+    names = returns.groupBy(family).agg(F.array_sort(F.collect_set(name)).alias("names"))
+    d = moments.join(names, family).select(family, "names", F.col("moments")[0].alias("m")).select(family, "names", "m.n", "m.s", "m.q")
+
+    def solve(frames):
+        for p in frames:
+            full, shrunk = [], []
+            for n, s, q in zip(p["n"], p["s"], p["q"]):
+                k, mu = len(s), np.array(s) / n
+                f, less = np.zeros(k), np.zeros(k)
+                cov = (np.array(q).reshape(k, k) - n * np.outer(mu, mu)) / max(n - 1, 1)
+                if n > 1 and np.linalg.matrix_rank(cov) == k:
+                    f = np.linalg.solve(cov, mu)
+                    squared = float(mu @ f)
+                    if n > k + 2 and squared > 0:
+                        less = f * (n * squared / (n * squared + k + 2))
+                full.append(f.tolist())
+                shrunk.append(less.tolist())
+            yield p[[family, "names"]].assign(kelly=full, shrunk=shrunk)
+
+    t = returns.schema
+    out = d.mapInPandas(solve, f"{family} {t[family].dataType.simpleString()}, names array<{t[name].dataType.simpleString()}>, kelly array<double>, shrunk array<double>")
+    return out.select(family, F.inline(F.arrays_zip("names", "kelly", "shrunk"))).toDF(family, name, "kelly", "shrunk")
+
+
 def throttle(returns: DataFrame, key: str = "run_id", trigger: float = 0.1, scale: float = 0.5) -> DataFrame:
     """(key, dt, r): returns scaled down from the day after the throttled equity's drawdown reaches the trigger until its next peak.
 

@@ -68,14 +68,14 @@ def simplex(points: DataFrame) -> DataFrame:
     return d.select("point", F.transform("e", lambda x: F.round(x / F.col("sum"), 4)).alias("w")).groupBy("w").agg(F.min("point").alias("sample")).select("sample", "w")
 
 
-def _dated(returns: DataFrame, family: str, name: str) -> DataFrame:
+def dated(returns: DataFrame, family: str, name: str) -> DataFrame:
     """(family, dt, i, n, r): the names' returns, in order of their names, on the dates that have them all."""
     size = returns.groupBy(family).agg(F.count_distinct(name).alias("names"))
     d = returns.where("r is not null").groupBy(family, "dt").agg(F.array_sort(F.collect_list(F.struct(name, "r"))).alias("x")).join(size, family).where(F.size("x") == F.col("names"))
     return d.select(family, "dt", F.transform("x", lambda s: s["r"]).alias("r"), (F.row_number().over(along(family)) - 1).cast("long").alias("i"), F.count("*").over(Window.partitionBy(family)).alias("n"))
 
 
-def _moments(dated: DataFrame, family: str, groups: int) -> DataFrame:
+def moments(rows: DataFrame, family: str, groups: int) -> DataFrame:
     """(family, moments): of every group of dates its number, their sums and the sums of their products, as one array."""
 
     def one(table: pa.Table) -> pa.Table:
@@ -85,8 +85,8 @@ def _moments(dated: DataFrame, family: str, groups: int) -> DataFrame:
         return out.append_column("n", pa.array([len(x)])).append_column("s", pa.array([x.sum(0).tolist()])).append_column("q", pa.array([(x.T @ x).ravel().tolist()]))
 
     g = (F.ceil((F.col("i") + 1) * groups / F.col("n")) - 1).cast("int")
-    t = dated.schema[family].dataType.simpleString()
-    d = dated.withColumn("g", g).groupBy(family, "g").applyInArrow(one, f"{family} {t}, g int, n long, s array<double>, q array<double>")
+    t = rows.schema[family].dataType.simpleString()
+    d = rows.withColumn("g", g).groupBy(family, "g").applyInArrow(one, f"{family} {t}, g int, n long, s array<double>, q array<double>")
     return d.groupBy(family).agg(F.array_sort(F.collect_list(F.struct("g", "n", "s", "q"))).alias("moments"))
 
 
@@ -97,7 +97,7 @@ def book_scores(returns: DataFrame, samples: DataFrame, family: str, name: str =
     of all choices of `test` of `groups` groups; stability is their mean over one plus their deviation. Under LEAST dates a
     group there is one path, all dates.
     """
-    moments = _moments(_dated(returns, family, name), family, groups)
+    held = moments(dated(returns, family, name), family, groups)
     paths = list(itertools.combinations(range(groups), test))
 
     def score(batches):
@@ -124,7 +124,7 @@ def book_scores(returns: DataFrame, samples: DataFrame, family: str, name: str =
                 rows["n"][at], rows["sharpe"][at], rows["oos_mean"][at], rows["oos_std"][at] = n.sum(), everything, oos.mean(0), oos.std(0)
             yield pa.RecordBatch.from_arrays([fam, b.column("sample"), pa.array(rows["n"].astype(np.int64)), *[pa.array(rows[x]) for x in ("sharpe", "oos_mean", "oos_std")]], [family, "sample", "n", "sharpe", "oos_mean", "oos_std"])
 
-    d = moments.crossJoin(samples) if family not in samples.columns else moments.join(samples, family)  # every book of every family is the result
+    d = held.crossJoin(samples) if family not in samples.columns else held.join(samples, family)  # every book of every family is the result
     d = d.where(F.size("w") == F.size(F.col("moments")[0]["s"])).select(family, "sample", "w", "moments")
     t = returns.schema[family].dataType.simpleString()
     out = d.mapInArrow(score, f"{family} {t}, sample {samples.schema['sample'].dataType.simpleString()}, n long, sharpe double, oos_mean double, oos_std double")
@@ -144,7 +144,7 @@ def best_books(returns: DataFrame, samples: DataFrame, family: str, top: int = 5
     weights = [family, "sample"] if family in samples.columns else ["sample"]
     leaders = scores.where(F.col("k") <= 3 * top).join(samples, weights)
     earned = F.aggregate(F.zip_with("w", "r", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-    series = leaders.select(family, "sample", "w").join(_dated(returns, family, name), family).select(family, "sample", "dt", earned.alias("r"))
+    series = leaders.select(family, "sample", "w").join(dated(returns, family, name), family).select(family, "sample", "dt", earned.alias("r"))
     whole = core_metrics(series, (family, "sample"), ppy).select(family, "sample", "cagr", "max_drawdown", F.col("skewness").alias("g"), F.col("kurtosis").alias("h"))
 
     def positive(unit: str, out: str) -> DataFrame:
@@ -171,9 +171,9 @@ def greedy_chain(returns: DataFrame, family: str, most: int, name: str = "run_id
 
     One row a name, which holds its sum and its products with all names; a step updates the rows from the name that was taken.
     """
-    dated = _dated(returns, family, name)
+    rows = dated(returns, family, name)
     names = returns.groupBy(family).agg(F.array_sort(F.collect_set(name)).alias("names"))
-    whole = _moments(dated, family, 1).join(names, family).select(family, "names", F.col("moments")[0].alias("x"))
+    whole = moments(rows, family, 1).join(names, family).select(family, "names", F.col("moments")[0].alias("x"))
     d = whole.select(family, F.posexplode("names").alias("p", name), F.col("x.n").alias("n"), F.col("x.s").alias("s"), F.col("x.q").alias("q"))
     k = F.size("s")
     d = d.select(family, name, "p", "n", F.get("s", F.col("p")).alias("own"), F.slice("q", F.col("p") * k + 1, k).alias("row"))

@@ -35,6 +35,18 @@ def ohlcv(ticks: DataFrame, bucket: Column, keys: Sequence[str] = ("symbol",), o
     )
 
 
+def fill_buckets(bars: DataFrame, step: str = "1 hour", keys: Sequence[str] = ("symbol",)) -> DataFrame:
+    """bars with a row for every bucket between a key's first and last: one without ticks has the close before as all four prices,
+    and no volume and trades. Buckets are steps from the first bar on."""
+    ends = bars.groupBy(*keys).agg(F.min("bar").alias("_lo"), F.max("bar").alias("_hi"))
+    every = ends.select(*keys, F.explode(F.sequence("_lo", "_hi", F.expr(f"interval {step}"))).alias("bar"))
+    d = every.join(bars, [*keys, "bar"], "left")
+    close = ffill("close", along(list(keys), "bar"))
+    d = d.withColumn("close", close)
+    price = lambda x: F.coalesce(x, "close").alias(x)
+    return d.select(*keys, "bar", price("open"), price("high"), price("low"), "close", F.coalesce("volume", F.lit(0.0)).alias("volume"), F.coalesce("trades", F.lit(0)).alias("trades"))
+
+
 def order_flow(ticks: DataFrame, bucket: Column, keys: Sequence[str] = ("symbol",)) -> DataFrame:
     """Buy and sell volume, their difference and trades; `side` is 'buy' or 'sell'."""
     buy, sell = (F.coalesce(F.sum(F.when(F.col("side") == s, F.col("qty"))), F.lit(0.0)) for s in ("buy", "sell"))

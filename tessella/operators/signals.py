@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.functions import stats
+
 from .panel import along, islands, rolling
 
 
@@ -48,6 +50,27 @@ def xi_correlation(df: DataFrame, key: str, x: str, y: str) -> DataFrame:
     return d.groupBy(key).agg((1 - F.try_divide(F.first("n") * top * 1.0, 2.0 * low)).alias("xi"))
 
 
+def xi_significance(df: DataFrame, key: str, x: str, y: str) -> DataFrame:
+    """(key, n, xi, p_value): one-sided, from the normal limit of root n times xi with variance 2/5 under independence. Under five
+    pairs: xi 0, p 1."""
+    d = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    d = d.groupBy(key).agg(F.count("*").alias("n")).join(xi_correlation(df, key, x, y), key)
+    xi = F.when(F.col("n") >= 5, F.coalesce("xi", F.lit(0.0))).otherwise(0.0)
+    return d.select(key, "n", xi.alias("xi"), F.when(F.col("n") >= 5, stats.norm_cdf(-xi * F.sqrt("n") / math.sqrt(0.4))).otherwise(1.0).alias("p_value"))
+
+
+def trend_regime(prices: DataFrame, n: int = 200, key: str = "symbol") -> DataFrame:
+    """(key, dt, regime): 1 where the price is above its mean over `n` bars, else 0; 0 while there are fewer."""
+    mean = rolling(F.col("price"), n, along(key))
+    return prices.select(key, "dt", F.coalesce((F.col("price") > mean).cast("int"), F.lit(0)).alias("regime"))
+
+
+def level_regime(levels: DataFrame, value: str, low: float, high: float) -> DataFrame:
+    """levels with regime: 0 at or under `low`, 2 at or over `high`, else 1; a null level is 1."""
+    v = F.col(value)
+    return levels.withColumn("regime", F.when(v >= high, 2).when(v <= low, 0).otherwise(1))
+
+
 def turnover(weights: DataFrame, keys: str = "dt") -> DataFrame:
     """Sum of absolute weight changes per date."""
     w = along("symbol")

@@ -77,3 +77,10 @@ def weight_search(v):
     SELECT sample, dt, sum(r) / count(*) AS r FROM (SELECT *, dense_rank() OVER (ORDER BY symbol) - 1 AS bit, count(*) OVER (PARTITION BY dt) AS here FROM (SELECT symbol, dt, ret AS r FROM pr WHERE ret IS NOT NULL)), range(1, 32) t(sample) WHERE here = 5 AND (CAST(sample AS INT) >> CAST(bit AS INT)) % 2 = 1 GROUP BY 1, 2) GROUP BY 1, 2""", "px pr", places=6)
 def subset_search(v):
     return allocation.search_subsets(v.pr.where("ret is not null").select(F.col("symbol").alias("run_id"), "dt", F.col("ret").alias("r")))
+
+
+@query("run_id", "", "kelly shrunk", """WITH m AS (SELECT count(*) AS t, avg(a.r) AS ma, avg(n.r) AS mn, var_samp(a.r) AS aa, var_samp(n.r) AS nn, covar_samp(a.r, n.r) AS an FROM (SELECT * FROM rets WHERE run_id = 'A') AS a JOIN (SELECT * FROM rets WHERE run_id = 'N') AS n USING (dt)),
+    f AS (SELECT *, (nn * ma - an * mn) / (aa * nn - an * an) AS fa, (aa * mn - an * ma) / (aa * nn - an * an) AS fn FROM m), g AS (SELECT *, ma * fa + mn * fn AS p FROM f)
+    SELECT 'A' AS run_id, fa AS kelly, CASE WHEN p > 0 THEN fa * t * p / (t * p + 4) ELSE 0 END AS shrunk FROM g UNION ALL SELECT 'N', fn, CASE WHEN p > 0 THEN fn * t * p / (t * p + 4) ELSE 0 END FROM g""", "rets", places=5)
+def multi_kelly(v):
+    return allocation.multi_kelly(v.rets.where("run_id in ('A', 'N')").withColumn("family", F.lit("all")), "family")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tessella.operators import diagnosis, panel, simulate, strategies
 
+from .inference import chi2
 from .registry import query
 
 
@@ -112,3 +113,20 @@ def cost_sensitivity(v):
 def cost_models(v):
     adv = F.lit(1000) * F.col("p_size")
     return v.table("part").select("p_partkey", diagnosis.spread_bps(adv, F.col("p_retailprice")).alias("spread"), diagnosis.impact_bps(F.col("p_retailprice"), adv).alias("impact"))
+
+
+@query("family different", "n", "statistic p_value", f"""WITH d AS (SELECT dt, (n * n - a * a) AS d, lag(n * n - a * a) OVER (ORDER BY dt) AS h FROM wide), z AS (SELECT d AS x, d * h AS y FROM d WHERE h IS NOT NULL),
+    m AS (SELECT count(*) AS n, avg(x) AS mx, avg(y) AS my, var_samp(x) AS xx, var_samp(y) AS yy, covar_samp(x, y) AS xy FROM z)
+    SELECT 'all' AS family, n, {chi2('s', 2)} < 0.05 AS different, s AS statistic, {chi2('s', 2)} AS p_value FROM (SELECT n, n * (mx * mx * yy - 2 * mx * my * xy + my * my * xx) / (xx * yy - xy * xy) AS s FROM m)""", "rets wide", places=6)
+def giacomini_white(v):
+    """Squared returns of two runs as losses; the instruments are a constant and the difference of the date before."""
+    d = v.wide.select(F.lit("all").alias("family"), "dt", (F.col("n") * F.col("n")).alias("x"), (F.col("a") * F.col("a")).alias("y"), F.lit(1.0).alias("one"))
+    d = d.withColumn("before", F.lag(F.col("x") - F.col("y")).over(panel.along("family")))
+    return diagnosis.giacomini_white(d, "family", "x", "y", ["one", "before"])
+
+
+@query("symbol bar", "trades", "open high low close volume", """WITH e AS (SELECT symbol, unnest(generate_series(min(bar), max(bar), INTERVAL 1 HOUR)) AS bar FROM bars GROUP BY symbol),
+    f AS (SELECT e.symbol, e.bar, b.open, b.high, b.low, b.volume, b.trades, last_value(b.close IGNORE NULLS) OVER (PARTITION BY e.symbol ORDER BY e.bar) AS close FROM e LEFT JOIN bars AS b ON b.symbol = e.symbol AND b.bar = e.bar)
+    SELECT symbol, bar, coalesce(open, close) AS open, coalesce(high, close) AS high, coalesce(low, close) AS low, close, coalesce(volume, 0) AS volume, coalesce(trades, 0) AS trades FROM f""", "ticks bars")
+def filled_bars(v):
+    return panel.fill_buckets(v.bars)

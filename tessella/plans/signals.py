@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessella.functions import metrics as m
 from tessella.operators import panel, signals
 
+from .inference import cdf
 from .registry import query
 
 
@@ -68,6 +69,22 @@ def xi_ic(v):
     return signals.xi_correlation(v.sig, "symbol", "signal", "fwd")
 
 
+@query("symbol", "n", "xi p_value", f"""SELECT symbol, n, xi, {cdf("(-xi * sqrt(n) / sqrt(0.4e0))")} AS p_value FROM (SELECT symbol, any_value(n) AS n, 1 - any_value(n) * sum(abs(nx - r)) / (2.0 * sum(l * (n - l))) AS xi FROM (SELECT *, lead(r) OVER (PARTITION BY symbol ORDER BY signal, dt) AS nx FROM (
+    SELECT symbol, dt, signal, count(*) OVER (PARTITION BY symbol ORDER BY fwd) AS r, count(*) OVER (PARTITION BY symbol ORDER BY fwd DESC) AS l, count(*) OVER (PARTITION BY symbol) AS n FROM sig WHERE signal IS NOT NULL AND fwd IS NOT NULL)) GROUP BY symbol)""", "px pr sig", places=6)
+def xi_significance(v):
+    return signals.xi_significance(v.sig, "symbol", "signal", "fwd")
+
+
+@query("symbol dt", "regime", "", "SELECT symbol, dt, CASE WHEN count(*) OVER w >= 200 AND price > avg(price) OVER w THEN 1 ELSE 0 END AS regime FROM px WINDOW w AS (PARTITION BY symbol ORDER BY dt ROWS BETWEEN 199 PRECEDING AND CURRENT ROW)", "px")
+def trend_regime(v):
+    return signals.trend_regime(v.px)
+
+
+@query("symbol dt", "regime", "price", "SELECT symbol, dt, price, CASE WHEN price >= 110 THEN 2 WHEN price <= 100 THEN 0 ELSE 1 END AS regime FROM px", "px")
+def level_regime(v):
+    return signals.level_regime(v.px, "price", 100.0, 110.0)
+
+
 @query("symbol", "bucket n", "mean_fwd", "SELECT symbol, bucket, count(*) AS n, avg(fwd) AS mean_fwd FROM (SELECT *, ntile(5) OVER (PARTITION BY symbol ORDER BY signal, dt) AS bucket FROM sig WHERE signal IS NOT NULL AND fwd IS NOT NULL) GROUP BY 1, 2", "px pr sig")
 def bucket_returns(v):
     return signals.buckets(v.sig)

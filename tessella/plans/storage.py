@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessella.sources import files, registry, synthetic
+from tessella.sources import files, registry, snapshots, synthetic
 from tessella.streaming import bars
 
 from .registry import query
@@ -53,3 +53,16 @@ def streaming_bars(v):
 @query("symbol dt", "", "price", None)
 def synthetic_prices(v):
     return synthetic.prices(v.spark, ["A", "B", "C"], 500)
+
+
+@query("run_id dt", "", "r", "SELECT run_id, CAST(dt AS VARCHAR) AS dt, r FROM rets", "rets", places=12)
+def json_gz_round_trip(v):
+    path = files.new_path(v.spark, "returns")
+    v.rets.select("run_id", F.col("dt").cast("string").alias("dt"), "r").write.option("compression", "gzip").json(path)
+    return files.read_json_lines(v.spark, path, "run_id string, dt string, r double")
+
+
+@query("path sha256", "bytes", "", None)
+def snapshot_manifest(v):
+    """The stored bytes of the given tables, which SQL over their rows cannot see; tests hold it against hashlib."""
+    return snapshots.manifest(v.spark, v.sf_dir, "*.parquet")
