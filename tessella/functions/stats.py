@@ -147,11 +147,6 @@ def student_t_sf(t: float, df: float) -> float:
     return tail if t > 0 else 1 - tail
 
 
-@F.pandas_udf(T.DoubleType())
-def chi2_sf_udf(x: pd.Series, k: pd.Series) -> pd.Series:
-    return pd.Series([chi2_sf(a, b) for a, b in zip(x, k)], dtype=float)
-
-
 @F.pandas_udf(T.DoubleType())
 def student_t_sf_udf(t: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series([student_t_sf(a, b) for a, b in zip(t, df)], dtype=float)

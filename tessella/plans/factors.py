@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tessella.functions import metrics
 from tessella.operators import grid, inference, optimise, regression, search
 
+from .inference import chi2
 from .registry import query
 from .views import CTES
 
@@ -52,7 +53,16 @@ def payoff_type(v):
     return regression.payoff(regression.gamma_exposure(d, "run_id", "r", "b"), inference.theta_exposure(d), "run_id")
 
 
-@query("run_id", "", "lm p_value", None)
+def _arch(lags: int) -> str:
+    """R squared as the sum of squared correlations with the lags, each less what the lags before it explain."""
+    out = f"WITH y AS (SELECT run_id, dt, pow(r - avg(r) OVER (PARTITION BY run_id), 2) AS y FROM rets), l AS (SELECT run_id, y, {', '.join(f'lag(y, {k}) OVER w AS l{k}' for k in range(1, lags + 1))} FROM y WINDOW w AS (PARTITION BY run_id ORDER BY dt)), g0 AS (SELECT * FROM l WHERE l{lags} IS NOT NULL)"
+    for k in range(1, lags + 1):
+        less = "".join(f" - regr_slope(l{k}, e{j}) OVER w * e{j}" for j in range(1, k))
+        out += f", g{k} AS (SELECT *, l{k}{less} AS e{k} FROM g{k - 1} WINDOW w AS (PARTITION BY run_id))"
+    return out + f", r AS (SELECT run_id, count(*) * ({' + '.join(f'pow(corr(y, e{k}), 2)' for k in range(1, lags + 1))}) AS lm FROM g{lags} GROUP BY 1) SELECT run_id, lm, {chi2('lm', lags)} AS p_value FROM r"
+
+
+@query("run_id", "", "lm p_value", _arch(5), "rets", places=6)
 def arch_effects(v):
     return regression.arch_test(v.rets)
 

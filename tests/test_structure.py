@@ -352,3 +352,14 @@ def test_tests_of_families(spark):
     r = got["f"]
     assert np.allclose([r.statistic, r.p_lower, r.p_consistent, r.p_upper], [t.max(), p(mean), p(near), p(0.0)]) and r.rejected == (~left).sum() and 2 <= r.rejected < 6
     assert got["g"].rejected == 0 and got["g"].p_lower > 0.5
+
+
+def test_posterior_sharpe(spark):
+    rng = np.random.default_rng(30)
+    x = rng.normal(0.001, 0.01, 20_000)
+    got = {r.run_id: r for r in search.posterior_sharpe(frame(spark, {"long": x, "few": [0.1, 0.2, 0.3]})).collect()}
+    s = x.mean() / x.std(ddof=1) * math.sqrt(252)
+    spread = math.sqrt(252 / len(x) * (1 + (s / math.sqrt(252)) ** 2 / 2))  # of a Sharpe of so many returns
+    r = got["long"]
+    assert abs(r.posterior - s) < 0.1 * spread and abs((r.high - r.low) / (2 * 1.645 * spread) - 1) < 0.05 and r.decision == "DEPLOY"
+    assert got["few"].decision == "INSUFFICIENT_DATA"
