@@ -311,6 +311,32 @@ def test_purge_longer_than_a_group(spark):
         assert math.isclose(got.rank_correlation, np.mean(tau), abs_tol=1e-9)
 
 
+def test_equal_bars_tie_whatever_came_before(spark):
+    rng = np.random.default_rng(30)
+    n, groups = 100, 10
+    common = rng.normal(0.0003, 0.0101, n)
+    r = {c: common.copy() for c in range(1, 5)}
+    for c in r:
+        r[c][: 10 + c] = rng.normal(0, 10.0**-c, 10 + c)  # four pasts, then the same bars; one group is flat
+        r[c][40:50] = 0.0
+    rows = [("k", c, DAY + datetime.timedelta(i), float(x)) for c, xs in r.items() for i, x in enumerate(xs)]
+    df = spark.createDataFrame(rows, "symbol string, combo int, dt date, r double").repartition(5)
+    got = search.cpcv_sharpes(df, "combo", ["symbol"]).toPandas()
+    tests = list(itertools.combinations(range(groups), 2))
+    for split, d in got.groupby("split"):
+        apart = {True: 4, False: 1}
+        held = np.isin(np.arange(n) // 10, tests[split])
+        assert d.out.nunique() == apart[bool(held[:14].any())] and d.ins.nunique() == apart[bool((~held)[:14].any())]
+        s = lambda x: x.mean() / x.std(ddof=1) * math.sqrt(252)
+        assert np.allclose(d.sort_values("combo").out, [s(r[c][held]) for c in r], rtol=1e-9)
+    assert (search.walk_forward(df.where("dt >= '2020-01-01'"), "combo", ["symbol"], 5, rolling=True, least=5).where("fold > 2").toPandas().combo == 1).all()
+    constant = spark.createDataFrame([("k", c, DAY + datetime.timedelta(i), 0.1 + (0.3 * (i < 7))) for c in (1, 2) for i in range(n)], "symbol string, combo int, dt date, r double")
+    flat = search.cpcv_sharpes(constant, "combo", ["symbol"]).where("split > 20").toPandas()
+    assert len(flat) and (flat.out == 0).all()
+    odd = df.union(spark.createDataFrame([("k", c, DAY - datetime.timedelta(1), math.nan) for c in r], df.schema))
+    assert search.cpcv_sharpes(odd, "combo", ["symbol"]).toPandas().sort_values(["split", "combo"]).out.tolist() == got.sort_values(["split", "combo"]).out.tolist()
+
+
 def test_moving_volatility_of_a_long_key(spark):
     from tessella.operators import signals
 
