@@ -32,6 +32,24 @@ def test_snapshots(spark, tmp_path):
     assert sorted(map(tuple, again.collect())) == [("a.bin", "changed"), ("new.bin", "added"), ("sub/b.bin", "missing")]
 
 
+def test_manifest_of_large_files(spark, tmp_path):
+    rng = np.random.default_rng(8)
+    sizes = {"a b%20.bin": 1001, "b.bin": 3 * 4096, "c.bin": 3 * 4096 + 1, "d.bin": 1000, "e.bin": 20_001}
+    for name, n in sizes.items():
+        (tmp_path / name).write_bytes(rng.bytes(n))
+    want = {k: (n, hashlib.sha256((tmp_path / k).read_bytes()).hexdigest()) for k, n in sizes.items()}
+    for piece in (4096, 5000, 1 << 20):
+        assert {r.path: (r.bytes, r.sha256) for r in snapshots.manifest(spark, str(tmp_path), "*.bin", 1000, piece).collect()} == want
+    n = (1 << 31) + 5  # more than a row can hold
+    with open(tmp_path / "sparse.big", "wb") as f:
+        f.truncate(n)
+    digest = hashlib.sha256()
+    for at in range(0, n, 1 << 24):
+        digest.update(bytes(min(1 << 24, n - at)))
+    (got,) = snapshots.manifest(spark, str(tmp_path), "*.big").collect()
+    assert (got.path, got.bytes, got.sha256) == ("sparse.big", n, digest.hexdigest())
+
+
 def test_filled_buckets(spark):
     at = datetime.datetime(2024, 1, 1, 9)
     rows = [("a", at, 1.0, 2.0, 0.5, 1.5, 3.0, 2), ("a", at + datetime.timedelta(hours=3), 4.0, 5.0, 3.0, 4.5, 1.0, 1), ("b", at, 7.0, 7.0, 7.0, 7.0, 1.0, 1)]
