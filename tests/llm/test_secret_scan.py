@@ -104,3 +104,12 @@ def test_query_and_edges(spark, model):
     one, two = secret_scan.fit(docs.repartition(3), 40), secret_scan.fit(docs.repartition(5), 40)
     assert np.allclose(one[0], two[0]) and np.allclose(one[1], two[1])
     assert secret_scan.fit(docs.where(~F.col("text").rlike("[0-9]")), 40) is None
+
+
+def test_bytes_that_are_no_utf8(spark, tmp_path):
+    raw = [b"token=abcdef\xff x", b"\xffo\xc3 token=abcdef 0123456789abcdef01234567", "é token=abcdef".encode(), None]
+    docs = spark.createDataFrame(list(enumerate(raw)), "doc_id long, raw binary").selectExpr("doc_id", "cast(raw as string) AS text")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    for r in queries.op12_secret_scan(spark, str(tmp_path)).collect():
+        told = [f"{secret_scan.KINDS[k]}:{s}:{e}" for s, k, e in plain((raw[r.doc_id] or b"").decode(errors="replace"))]
+        assert r.base_sha256 == hashlib.sha256(",".join(told).encode()).hexdigest() and r.n_assign == (r.doc_id < 3)
